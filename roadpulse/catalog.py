@@ -301,7 +301,7 @@ def alerts_from_metrics(spark, sf):
 @query
 def alert_history(spark, sf):
     return al.alert_history(
-        _acked(spark, sf), start=RANGE_A[0], end=RANGE_B[1], severity="critical", alert_type="congestion"
+        _acked(spark, sf), start=RANGE_A[0], end=RANGE_B[1], severity="warning", alert_type="congestion"
     )
 
 
