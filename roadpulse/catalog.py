@@ -77,6 +77,18 @@ def _metrics(spark, sf, start=None, end=None, seconds=WINDOW) -> DataFrame:
     return wn.window_metrics(tb.raw_events(spark, sf, start, end), seconds, SCORING)
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table that a query reads several times to the shared folder, and read it from there."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _metrics_table(spark, sf) -> DataFrame:
+    """Metrics as the stored table they are in operation, computed once however often a query reads them."""
+    return _stored(_metrics(spark, sf), "metrics")
+
+
 def _metrics_between(spark, sf, start, end) -> DataFrame:
     """Metrics whose windows start in ``[start, end]``, from the detections of these windows only."""
     seconds = int(end.timestamp()) + WINDOW
@@ -90,12 +102,13 @@ def _as_of(spark, sf) -> Column:
     return tb.raw_events(spark, sf).agg(end.alias("as_of")).scalar()
 
 
-def _alerts(spark, sf) -> DataFrame:
-    return al.alerts_from_metrics(_metrics(spark, sf), tb.camera_registry(spark, sf), SLICE)
+def _alerts(spark, sf, metrics: DataFrame | None = None) -> DataFrame:
+    metrics = _metrics_table(spark, sf) if metrics is None else metrics
+    return al.alerts_from_metrics(metrics, tb.camera_registry(spark, sf), SLICE)
 
 
 def _acked(spark, sf) -> DataFrame:
-    alerts = _alerts(spark, sf)
+    alerts = _stored(_alerts(spark, sf), "alerts")
     return al.acknowledge(alerts, tb.acknowledgements(alerts))
 
 
@@ -254,7 +267,8 @@ def compare_ranges(spark, sf):
 
 @query
 def dashboard_summary(spark, sf):
-    figures = db.dashboard_summary(_metrics(spark, sf), _alerts(spark, sf), _as_of(spark, sf), minutes=1440)
+    metrics = _metrics_table(spark, sf)
+    figures = db.dashboard_summary(metrics, _alerts(spark, sf, metrics), _as_of(spark, sf), minutes=1440)
     return figures.withColumn("congestion_breakdown", F.to_json("congestion_breakdown")).select(
         "*", F.col("worst_camera.camera_id").alias("worst"), F.col("worst_camera.congestion_level").alias("worst_level")
     ).drop("worst_camera")
@@ -322,7 +336,7 @@ def acknowledge_alerts(spark, sf):
 
 @query
 def ack_results(spark, sf):
-    alerts = _alerts(spark, sf)
+    alerts = _stored(_alerts(spark, sf), "alerts")
     return al.ack_results(alerts, tb.acknowledgements(alerts))
 
 
@@ -388,7 +402,7 @@ def _recount(metrics: DataFrame) -> DataFrame:
 
 @query
 def upsert_metrics(spark, sf):
-    metrics = _metrics(spark, sf)
+    metrics = _metrics_table(spark, sf)
     return _text(mt.upsert_metrics(metrics, _recount(metrics)))
 
 
@@ -430,15 +444,19 @@ def valid_cameras(spark, sf):
 
 
 def _filled(spark, sf) -> DataFrame:
-    return gf.fill_gaps(pj.lane_level(_metrics(spark, sf)), WINDOW, SLICE)
+    return gf.fill_gaps(pj.lane_level(_metrics_table(spark, sf)), WINDOW, SLICE)
+
+
+def _features(spark, sf) -> DataFrame:
+    return _stored(ft.features(_filled(spark, sf), SHAPE), "features")
 
 
 def _nodes(spark, sf) -> DataFrame:
-    return gr.lane_nodes(tb.event_lanes(spark, sf))
+    return _stored(gr.lane_nodes(tb.event_lanes(spark, sf)), "nodes")
 
 
 def _dense(spark, sf) -> DataFrame:
-    return ft.dense_signal(ft.features(_filled(spark, sf), SHAPE), _nodes(spark, sf))
+    return ft.dense_signal(_features(spark, sf), _nodes(spark, sf))
 
 
 @query
@@ -458,7 +476,7 @@ def dense_signal(spark, sf):
 
 @query
 def recent_input(spark, sf):
-    recent = ft.recent_input(ft.features(_filled(spark, sf), SHAPE), _nodes(spark, sf), SHAPE.t_in)
+    recent = ft.recent_input(_features(spark, sf), _nodes(spark, sf), SHAPE.t_in)
     return _rounded(recent.drop("t_idx"), *ft.FEATURES)
 
 
@@ -630,12 +648,13 @@ def lane_edges(spark, sf):
 
 @query
 def khop_neighbours(spark, sf):
-    return gr.khop(_volume_edges(spark, sf), 2)
+    return gr.khop(_stored(_volume_edges(spark, sf), "edges"), 2)
 
 
 @query
 def neighbour_means(spark, sf):
-    means = gr.neighbour_means(_dense(spark, sf), _event_edges(spark, sf), ["vehicle_count", "congestion_score"], 2)
+    dense, edges = _stored(_dense(spark, sf), "dense"), _stored(_event_edges(spark, sf), "edges")
+    means = gr.neighbour_means(dense, edges, ["vehicle_count", "congestion_score"], 2)
     names = [f"{c}_hop{h}" for h in (1, 2) for c in ("vehicle_count", "congestion_score")]
     return _rounded(means.select("t_idx", "node", *names), *names)
 
@@ -653,14 +672,11 @@ def sensor_links(spark, sf):
 # --- Spark ML ------------------------------------------------------------------------------------------------------
 
 
-def _training_table(spark, sf) -> DataFrame:
-    return ml.training_table(_dense(spark, sf), _event_edges(spark, sf), SHAPE)
-
-
 @query
 def training_table(spark, sf):
     values = F.col("history_values")
-    rows = _training_table(spark, sf).withColumn("history_values", ml.vector_to_array("history"))
+    dense, edges = _stored(_dense(spark, sf), "dense"), _stored(_event_edges(spark, sf), "edges")
+    rows = ml.training_table(dense, edges, SHAPE).withColumn("history_values", ml.vector_to_array("history"))
     return rows.select(
         "node", "start", "step", round_stable(F.col("count"), 6).alias("count"), "prob", "level",
         F.size(values).alias("width"),
@@ -670,20 +686,23 @@ def training_table(spark, sf):
 
 @query
 def ml_forecast(spark, sf):
-    """Fit on the older samples and forecast every lane from the newest steps.
-
-    The signal is written to the shared folder first: fitting passes over it many times.
-    """
-    folder = shared_folder(spark, "ml_forecast")
-    _dense(spark, sf).write.parquet(f"{folder}/dense")
-    _event_edges(spark, sf).write.parquet(f"{folder}/edges")
-    dense, edges = spark.read.parquet(f"{folder}/dense"), spark.read.parquet(f"{folder}/edges")
-    ml.training_table(dense, edges, SHAPE).write.parquet(f"{folder}/samples")
-    train, _, _ = ml.split_by_time(spark.read.parquet(f"{folder}/samples"), gap=SHAPE.t_in + SHAPE.t_out)
+    """Fit on the older samples and forecast every lane from the newest steps."""
+    dense, edges = _stored(_dense(spark, sf), "dense"), _stored(_event_edges(spark, sf), "edges")
+    samples = _stored(ml.training_table(dense, edges, SHAPE), "samples")
+    train, _, _ = ml.split_by_time(samples, gap=SHAPE.t_in + SHAPE.t_out)
     model = ml.fit_forecaster(train, SHAPE, iterations=10)
     return ml.predict_lanes(model, dense, _nodes(spark, sf), edges, SHAPE)
 
 
+@query
+def ml_evaluation(spark, sf):
+    """Errors on the newest tenth of the samples, which the model has not seen."""
+    dense, edges = _stored(_dense(spark, sf), "dense"), _stored(_event_edges(spark, sf), "edges")
+    samples = _stored(ml.training_table(dense, edges, SHAPE), "samples")
+    train, _, test = ml.split_by_time(samples, gap=SHAPE.t_in + SHAPE.t_out)
+    return ml.evaluate(ml.fit_forecaster(train, SHAPE, iterations=10), test)
+
+
 # --- streaming -----------------------------------------------------------------------------------------------------
 
 
