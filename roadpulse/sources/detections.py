@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadpulse.config import VEHICLE_CLASSES
 from roadpulse.schemas import DETECTION
 
-# How a moment and a number look as JSON, quoted or not.
-ISO_MOMENT = (
-    r'^"(\d{4}-\d{2}-\d{2}([Tt _]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?([Zz]|[+-]\d{2}(:?\d{2})?)?)?)"$'
-)
-NUMBER = r'^"?\s*([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?)\s*"?$'
-WHOLE = r'^"?\s*([+-]?\d+)(\.0*)?\s*"?$'
+# How a moment and a number are written.
+ISO_MOMENT = r"^(\d{4}-\d{2}-\d{2}([Tt _]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?([Zz]|[+-]\d{2}(:?\d{2})?)?)?)$"
+NUMBER = r"^\s*([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?)\s*$"
+WHOLE = r"^\s*([+-]?\d+)(\.0*)?\s*$"
 # Fixed value: numeric times beyond this many seconds are milliseconds.
 MAX_EPOCH_SECONDS = 20_000_000_000
 
@@ -31,45 +30,67 @@ def read_detections(spark: SparkSession, source: str, fmt: str = "text", **optio
     return reader.schema("value STRING").load(source)
 
 
-# Fields in the order in which they are judged, by kind.
+# Text that may have been a JSON number, boolean or nested value rather than a JSON string.
+AMBIGUOUS = r"^(-?\d|true$|false$|[\[{])"
+
 TEXTS = ("camera_id", "vehicle_id", "class", "vehicle_class")
 NUMBERS = ("timestamp", "frame_id", "confidence", "lane_id", "speed_estimate")
 BOXES = {"bbox": ("x", "y", "w", "h"), "centroid": ("x", "y")}
+# Fields in the order in which they are judged.
 REQUIRED = ("camera_id", "timestamp", "frame_id", "vehicle_id", "class", "confidence", "bbox", "centroid")
+END = "#end"
+
+
+def _record_schema() -> T.ArrayType:
+    """Every leaf as text, so that a value of the wrong type spoils its own field only."""
+    text = T.StringType()
+    fields = [T.StructField(name, text) for name in (*TEXTS, *NUMBERS, END)]
+    for name, edges in BOXES.items():
+        fields.append(T.StructField(name, T.StructType([T.StructField(edge, text) for edge in edges])))
+    return T.ArrayType(T.StructType(fields))
 
 
-def _json_of(path: str) -> Column:
-    """A field as JSON text, which shows its type: text is quoted, a missing field is NULL."""
-    return F.to_json(F.try_variant_get("_doc", "$." + path, "variant"))
+def _kind(path: str) -> Column:
+    """JSON type of a field. A second parse, only reached for the few values whose text leaves it open."""
+    document = F.try_parse_json("value")
+    return F.schema_of_variant(F.try_variant_get(document, "$." + path, "variant"))
 
 
 def _text(name: str) -> Column:
     """Text fields must be JSON strings; numbers are not turned into text."""
-    return F.when(F.col(f"_{name}").startswith('"'), F.try_variant_get("_doc", "$." + name, "string"))
+    text = F.col(f"_record.{name}")
+    return F.when(~text.rlike(AMBIGUOUS), text).otherwise(F.when(_kind(name) == "STRING", text))
 
 
-def _number(json: str) -> Column:
+def _flag(path: str) -> Column:
+    """1 or 0 for a JSON boolean, not for the same words in quotes."""
+    word = F.col(f"_record.{path}")
+    return F.when(word.isin("true", "false"), F.when(_kind(path) == "BOOLEAN", (word == "true").cast("int")))
+
+
+def _number(path: str) -> Column:
     """Numbers may also come as text or as booleans."""
-    digits = F.regexp_extract(json, NUMBER, 1).try_cast("double")
-    return F.when(F.col(json) == "true", 1.0).when(F.col(json) == "false", 0.0).otherwise(digits)
+    digits = F.regexp_extract(f"_record.{path}", NUMBER, 1).try_cast("double")
+    return F.coalesce(digits, _flag(path).cast("double"))
 
 
-def _whole(json: str, kind: str) -> Column:
+def _whole(name: str, kind: str) -> Column:
     """Whole numbers may be written as 7, 7.0 or "7"; 7.5 is refused. Digits are kept as such: a double loses some."""
-    flag = F.when(F.col(json) == "true", 1).when(F.col(json) == "false", 0)
-    return F.coalesce(F.regexp_extract(json, WHOLE, 1).try_cast(kind), flag.cast(kind))
+    digits = F.regexp_extract(f"_record.{name}", WHOLE, 1).try_cast(kind)
+    return F.coalesce(digits, _flag(name).cast(kind))
 
 
-def _moment(json: str) -> Column:
+def _moment(name: str) -> Column:
     """ISO-8601 text, or seconds (large values: milliseconds) since 1970."""
-    iso = F.translate(F.regexp_extract(json, ISO_MOMENT, 1), "tz_,", "TZT.").try_cast("timestamp")
-    seconds = _number(json)
+    text = f"_record.{name}"
+    iso = F.translate(F.regexp_extract(text, ISO_MOMENT, 1), "tz_,", "TZT.").try_cast("timestamp")
+    seconds = F.regexp_extract(text, NUMBER, 1).try_cast("double")
     micros = F.when(F.abs(seconds) > MAX_EPOCH_SECONDS, seconds * 1e3).otherwise(seconds * 1e6)
     return F.coalesce(iso, F.timestamp_micros(F.round(micros).try_cast("bigint")))
 
 
 def _box(name: str) -> Column:
-    return F.struct(*[_number(f"_{name}_{edge}").alias(edge) for edge in BOXES[name]])
+    return F.struct(*[_number(f"{name}.{edge}").alias(edge) for edge in BOXES[name]])
 
 
 def _complete(name: str) -> Column:
@@ -83,38 +104,33 @@ def _complete(name: str) -> Column:
 def type_detections(df: DataFrame) -> DataFrame:
     """A2: parse ``value`` and add the typed fields and ``reject_reason`` (NULL for accepted records).
 
-    The typed fields leave through ``inline``, so that a filter on them is not pushed below the parsing, where the
-    optimizer would repeat the parsing for every use of a field.
+    One pass reads all fields as text. The parser stops at the end of a value and would not notice text after it, so
+    the record is read as the first element of an array whose end must follow. The typed fields leave through
+    ``inline``, so that a filter on them is not pushed below the parsing, where the optimizer would repeat it for
+    every use of a field.
     """
-    # The parser stops at the end of a value and would not notice text after it; followed by another array element it
-    # does.
-    framed = F.try_parse_json(F.concat(F.lit("["), "value", F.lit(", 0]")))
-    documents = df.select("value", framed.alias("_framed"))
-    alone = (F.try_variant_get("_framed", "$[1]", "int") == 0) & F.try_variant_get("_framed", "$[2]", "int").isNull()
-    documents = documents.select("value", F.when(alone, F.try_variant_get("_framed", "$[0]", "variant")).alias("_doc"))
-    fields = documents.select(
-        "value",
-        "_doc",
-        *[_json_of(name).alias(f"_{name}") for name in TEXTS + NUMBERS],
-        *[_json_of(f"{name}.{edge}").alias(f"_{name}_{edge}") for name in BOXES for edge in BOXES[name]],
-    )
+    framed = F.concat(F.lit("["), "value", F.lit(f', {{"{END}": 1}}]'))
+    parsed = df.select("value", F.from_json(framed, _record_schema()).alias("_records"))
+    closed = (F.size("_records") == 2) & (F.get("_records", F.lit(1))[END] == "1")
+    records = parsed.select("value", F.when(closed, F.get("_records", F.lit(0))).alias("_record"))
+    # Nested conditions, not conjunctions: of those the optimizer would evaluate the costly side for every row.
+    no_object = F.when(~F.ltrim("value").startswith("{"), F.when(F.try_parse_json("value").isNotNull(), "not_an_object"))
+    fault = F.when(F.col("_record").isNull(), F.coalesce(no_object, F.lit("malformed_json")))
     typed = F.struct(
-        F.when(F.col("_doc").isNull(), "malformed_json")
-        .when(~F.schema_of_variant("_doc").startswith("OBJECT"), "not_an_object")
-        .alias("_fault"),
+        fault.alias("_fault"),
         _text("camera_id").alias("camera_id"),
-        _moment("_timestamp").alias("timestamp"),
-        _whole("_frame_id", "bigint").alias("frame_id"),
+        _moment("timestamp").alias("timestamp"),
+        _whole("frame_id", "bigint").alias("frame_id"),
         _text("vehicle_id").alias("vehicle_id"),
-        F.when(F.col("_class").isNotNull(), _text("class")).otherwise(_text("vehicle_class")).alias("class"),
-        _number("_confidence").alias("confidence"),
+        F.when(F.col("_record.class").isNotNull(), _text("class")).otherwise(_text("vehicle_class")).alias("class"),
+        _number("confidence").alias("confidence"),
         *[_box(name).alias(f"_{name}") for name in BOXES],
-        _whole("_lane_id", "int").alias("lane_id"),
-        _number("_speed_estimate").alias("speed_estimate"),
-        (F.col("_lane_id") != "null").alias("_has_lane"),
-        (F.col("_speed_estimate") != "null").alias("_has_speed"),
+        _whole("lane_id", "int").alias("lane_id"),
+        _number("speed_estimate").alias("speed_estimate"),
+        F.col("_record.lane_id").isNotNull().alias("_has_lane"),
+        F.col("_record.speed_estimate").isNotNull().alias("_has_speed"),
     )
-    accepted = fields.select("value", F.inline(F.array(typed))).withColumns({name: _complete(name) for name in BOXES})
+    accepted = records.select("value", F.inline(F.array(typed))).withColumns({name: _complete(name) for name in BOXES})
     return accepted.select("value", *DETECTION.fieldNames(), _reject_reason().alias("reject_reason"))
 
 
