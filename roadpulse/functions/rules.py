@@ -14,7 +14,8 @@ def round_stable(value: Column, digits: int) -> Column:
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.least(value, F.lit(high)), F.lit(low))
+    """``value`` within the bounds. NULL stays NULL, which ``least`` and ``greatest`` alone would turn into a bound."""
+    return F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(high)), F.lit(low)))
 
 
 def normalize(value: Column, maximum: float) -> Column:

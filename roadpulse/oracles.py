@@ -604,7 +604,7 @@ FROM judged WHERE status = 'applied'""",
     ),
     "ewma_forecast": with_base(
         f"""SELECT c.camera_id, CAST(step AS INTEGER) AS step,
-  coalesce({r(clamp('level + slope * step'), 4)}, 0e0) AS congestion_score,
+  CASE WHEN level IS NULL THEN 0e0 ELSE {r(clamp('level + slope * step'), 4)} END AS congestion_score,
   CASE WHEN level IS NULL THEN 'LOW' ELSE {level('round(' + clamp('level + slope * step') + ', 9)')} END AS congestion_level
 FROM cameras c LEFT JOIN state s ON s.camera_id = c.camera_id, (SELECT unnest(range(1, 7)) AS step)""",
         CAMERAS,
