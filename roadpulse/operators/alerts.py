@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from roadpulse.config import PUSH_ALERT_LEVELS, SLICE_SECONDS
 from roadpulse.functions.rules import alert_message, alert_title, iso, severity_of
-from roadpulse.operators.projections import Moment, camera_wide, filter_alerts
+from roadpulse.operators.projections import camera_wide, filter_alerts
 from roadpulse.plans.slices import SLICE, along, carry, past, time_slice
 from roadpulse.schemas import ALERT
 

@@ -32,7 +32,8 @@ def lane_edges(nodes: DataFrame, lanes: DataFrame, cross: DataFrame) -> DataFram
     ).filter(F.col("to_lane").isNotNull())
     links = beside.unionByName(cross.select("from_camera", "from_lane", "to_camera", "to_lane"))
     one_way = _resolve(_resolve(links, nodes, "from", "src"), nodes, "to", "dst").select("src", "dst")
-    return loops.unionByName(one_way).unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    back = one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return loops.unionByName(one_way).unionByName(back).distinct()
 
 
 def _resolve(links: DataFrame, nodes: DataFrame, end: str, name: str) -> DataFrame:

@@ -41,7 +41,6 @@ def compare(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     want = result.fetchall()
     if sorted(names) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} != {sorted(names)}"
-    kinds = {t: str for t in ()}
     a, b = rows_of(spark_df.columns, got), rows_of(names, want)
     if a == b:
         return _types(spark_df, result.description)

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from roadpulse.config import VEHICLE_CLASSES
@@ -85,8 +84,7 @@ def test_c1_flatten_truncates_boxes(spark):
     assert (row.centroid_x, row.vehicle_class, row.speed_kmh) == (453.0, "car", None)
 
 
-@pytest.mark.parametrize("path", ["text"])
-def test_a1_reads_a_folder_of_texts(spark, tmp_path, path):
+def test_a1_reads_a_folder_of_texts(spark, tmp_path):
     from roadpulse.sources.detections import read_detections
     from roadpulse.streaming.stats import observe_detections, stream_stats
 
