@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from roadpulse.llm import exact_dedup, mixing
+from roadpulse.llm import exact_dedup, mixing, near_dedup
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
 }
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
