@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from roadpulse.llm import exact_dedup, mixing, near_dedup, pieces, quality
+from roadpulse.llm import exact_dedup, langid, mixing, near_dedup, pieces, quality, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_sentence_pieces": pieces.op4_sentence_pieces,
+    "op6_cross_parsing": langid.op6_cross_parsing,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_importance_resampling": quality.op9_importance_resampling,
 }
