@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadpulse.llm import exact_dedup, langid, mixing, near_dedup, pieces, quality, toxicity
+from roadpulse.llm import exact_dedup, fingerprints, langid, mixing, near_dedup, pieces, quality, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_sentence_pieces": pieces.op4_sentence_pieces,
     "op6_cross_parsing": langid.op6_cross_parsing,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_importance_resampling": quality.op9_importance_resampling,
 }
