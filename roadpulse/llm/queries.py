@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadpulse.llm import exact_dedup, fingerprints, langid, mixing, near_dedup, pieces, quality, toxicity
+from roadpulse.llm import exact_dedup, fingerprints, langid, mixing, near_dedup, pieces, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -13,8 +13,10 @@ QUERIES = {
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_importance_resampling": quality.op9_importance_resampling,
+    "op10_url_filters": url_filter.op10_url_filters,
 }
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
+    "op10_url_filters": url_filter.SQL,
 }
