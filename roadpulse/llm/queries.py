@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from roadpulse.llm import exact_dedup, fingerprints, langid, mixing, near_dedup, pieces, quality, toxicity, url_filter
+from roadpulse.llm import exact_dedup, fingerprints, langid, licenses, mixing, near_dedup, pieces, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_sentence_pieces": pieces.op4_sentence_pieces,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_cross_parsing": langid.op6_cross_parsing,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_near_dedup": near_dedup.op8_near_dedup,

@@ -55,12 +55,14 @@ def runs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         begin = end
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and where each text's words start (with the end of the last)."""
+def word_spans(
+    data: np.ndarray, starts: np.ndarray, space: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, where each text's words start (with the end of the last), and the words' bytes' bounds."""
     n = len(data)
     if not n:
-        return np.empty(0, np.uint64), np.zeros(len(starts), np.int64)
-    black = ~_SPACE[data]
+        return np.empty(0, np.uint64), np.zeros(len(starts), np.int64), *np.empty((2, 0), np.int64)
+    black = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[starts] = True
     begins = black.copy()
@@ -72,7 +74,12 @@ def hash_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[data] * power[:n], out=sums[1:])
     hashes = mixed((sums[end] - sums[begin]) * inverse[begin])
-    return hashes, np.searchsorted(begin, starts)
+    return hashes, np.searchsorted(begin, starts), begin, end
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and where each text's words start (with the end of the last)."""
+    return word_spans(data, starts)[:2]
 
 
 def shingles(hashes: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
