@@ -7,7 +7,7 @@ arrays as JSON text, so that results compare with SQL on the same tables.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,8 +91,7 @@ def _metrics_table(spark, sf) -> DataFrame:
 
 def _metrics_between(spark, sf, start, end) -> DataFrame:
     """Metrics whose windows start in ``[start, end]``, from the detections of these windows only."""
-    seconds = int(end.timestamp()) + WINDOW
-    return _metrics(spark, sf, start, datetime.fromtimestamp(seconds))
+    return _metrics(spark, sf, start, end + timedelta(seconds=WINDOW))
 
 
 def _as_of(spark, sf) -> Column:
@@ -690,7 +689,7 @@ def ml_forecast(spark, sf):
     dense, edges = _stored(_dense(spark, sf), "dense"), _stored(_event_edges(spark, sf), "edges")
     samples = _stored(ml.training_table(dense, edges, SHAPE), "samples")
     train, _, _ = ml.split_by_time(samples, gap=SHAPE.t_in + SHAPE.t_out)
-    model = ml.fit_forecaster(train, SHAPE, iterations=10)
+    model = ml.fit_forecaster(train, SHAPE)
     return ml.predict_lanes(model, dense, _nodes(spark, sf), edges, SHAPE)
 
 
@@ -700,7 +699,7 @@ def ml_evaluation(spark, sf):
     dense, edges = _stored(_dense(spark, sf), "dense"), _stored(_event_edges(spark, sf), "edges")
     samples = _stored(ml.training_table(dense, edges, SHAPE), "samples")
     train, _, test = ml.split_by_time(samples, gap=SHAPE.t_in + SHAPE.t_out)
-    return ml.evaluate(ml.fit_forecaster(train, SHAPE, iterations=10), test)
+    return ml.evaluate(ml.fit_forecaster(train, SHAPE), test)
 
 
 # --- streaming -----------------------------------------------------------------------------------------------------

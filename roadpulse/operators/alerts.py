@@ -165,7 +165,8 @@ def ack_results(alerts: DataFrame, acks: DataFrame) -> DataFrame:
         F.col("acknowledged_by").alias("_held_by"),
         F.col("acknowledged_at").alias("_held_at"),
     )
-    joined = acks.join(_first_acks(acks), "alert_id").join(held, "alert_id", "left")
+    # Left, as a request without an id has no first one; it ends as not_found.
+    joined = acks.join(_first_acks(acks), "alert_id", "left").join(held, "alert_id", "left")
     already = F.col("_held_at").isNotNull() | (F.col("_ack.ack_id") != F.col("ack_id"))
     holder = F.when(F.col("_held_at").isNotNull(), F.coalesce("_held_by", "admin_id")).otherwise(F.col("_ack.admin_id"))
     holds = F.col("_known").isNotNull()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from roadpulse.config import INCIDENT_LEVELS, LEVELS
 from roadpulse.functions.rules import clamp, level_rank, round_stable
@@ -121,14 +122,15 @@ def _heat(metrics: DataFrame, as_of: Moment, minutes: int) -> DataFrame:
 def heatmap(metrics: DataFrame, registry: DataFrame, as_of: Moment, minutes: int = 5) -> DataFrame:
     """Located cameras with their share of the busiest one's mean vehicle count."""
     points = with_coords(_heat(metrics, as_of, minutes), registry)
-    busiest = points.agg(F.max(F.coalesce("avg_count", F.lit(0.0))).alias("busiest")).scalar()
-    share = F.coalesce("avg_count", F.lit(0.0)) / busiest
+    # One row per camera of the registry: the only window over all of them, and no second pass over the metrics.
+    points = points.withColumn("busiest", F.max(F.coalesce("avg_count", F.lit(0.0))).over(W.partitionBy()))
+    share = F.coalesce("avg_count", F.lit(0.0)) / F.col("busiest")
     return points.select(
         "camera_id",
         "latitude",
         "longitude",
         "road_segment",
-        F.when(busiest > 0, round_stable(clamp(share), 4)).otherwise(0.0).alias("weight"),
+        F.when(F.col("busiest") > 0, round_stable(clamp(share), 4)).otherwise(0.0).alias("weight"),
         F.coalesce(round_stable(F.col("score"), 4), F.lit(0.0)).alias("intensity"),
         F.coalesce(round_stable(F.col("avg_count"), 2), F.lit(0.0)).alias("avg_vehicle_count"),
         "last_window",

@@ -135,11 +135,15 @@ def valid_cameras(cameras: DataFrame) -> DataFrame:
 def judge_camera_changes(registry: DataFrame, changes: DataFrame, slice_rows: int = 100_000) -> DataFrame:
     """K2: every change with ``status`` and, if applied, whether it started the camera anew (``resets``).
 
-    Changes take effect in the order of ``seq``. A create needs all fields and an unused id; an update of an unknown
+    A change without a camera or without a place in the order is refused, whatever it asks for. ``cleared``, if the
+    table has it, lists fields that a change sets to NULL. Changes take effect in the order of ``seq``. A create needs all fields and an unused id; an update of an unknown
     camera creates it if coordinates are given; a delete needs a known camera. Whether a camera exists before a
     change is the last thing said about it, within its slice of ``seq``, in earlier slices, or by the registry.
     """
     changes = with_aliases(changes)
+    nowhere = F.when(F.col("camera_id").isNull(), "rejected: bad_camera_id").when(F.col("seq").isNull(), "rejected: bad_seq")
+    refused = changes.withColumns({"status": nowhere, "resets": F.lit(False)}).filter(F.col("status").isNotNull())
+    changes = changes.filter(nowhere.isNull())
     located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     create, update, delete = (F.col("action") == name for name in ("create", "update", "delete"))
     incomplete = create & (~located | F.col("name").isNull())
@@ -167,19 +171,20 @@ def judge_camera_changes(registry: DataFrame, changes: DataFrame, slice_rows: in
     )
     judged = placed.join(known, "camera_id", "left").withColumn("_exists", exists).withColumn("status", status)
     resets = (F.col("status") == "applied") & (delete | ~F.col("_exists"))
-    return judged.withColumn("resets", resets).select(*changes.columns, "status", "resets")
+    return judged.withColumn("resets", resets).select(*refused.columns).unionByName(refused)
 
 
 def apply_camera_changes(registry: DataFrame, judged: DataFrame) -> DataFrame:
-    """K2: the registry after the applied changes; fields a change leaves NULL keep their value.
+    """K2: the registry after the applied changes; fields a change leaves NULL, and doesn't clear, keep their value.
 
     Each field takes its newest value since the camera was last created or deleted, or else the registered one.
     """
     applied = judged.filter(F.col("status") == "applied")
     last_reset = F.max(F.when(F.col("resets"), F.col("seq")))
+    cleared = F.col("cleared") if "cleared" in judged.columns else F.lit(None).cast("array<string>")
+    says = lambda c: F.col(c).isNotNull() | F.coalesce(F.array_contains(cleared, c), F.lit(False))
     newest = {
-        c: F.max_by(F.struct("seq", c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}")
-        for c in CAMERA_FIELDS
+        c: F.max_by(F.struct("seq", c), F.when(says(c), F.col("seq"))).alias(f"_{c}") for c in CAMERA_FIELDS
     }
     changed = applied.groupBy("camera_id").agg(
         last_reset.alias("_reset"), F.max_by("action", "seq").alias("_action"), *newest.values()
@@ -188,17 +193,18 @@ def apply_camera_changes(registry: DataFrame, judged: DataFrame) -> DataFrame:
     started = F.col("_reset").isNotNull()
     fields = {}
     for c in CAMERA_FIELDS:
-        valid = F.col(f"_{c}.seq") >= F.coalesce("_reset", F.col(f"_{c}.seq"))
-        fields[c] = F.coalesce(F.when(valid, F.col(f"_{c}.{c}")), F.when(~started, F.col(c)))
+        valid = F.coalesce(F.col(f"_{c}.seq") >= F.coalesce("_reset", F.col(f"_{c}.seq")), F.lit(False))
+        fields[c] = F.when(valid, F.col(f"_{c}.{c}")).when(~started, F.col(c))
     fields["name"] = F.coalesce(fields["name"], F.when(started, F.col("camera_id")))
     kept = F.coalesce(F.col("_action") != "delete", F.lit(True))
     return merged.filter(kept).select("camera_id", *[expr.alias(c) for c, expr in fields.items()])
 
 
 def audit_rows(judged: DataFrame) -> DataFrame:
-    """K5: one row per applied camera change with the fields it set; a delete has no payload."""
+    """K5: one row per applied camera change with the fields it set and cleared; a delete has no payload."""
     applied = judged.filter(F.col("status") == "applied")
-    payload = F.when(F.col("action") != "delete", F.to_json(F.struct(*CAMERA_FIELDS)))
+    told = [*CAMERA_FIELDS, *(c for c in ("cleared",) if c in judged.columns)]
+    payload = F.when(F.col("action") != "delete", F.to_json(F.struct(*told)))
     return applied.select(
         "actor",
         F.concat(F.lit("cameras."), "action").alias("action"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,12 @@ Moment = datetime | str | Column
 
 
 def moment(value: Moment) -> Column:
-    return value if isinstance(value, Column) else F.lit(value).cast("timestamp")
+    """A point in time as a column. A time without a zone is UTC, whatever the zone of the driver."""
+    if isinstance(value, Column):
+        return value
+    if isinstance(value, datetime) and value.tzinfo is None:
+        value = value.replace(tzinfo=timezone.utc)
+    return F.lit(value).cast("timestamp")
 
 
 def flatten_event(detections: DataFrame) -> DataFrame:

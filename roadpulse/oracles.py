@@ -166,9 +166,9 @@ ACKS = """
 stamps AS (SELECT alert_id, camera_id, CAST(epoch(triggered_at) AS BIGINT) AS stamp FROM alerts),
 acks AS (
   SELECT stamp * 1000 + CAST(substr(camera_id, 5) AS BIGINT) * 10 + n AS ack_id,
-    CASE WHEN n = 3 THEN alert_id || '#' ELSE alert_id END AS alert_id, 'admin_' || n AS admin_id,
+    CASE WHEN n = 3 THEN alert_id || '#' WHEN n < 3 THEN alert_id END AS alert_id, 'admin_' || n AS admin_id,
     make_timestamp((stamp + 600 * (4 - n)) * 1000000) AS acknowledged_at
-  FROM stamps, (SELECT unnest([1, 2, 3]) AS n) WHERE n = 3 OR (stamp / 21600) % 3 <> 0
+  FROM stamps, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE n >= 3 OR (stamp / 21600) % 3 <> 0
 ),
 acked AS (
   SELECT a.* REPLACE (k.admin_id AS acknowledged_by, k.acknowledged_at AS acknowledged_at) FROM alerts a
@@ -314,19 +314,20 @@ def with_series(sql: str) -> str:
 
 CHANGES = """
 ch AS (
-  SELECT o_orderkey AS seq, 'admin_' || (o_custkey % 5) AS actor,
+  SELECT CASE WHEN o_orderkey % 101 <> 0 THEN o_orderkey END AS seq, 'admin_' || (o_custkey % 5) AS actor,
     CASE o_orderkey % 7 WHEN 0 THEN 'create' WHEN 1 THEN 'delete' ELSE 'update' END AS action,
-    'cam_' || (o_custkey % 40) AS camera_id,
+    CASE WHEN o_orderkey % 97 <> 0 THEN 'cam_' || (o_custkey % 40) END AS camera_id,
     CASE WHEN o_orderkey % 4 = 0 THEN 'name_' || o_orderkey END AS name,
     CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice / 5000) - 5 END AS latitude,
     CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice / 2500) - 20 END AS longitude,
     CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS road_segment,
-    CAST(NULL AS VARCHAR) AS description, o_orderdate AS changed_at
+    CAST(NULL AS VARCHAR) AS description, o_orderdate AS changed_at, o_orderkey % 12 = 1 AS clears
   FROM orders
 ),
 ch_fault AS (
   SELECT *, latitude IS NOT NULL AS located,
-    CASE WHEN action <> 'delete' AND NOT (latitude BETWEEN -90 AND 90) THEN 'bad_latitude'
+    CASE WHEN camera_id IS NULL THEN 'bad_camera_id' WHEN seq IS NULL THEN 'bad_seq'
+      WHEN action <> 'delete' AND NOT (latitude BETWEEN -90 AND 90) THEN 'bad_latitude'
       WHEN action <> 'delete' AND NOT (longitude BETWEEN -180 AND 180) THEN 'bad_longitude'
       WHEN action = 'create' AND (latitude IS NULL OR name IS NULL) THEN 'incomplete' END AS fault
   FROM ch
@@ -353,7 +354,7 @@ fields AS (
   SELECT camera_id, arg_max(action, seq) AS last_action,
     arg_max(name, seq) FILTER (name IS NOT NULL) AS name, arg_max(latitude, seq) FILTER (latitude IS NOT NULL) AS latitude,
     arg_max(longitude, seq) FILTER (longitude IS NOT NULL) AS longitude,
-    arg_max(road_segment, seq) FILTER (road_segment IS NOT NULL) AS road_segment
+    arg_max({'v': road_segment}, seq) FILTER (road_segment IS NOT NULL OR clears) AS segment
   FROM live GROUP BY 1
 )"""
 
@@ -553,7 +554,7 @@ SELECT coalesce(c.camera_id, f.camera_id) AS camera_id,
   coalesce(f.name, CASE WHEN reset IS NULL THEN c.name END, coalesce(c.camera_id, f.camera_id)) AS name,
   coalesce(f.latitude, CASE WHEN reset IS NULL THEN c.latitude END) AS latitude,
   coalesce(f.longitude, CASE WHEN reset IS NULL THEN c.longitude END) AS longitude,
-  coalesce(f.road_segment, CASE WHEN reset IS NULL THEN c.road_segment END) AS road_segment,
+  CASE WHEN f.segment IS NOT NULL THEN f.segment.v WHEN reset IS NULL THEN c.road_segment END AS road_segment,
   CAST(NULL AS VARCHAR) AS description
 FROM cameras c FULL JOIN fields f ON f.camera_id = c.camera_id
 LEFT JOIN resets r ON r.camera_id = coalesce(c.camera_id, f.camera_id)
@@ -565,7 +566,8 @@ SELECT actor, 'cameras.' || action AS action, 'cameras' AS entity_type, camera_i
     CASE WHEN name IS NOT NULL THEN '"name":"' || name || '"' END,
     CASE WHEN latitude IS NOT NULL THEN '"latitude":' || CAST(latitude AS DECIMAL(9,1)) END,
     CASE WHEN longitude IS NOT NULL THEN '"longitude":' || CAST(longitude AS DECIMAL(9,1)) END,
-    CASE WHEN road_segment IS NOT NULL THEN '"road_segment":"' || road_segment || '"' END) || '}' END AS payload,
+    CASE WHEN road_segment IS NOT NULL THEN '"road_segment":"' || road_segment || '"' END,
+    CASE WHEN clears THEN '"cleared":["road_segment"]' END) || '}' END AS payload,
   changed_at AS created_at
 FROM judged WHERE status = 'applied'""",
     "valid_cameras": (

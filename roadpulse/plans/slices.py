@@ -12,6 +12,9 @@ or vehicle may own a third of all rows. The helpers here cut the order into slic
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -64,12 +67,16 @@ def carry(
 
     ``summary`` holds the aggregates that reduce a slice to one row; ``carried`` holds expressions over those names,
     evaluated along the slices of a key (windows ``along``, ``past`` and ``future``). ``prepared`` adds columns in
-    between, for a carried window that needs the result of another one.
+    between, for a carried window that needs the result of another one. ``df`` is read twice: store it first if it is
+    costly to compute. NULL keys are one value.
     """
     by_slice = df.groupBy(*keys, SLICE).agg(*[agg.alias(name) for name, agg in summary.items()])
     by_slice = by_slice.withColumns(prepared or {})
-    accumulated = by_slice.select(*keys, SLICE, *[expr.alias(name) for name, expr in carried.items()])
-    return df.join(accumulated, [*keys, SLICE])
+    names = [*keys, SLICE]
+    theirs = [F.col(name).alias(f"_of_{name}") for name in names]
+    accumulated = by_slice.select(*theirs, *[expr.alias(name) for name, expr in carried.items()])
+    same = reduce(and_, [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in names])
+    return df.join(accumulated, same).drop(*[f"_of_{name}" for name in names])
 
 
 def along(keys: list[str]):

@@ -90,10 +90,11 @@ def raw_events(
     from roadpulse.operators.projections import flatten_event
 
     events = _stream_table(spark, sf_dir, "events") if stream else read_table(spark, sf_dir, "events")
+    # Bounds as text: a datetime literal would pass through the zone of the driver.
     if start is not None:
-        events = events.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+        events = events.filter(F.col("ts") >= F.lit(start.isoformat(" ")).cast("timestamp_ntz"))
     if end is not None:
-        events = events.filter(F.col("ts") < F.lit(end).cast("timestamp_ntz"))
+        events = events.filter(F.col("ts") < F.lit(end.isoformat(" ")).cast("timestamp_ntz"))
     return flatten_event(_accepted(detections(events)))
 
 
@@ -188,32 +189,36 @@ def event_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def camera_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as changes to the camera registry: creates, partial updates and deletes of cameras 0-39."""
+    """Orders as changes to the camera registry: creates, partial updates and deletes of cameras 0-39.
+
+    Some name no camera, some have no place in the order, some clear the road segment.
+    """
     key = F.col("o_orderkey")
     price = F.col("o_totalprice")
     return read_table(spark, sf_dir, "orders").select(
-        key.alias("seq"),
+        F.when(key % 101 != 0, key).alias("seq"),
         F.concat(F.lit("admin_"), F.col("o_custkey") % 5).alias("actor"),
         F.when(key % 7 == 0, "create").when(key % 7 == 1, "delete").otherwise("update").alias("action"),
-        F.concat(F.lit("cam_"), F.col("o_custkey") % 40).alias("camera_id"),
+        F.when(key % 97 != 0, F.concat(F.lit("cam_"), F.col("o_custkey") % 40)).alias("camera_id"),
         F.when(key % 4 == 0, F.concat(F.lit("name_"), key)).alias("name"),
         F.when(key % 2 == 0, F.floor(price / 5000) - 5).cast("double").alias("latitude"),
         F.when(key % 2 == 0, F.floor(price / 2500) - 20).cast("double").alias("longitude"),
         F.when(key % 3 == 0, F.col("o_orderpriority")).alias("road_segment"),
         F.lit(None).cast("string").alias("description"),
+        F.when(key % 12 == 1, F.array(F.lit("road_segment"))).alias("cleared"),
         F.col("o_orderdate").cast("timestamp").alias("changed_at"),
     )
 
 
 def acknowledgements(alerts: DataFrame) -> DataFrame:
-    """Two requests per alert that lasted several windows, and one for an alert that never was."""
+    """Two requests per alert that lasted several windows, one for an alert that never was, and one without an id."""
     stamp = F.unix_seconds("triggered_at")
     known = alerts.select(
-        "alert_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n"), stamp.alias("stamp"), "camera_id"
-    ).filter((F.col("n") == 3) | (F.col("stamp") / 21600 % 3 != 0))
+        "alert_id", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("n"), stamp.alias("stamp"), "camera_id"
+    ).filter((F.col("n") >= 3) | (F.col("stamp") / 21600 % 3 != 0))
     return known.select(
         (F.col("stamp") * 1000 + F.substring_index("camera_id", "_", -1).cast("long") * 10 + F.col("n")).alias("ack_id"),
-        F.when(F.col("n") == 3, F.concat("alert_id", F.lit("#"))).otherwise(F.col("alert_id")).alias("alert_id"),
+        F.when(F.col("n") == 3, F.concat("alert_id", F.lit("#"))).when(F.col("n") < 3, F.col("alert_id")).alias("alert_id"),
         F.concat(F.lit("admin_"), "n").alias("admin_id"),
         plus_seconds(F.timestamp_seconds("stamp"), 600 * (F.lit(4) - F.col("n"))).alias("acknowledged_at"),
     )
