@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraphs.
 
-A text's paragraphs are its lines, and longer lines cut after sentence ends; each different one is a 64-bit digest.
+A text's paragraphs are its lines, longer ones in pieces of PIECE characters; each different one is a 64-bit digest.
 A sketch has 3 regions of CELLS / 3 cells; a digest goes to one cell of each region, where a count, the exclusive-or of
 the digests and that of their checks are kept. The fingerprint is the number of digests and one such sketch.
 
@@ -15,7 +15,8 @@ Everything is built-in column functions in one row; no row grows other than with
 The next document is found without a global order: documents are dealt to slices of ids at approximate quantiles, and
 each slice also gets the first document of the next. Texts are shuffled once.
 
-Defined results: NULL is the empty text, which has one empty paragraph. Rows with one id follow each other in the
+Defined results: NULL is the empty text, which has no paragraph, as blank lines have none; two texts without any have
+likeness 1. Rows with one id follow each other in the
 order of their texts. A NULL id comes first. A single document is its own next. An empty table gives an empty result.
 """
 
@@ -29,20 +30,22 @@ from pyspark.sql import Window as W
 
 from roadpulse.llm.common import documents, stored
 
-CELLS = 24
-REGION = CELLS // 3
+REGION_BITS = 3
+REGION = 1 << REGION_BITS
+CELLS = 3 * REGION
 #: Digests that a sketch is expected to recover.
 LOAD = 10
 ATTEMPTS = 3
 #: Slices for each shuffle partition; that many ids at most reach the driver.
 SLICES = 4
-#: A paragraph ends at a line break, or after a sentence end that white space follows.
-PARAGRAPH_END = r"\n|(?<=[.!?])[ \t]+"
+PIECE = 240
+PARAGRAPH = r"[^\n]{1,%d}" % PIECE
 
 
 def digests(text: Column) -> Column:
     """Different digests of a text's paragraphs."""
-    return F.array_distinct(F.transform(F.split(text, PARAGRAPH_END), lambda p: F.xxhash64(p)))
+    pieces = F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
+    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
 def _let(value: Column, body) -> Column:
@@ -69,9 +72,9 @@ def _entry(digest: Column, sign: Column, seed: Column) -> Column:
 
 
 def _summed(entries: Column, i: Column) -> Column:
-    """What the entries with cell ``i`` add to it."""
+    """What the entries with cell ``i`` add to it. Each has one cell in a region."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
-    mine = F.filter(entries, lambda e: F.array_contains(e["at"], i))
+    mine = F.filter(entries, lambda e: F.get(e["at"], F.shiftright(i, REGION_BITS)) == i)
     return F.aggregate(mine, zero, lambda s, e: F.struct(
         (s["n"] + e["n"]).alias("n"), s["x"].bitwiseXOR(e["x"]).alias("x"), s["c"].bitwiseXOR(e["c"]).alias("c")
     ))
@@ -89,8 +92,8 @@ def subtract(a: Column, b: Column) -> Column:
     ))
 
 
-#: Passes over the regions; each empties a region's pure cells.
-PASSES = 3 * 5
+#: Passes over the regions; each empties a region's pure cells. Three in a row without any are the end.
+PASSES = 3 * 6
 
 
 def peel(cells: Column, seed: Column) -> Column:
@@ -109,14 +112,16 @@ def peel(cells: Column, seed: Column) -> Column:
                 (c["n"] - s["n"]).alias("n"), c["x"].bitwiseXOR(s["x"]).alias("x"), c["c"].bitwiseXOR(s["c"]).alias("c")
             )))
             plus = F.size(F.filter(found, lambda e: e["n"] == 1))
-            return F.when(F.size(found) == 0, state).otherwise(F.struct(
-                left.alias("cells"), (state["plus"] + plus).alias("plus"),
+            none = F.size(found) == 0
+            return F.struct(
+                F.when(none, state["cells"]).otherwise(left).alias("cells"), (state["plus"] + plus).alias("plus"),
                 (state["minus"] + F.size(found) - plus).alias("minus"),
-            ))
+                F.when(none, state["idle"] + 1).otherwise(0).alias("idle"),
+            )
 
-        return _let(taken, without)
+        return F.when(state["idle"] >= 3, state).otherwise(_let(taken, without))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("plus"), F.lit(0).alias("minus"))
+    start = F.struct(*[x.alias(n) for n, x in (("cells", cells), ("plus", F.lit(0)), ("minus", F.lit(0)), ("idle", F.lit(0)))])
     return F.aggregate(F.sequence(F.lit(0), F.lit(PASSES - 1)), start, step)
 
 
@@ -156,7 +161,8 @@ def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column
         return F.when(state["done"], state).otherwise(larger)
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS + 1)), start, retry)
-    return _let(found, lambda o: (F.size(a) - o["plus"]).cast("double") / (F.size(a) + o["minus"]))
+    every = lambda o: F.size(a) + o["minus"]
+    return _let(found, lambda o: F.when(every(o) == 0, 1.0).otherwise((F.size(a) - o["plus"]).cast("double") / every(o)))
 
 
 def encoded(digest_array: Column, cells: Column) -> Column:
