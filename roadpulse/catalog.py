@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,7 @@ CALIBRATION = {"cam_0": 0.10, "cam_1": 0.02}
 RANGE_A = (datetime(2024, 1, 2), datetime(2024, 1, 10))
 RANGE_B = (datetime(2024, 1, 8), datetime(2024, 1, 20))
 EPISODE = Episode(start_threshold=0.45, end_threshold=0.40, min_steps=2, step_seconds=3600)
+ARRIVALS = [datetime(2024, 1, day) for day in (1, 7, 13, 19, 25)]
 SHAPE = ForecastWindow(t_in=4, t_out=2, step_seconds=WINDOW, hops=1, vehicle_count_max=25.0, speed_max_kmh=60.0)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -386,6 +389,33 @@ def retention_counts(spark, sf):
     return _sweep(spark, sf)["deleted"]
 
 
+def _dated_tables(spark, sf, folder: str) -> tuple[str, str, str]:
+    for name, rows, column in (("events", tb.raw_events(spark, sf), "ts"), ("metrics", _metrics(spark, sf), "window_start")):
+        rows.withColumn("date", F.to_date(column)).write.partitionBy("date").parquet(f"{folder}/{name}")
+    return f"{folder}/events", f"{folder}/metrics", f"{folder}/archive"
+
+
+@query
+def retention_job(spark, sf):
+    """What the job reports, and what it leaves in both tables."""
+    paths = _dated_tables(spark, sf, shared_folder(spark, "retention"))
+    retention = Retention(events_hours=250, metrics_days=20)
+    events, metrics = mt.retention_job(spark, *paths, _as_of(spark, sf), retention)
+    left = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).scalar() for p in paths[:2]]
+    return spark.range(1).select(
+        F.lit(events).cast("bigint").alias("events_deleted"), F.lit(metrics).cast("bigint").alias("metrics_deleted"),
+        left[0].alias("events_left"), left[1].alias("metrics_left"),
+    )
+
+
+@query
+def archive_roundtrip(spark, sf):
+    """The archive as it is read back after the job."""
+    paths = _dated_tables(spark, sf, shared_folder(spark, "archive"))
+    mt.retention_job(spark, *paths, _as_of(spark, sf), Retention(events_hours=250, metrics_days=20))
+    return spark.read.parquet(f"{paths[2]}/*").select("camera_id", "date", *[c for c in wn.METRIC_COLUMNS if c != "camera_id"])
+
+
 @query
 def archive_candidates(spark, sf):
     return _text(_sweep(spark, sf)["archive"])
@@ -712,6 +742,18 @@ def _drain(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
+def _arriving(spark, sf, folder: str):
+    """The detections as a stream that grows by some days at a time; a step of the loop for each growth."""
+    rows = tb.raw_events(spark, sf)
+    stream = None
+    for begin, end in zip(ARRIVALS, [*ARRIVALS[1:], None]):
+        days = [] if begin is ARRIVALS[0] else [F.col("ts") >= pj.moment(begin)]
+        days += [] if end is None else [F.col("ts") < pj.moment(end)]
+        rows.filter(reduce(and_, days)).write.mode("append").parquet(f"{folder}/events")
+        stream = stream or spark.readStream.schema(rows.schema).parquet(f"{folder}/events")
+        yield stream
+
+
 @query
 def stream_window_metrics(spark, sf):
     stream = smt.stream_metrics(tb.raw_events(spark, sf, stream=True), WINDOW, scoring=SCORING)
@@ -734,14 +776,57 @@ def stream_speed(spark, sf):
 
 @query
 def stream_alerts(spark, sf):
+    """Alerts of a metrics table that arrives in several batches."""
     folder = shared_folder(spark, "stream_alerts")
-    metrics = smt.stream_metrics(tb.raw_events(spark, sf, stream=True), WINDOW, scoring=SCORING)
-    _drain(metrics, f"{folder}/metrics")
-    rows = smt.read_metrics_stream(spark, f"{folder}/metrics/table")
-    changes = _drain(sal.stream_alerts(rows, tb.camera_registry(spark, sf)), f"{folder}/alerts")
+    for events in _arriving(spark, sf, folder):
+        _drain(smt.stream_metrics(events, WINDOW, scoring=SCORING), f"{folder}/metrics")
+        rows = smt.read_metrics_stream(spark, f"{folder}/metrics/table")
+        changes = _drain(sal.stream_alerts(rows, tb.camera_registry(spark, sf)), f"{folder}/alerts")
+    return sal.current_alerts(changes)
+
+
+@query
+def stream_detections_to_alerts(spark, sf):
+    """Windows and alerts of one query over several batches of detections."""
+    folder = shared_folder(spark, "stream_chain")
+    for events in _arriving(spark, sf, folder):
+        changes = sal.detections_to_alerts(events, tb.camera_registry(spark, sf), WINDOW, scoring=SCORING)
+        changes = _drain(changes, f"{folder}/alerts")
     return sal.current_alerts(changes)
 
 
+@query
+def stream_upsert(spark, sf):
+    """The windows, later figures for some of them, and what a reader sees after old batches are folded."""
+    folder = shared_folder(spark, "stream_upsert")
+    metrics = _metrics_table(spark, sf)
+    for n, rows in enumerate((metrics, _recount(metrics))):
+        rows.write.parquet(f"{folder}/in/{n}")
+        stream = spark.readStream.schema(metrics.schema).parquet(f"{folder}/in/*")
+        ssk.upsert_stream(stream, f"{folder}/log", f"{folder}/checkpoint", every=None).awaitTermination()
+    ssk.compact_upserts(spark, f"{folder}/log", RANGE_B[1].date())
+    return _text(ssk.read_upserted(spark, f"{folder}/log").drop("date"))
+
+
+@query
+def stream_snapshots(spark, sf):
+    """What subscribers get of the newest window of a dated metrics table."""
+    folder = shared_folder(spark, "stream_snapshots")
+    metrics = _metrics_table(spark, sf)
+    dated = metrics.withColumn("date", F.to_date("window_start"))
+    dated.write.partitionBy("date").parquet(f"{folder}/metrics")
+    stream = spark.readStream.schema(metrics.schema).parquet(f"{folder}/metrics")
+    started = ssk.publish_snapshots(
+        stream, f"{folder}/metrics", f"{folder}/out", f"{folder}/checkpoint", minutes=1440, every=None, lookback_minutes=400 * 1440
+    )
+    started.awaitTermination()
+    field = lambda c: F.get_json_object("data", f"$.{c}")
+    return spark.read.parquet(f"{folder}/out").select(
+        "event", field("camera_id").alias("camera_id"), field("vehicle_count").cast("bigint").alias("vehicle_count"),
+        field("congestion_level").alias("congestion_level"), field("avg_vehicle_count").cast("double").alias("avg_vehicle_count"),
+    )
+
+
 @query
 def stream_events(spark, sf):
     """New alerts of a metrics stream as envelopes, as a subscriber to that type sees them."""

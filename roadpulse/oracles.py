@@ -549,6 +549,11 @@ ORACLES: dict[str, str] = {
         "FROM m UNION ALL SELECT * REPLACE (vehicle_count + 100 AS vehicle_count, window_start + INTERVAL 400 DAY AS "
         "window_start, window_end + INTERVAL 400 DAY AS window_end) FROM m WHERE queue_length > 0"
     ),
+    "stream_upsert": with_base(
+        "SELECT * REPLACE (CASE WHEN queue_length > 0 THEN vehicle_count + 100 ELSE vehicle_count END AS vehicle_count) "
+        "FROM m UNION ALL SELECT * REPLACE (vehicle_count + 100 AS vehicle_count, window_start + INTERVAL 400 DAY AS "
+        "window_start, window_end + INTERVAL 400 DAY AS window_end) FROM m WHERE queue_length > 0"
+    ),
     "camera_changes": "WITH " + CAMERAS + "," + CHANGES + """
 SELECT coalesce(c.camera_id, f.camera_id) AS camera_id,
   coalesce(f.name, CASE WHEN reset IS NULL THEN c.name END, coalesce(c.camera_id, f.camera_id)) AS name,
@@ -736,7 +741,35 @@ WHERE s.t_idx >= 3 AND s.t_idx <= (SELECT max(t_idx) FROM dense) - 2""",
     "stream_speed": with_events(
         f"SELECT frame_id, camera_id, vehicle_id, ts, {r('speed_kmh', 6)} AS speed_kmh FROM filled", SPEED
     ),
-    "stream_alerts": with_base("SELECT * FROM alerts", CLOSED, CAMERAS, ALERTS.format(metrics="mc")),
+    "stream_alerts": with_base(
+        "SELECT * FROM alerts",
+        CLOSED,
+        "passed AS (SELECT * FROM mc WHERE window_start <= (SELECT max(window_start) FROM mc) - INTERVAL 1 SECOND)",
+        CAMERAS,
+        ALERTS.format(metrics="passed"),
+    ),
+    "stream_detections_to_alerts": with_base(
+        "SELECT * FROM alerts",
+        CLOSED,
+        CAMERAS,
+        ALERTS.format(metrics="mc"),
+    ),
+    "stream_snapshots": with_base(
+        "SELECT 'traffic_metrics_update' AS event, camera_id, CAST(vehicle_count AS BIGINT) AS vehicle_count, congestion_level, "
+        "CAST(NULL AS DOUBLE) AS avg_vehicle_count FROM latest UNION ALL "
+        f"SELECT 'heatmap_update', camera_id, NULL, NULL, {r('avg_count', 2)} FROM heat",
+        LATEST,
+        HEAT,
+    ),
+    "retention_job": with_base(
+        f"SELECT (SELECT count(*) FROM ev WHERE ts < {AS_OF} - INTERVAL 250 HOUR) AS events_deleted, "
+        f"(SELECT count(*) FROM m WHERE window_start < {AS_OF} - INTERVAL 20 DAY) AS metrics_deleted, "
+        f"(SELECT count(*) FROM ev WHERE ts >= {AS_OF} - INTERVAL 250 HOUR) AS events_left, "
+        f"(SELECT count(*) FROM m WHERE window_start >= {AS_OF} - INTERVAL 20 DAY) AS metrics_left"
+    ),
+    "archive_roundtrip": with_base(
+        f"SELECT *, CAST(window_start AS DATE) AS date FROM m WHERE window_start < {AS_OF} - INTERVAL 20 DAY"
+    ),
     "stream_events": with_base(
         "SELECT 'new_alert' AS event, camera_id, congestion_level AS severity, "
         "strftime(window_end, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS window_end, congestion_score AS score FROM mc "

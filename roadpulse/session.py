@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -32,4 +34,26 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="roadpulse-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+    folder = os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+    if not _made:
+        atexit.register(drop_intermediates)
+    _made.append((spark, folder))
+    return folder
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def drop_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder in whatever store it is; whether there was one."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_intermediates() -> None:
+    """Delete what this process wrote to the shared folder. Runs at its end, if the session still runs then."""
+    while _made:
+        spark, folder = _made.pop()
+        with contextlib.suppress(Exception):  # the session is gone
+            drop_folder(spark, folder)

@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from roadpulse.config import LATENESS_SECONDS, WINDOW_SECONDS, Scoring
 from roadpulse.functions.rules import severity_of
 from roadpulse.operators.alerts import describe, with_alert_segment
 from roadpulse.operators.projections import camera_wide
+from roadpulse.streaming.metrics import stream_metrics
 
+# Times are whole microseconds in state and on the way to it, so that no zone can move them.
 CHANGES = (
-    "camera_id string, change string, _at timestamp, triggered_at timestamp, resolved_at timestamp, "
+    "camera_id string, change string, _at bigint, triggered_at bigint, resolved_at bigint, "
     "_severity string, congestion_level string, congestion_score double"
 )
+NAMES = [field.split()[0] for field in CHANGES.split(", ")]
 
 
 # Workers get the processor with its code, so the package need not be installed there.
@@ -26,55 +30,91 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class AlertState(StatefulProcessor):
-    """State is the open alert's opening time with the level and score it shows; none while nothing is open."""
+    """The machine takes the windows of a camera in the order of their start, each once the watermark has reached it.
+
+    State is the open alert (opening time, and the severity, level and score it shows) and the windows that wait for
+    the watermark. A window that comes after the watermark has passed its start is late and dropped, as everywhere.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._open = handle.getValueState("open", "triggered_at timestamp, severity string, level string, score double")
+        self._handle = handle
+        self._open = handle.getValueState("open", "triggered_at bigint, severity string, level string, score double")
+        self._waiting = handle.getListState("waiting", "start bigint, end bigint, severity string, level string, score double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        windows = pd.concat(list(rows)).sort_values("window_start")
-        opened = self._open.get() if self._open.exists() else None
-        before = opened
+        for pdf in rows:
+            columns = [pdf[c].tolist() for c in ("start", "end", "severity", "congestion_level", "congestion_score")]
+            for start, end, severity, level, score in zip(*columns):
+                self._waiting.appendValue((start, end, severity if isinstance(severity, str) else None, level, score))
+                self._handle.registerTimer(start // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted((tuple(w) for w in self._waiting.get()), key=lambda w: w[0]) if self._waiting.exists() else []
+        due = [w for w in waiting if w[0] <= passed]
+        if not due:
+            return
+        opened = tuple(self._open.get()) if self._open.exists() else None
         changes = []
-        for w in windows.itertuples(index=False):
-            at = w.window_end.to_pydatetime()
-            if isinstance(w.severity, str):
+        for _, end, severity, level, score in due:
+            if severity is not None:
                 change = "updated" if opened else "opened"
-                opened = (opened[0] if opened else at, w.severity, w.congestion_level, w.congestion_score)
-                changes.append((key[0], change, at, opened[0], None, *opened[1:]))
+                opened = (opened[0] if opened else end, severity, level, score)
+                changes.append((key[0], change, end, opened[0], None, *opened[1:]))
             elif opened:
-                changes.append((key[0], "resolved", at, opened[0], at, *opened[1:]))
+                changes.append((key[0], "resolved", end, opened[0], end, *opened[1:]))
                 opened = None
         if opened:
             self._open.update(opened)
-        elif before:
+        elif self._open.exists():
             self._open.clear()
-        names = [field.split()[0] for field in CHANGES.split(", ")]
-        out = pd.DataFrame(changes, columns=names)
-        for name in ("_at", "triggered_at", "resolved_at"):
-            out[name] = pd.to_datetime(out[name])
-        yield out
+        later = waiting[len(due) :]
+        if later:
+            self._waiting.put(later)
+        else:
+            self._waiting.clear()
+        if changes:
+            out = pd.DataFrame(changes, columns=NAMES)
+            yield out.astype({"_at": "int64", "triggered_at": "int64", "resolved_at": "Int64"})
 
 
 def stream_alerts(metrics: DataFrame, registry: DataFrame) -> DataFrame:
-    """Every opening, update and resolution as an alert row with ``change`` and ``changed_at``."""
+    """Every opening, update and resolution as an alert row with ``change`` and ``changed_at``.
+
+    ``metrics`` needs a watermark: that of ``read_metrics_stream``, or of the detections it is aggregated from. What
+    the batch operator would say of the windows up to the watermark is said, in their order, whatever batch they
+    come in.
+    """
+    micros = lambda c: F.unix_micros(F.col(c))
     rows = camera_wide(metrics).select(
         "camera_id",
-        "window_start",
-        "window_end",
+        micros("window_start").alias("start"),
+        micros("window_end").alias("end"),
         severity_of(F.col("congestion_level")).alias("severity"),
         "congestion_level",
         "congestion_score",
     )
     changes = rows.groupBy("camera_id").transformWithStateInPandas(
-        AlertState(), outputStructType=CHANGES, outputMode="append", timeMode="none"
+        AlertState(), outputStructType=CHANGES, outputMode="append", timeMode="eventTime"
     )
-    located = with_alert_segment(changes, registry)
-    return describe(located, F.col("change"), F.col("_at").alias("changed_at"))
+    timed = changes.withColumns({c: F.timestamp_micros(F.col(c)) for c in ("_at", "triggered_at", "resolved_at")})
+    return describe(with_alert_segment(timed, registry), F.col("change"), F.col("_at").alias("changed_at"))
+
+
+def detections_to_alerts(
+    events: DataFrame,
+    registry: DataFrame,
+    seconds: int = WINDOW_SECONDS,
+    lateness_seconds: int = LATENESS_SECONDS,
+    scoring: Scoring = Scoring(),
+) -> DataFrame:
+    """Windows and alerts chained in one query, with no table in between."""
+    return stream_alerts(stream_metrics(events, seconds, lateness_seconds, scoring), registry)
 
 
 def current_alerts(changes: DataFrame) -> DataFrame:
     """The alerts table behind a log of changes: the newest change of each alert."""
-    columns = [c for c in changes.columns if c not in ("change", "changed_at")]
+    columns = [c for c in changes.columns if c not in ("change", "changed_at", "alert_id")]
     newest = F.max_by(F.struct(*columns), "changed_at").alias("row")
-    return changes.groupBy("alert_id").agg(newest).select("row.*")
+    return changes.groupBy("alert_id").agg(newest).select("alert_id", "row.*")

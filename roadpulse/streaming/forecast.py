@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from roadpulse.config import Episode, ForecastWindow
@@ -12,7 +11,7 @@ from roadpulse.operators.features import dense_signal, features
 from roadpulse.operators.forecast_ml import Forecaster, predict_lanes
 from roadpulse.operators.gapfill import fill_gaps
 from roadpulse.operators.projections import recent_lanes
-from roadpulse.streaming.sinks import write_batch
+from roadpulse.streaming.sinks import newest_window, recent, write_batch
 
 
 def recent_signal(metrics: DataFrame, nodes: DataFrame, as_of, minutes: int, window: ForecastWindow) -> DataFrame:
@@ -41,10 +40,11 @@ def stream_forecast(
     spark = trigger_rows.sparkSession
 
     def predict(rows: DataFrame, batch_id: int) -> None:
-        as_of = rows.agg(F.max("window_end")).first()[0]
+        as_of = newest_window(rows)
         if as_of is None:
             return
-        dense = recent_signal(spark.read.parquet(metrics_path), nodes, as_of, lookback_minutes, window)
+        metrics = recent(spark.read.parquet(metrics_path), as_of, lookback_minutes)
+        dense = recent_signal(metrics, nodes, as_of, lookback_minutes, window)
         forecast = predict_lanes(model, dense, nodes, edges, window)
         write_batch(forecast_messages(forecast, as_of, episode), out_path, batch_id)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,6 +12,7 @@ from roadpulse.operators.dashboard import heat_snapshot
 from roadpulse.operators.latest import latest_per_camera
 from roadpulse.operators.maintenance import METRIC_KEY
 from roadpulse.operators.windows import METRIC_COLUMNS
+from roadpulse.session import drop_folder, shared_folder
 from roadpulse.streaming.events import to_envelope
 
 
@@ -18,13 +21,32 @@ def _start(writer, every: str | None) -> StreamingQuery:
     return writer.trigger(**trigger).start()
 
 
-def write_raw(df: DataFrame, path: str, checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
+def write_raw(
+    df: DataFrame, path: str, checkpoint: str, every: str | None = "1 second", dated_by: str | None = None
+) -> StreamingQuery:
     """B1: append rows as Parquet, one commit per trigger. Without ``every`` the stream drains and stops.
 
-    Also the sink for windowed metrics, as the watermark lets each window out once.
+    Also the sink for windowed metrics, as the watermark lets each window out once. ``dated_by`` names the time whose
+    date the table is partitioned by, so that readers of a few days list and read only these.
     """
+    if dated_by:
+        df = df.withColumn("date", F.to_date(dated_by))
     writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    return _start(writer, every)
+    return _start(writer.partitionBy("date") if dated_by else writer, every)
+
+
+def recent(table: DataFrame, as_of: Column, minutes: int) -> DataFrame:
+    """Rows of a table of windows from the ``minutes`` before ``as_of``; of a dated table only these days are read."""
+    start = as_of - F.make_dt_interval(mins=F.lit(minutes))
+    if "date" in table.columns:
+        table = table.filter(F.col("date").between(F.to_date(start), F.to_date(as_of)))
+    return table.filter((F.col("window_start") >= start) & (F.col("window_end") <= as_of))
+
+
+def newest_window(rows: DataFrame) -> Column | None:
+    """End of the newest window of a batch, as a column that no zone can move; None if there are no rows."""
+    micros = rows.agg(F.max(F.unix_micros("window_end"))).first()[0]
+    return None if micros is None else F.timestamp_micros(F.lit(micros))
 
 
 def write_batch(rows: DataFrame, path: str, batch_id: int, date: str | None = None) -> None:
@@ -49,10 +71,40 @@ def upsert_stream(metrics: DataFrame, path: str, checkpoint: str, every: str | N
 
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    """B2: the metrics table behind the log. Filters on the window's date prune its folders."""
-    log = spark.read.parquet(path)
-    newest = F.max_by(F.struct(*METRIC_COLUMNS), "batch").alias("row")
-    return log.groupBy(*METRIC_KEY).agg(newest).select("row.*")
+    """B2: the metrics table behind the log, with its ``date``.
+
+    The key and the date are grouping columns of the result, so that filters on them reach the scan: one on ``date``
+    prunes folders, one on the key is pushed into the files.
+    """
+    return _newest(spark.read.parquet(path)).select(*METRIC_COLUMNS, "date")
+
+
+def _newest(log: DataFrame) -> DataFrame:
+    others = [c for c in METRIC_COLUMNS if c not in METRIC_KEY]
+    newest = F.max_by(F.struct("batch", *others), "batch").alias("row")
+    return log.groupBy(*METRIC_KEY, "date").agg(newest).select(*METRIC_KEY, "date", "row.*")
+
+
+def compact_upserts(spark: SparkSession, path: str, before: date) -> int:
+    """B2: fold the batches of each date before ``before`` into its newest; the number of folders that went.
+
+    The folded rows replace the newest batch of their date first, then the older batches go. A job that is stopped in
+    between leaves batches whose rows the folded ones override, so that it can run again.
+    """
+    log = spark.read.parquet(path).filter(F.col("date") < F.lit(before.isoformat()).cast("date"))
+    parts = log.select("date", "batch").distinct()
+    last = parts.groupBy("date").agg(F.max("batch").alias("batch"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dates = {row["date"]: row["batch"] for row in last.collect()}  # one row per date that has several batches
+    if not dates:
+        return 0
+    old = [r for r in parts.collect() if r["date"] in dates and r["batch"] < dates[r["date"]]]
+    folded = _newest(log.join(F.broadcast(last.select("date")), "date")).drop("batch")
+    folded = folded.join(F.broadcast(last.select("date", "batch")), "date")
+    staged = shared_folder(spark, "compacted")
+    folded.write.partitionBy("date", "batch").parquet(staged)
+    rows = spark.read.parquet(staged)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path)
+    return sum(drop_folder(spark, f"{path}/date={r['date']}/batch={r['batch']}") for r in old)
 
 
 def publish_snapshots(
@@ -62,18 +114,20 @@ def publish_snapshots(
     checkpoint: str,
     minutes: int = 5,
     every: str | None = "5 seconds",
+    lookback_minutes: int = 1440,
 ) -> StreamingQuery:
     """On every trigger, the latest metrics and the heat of the last minutes as envelopes.
 
-    ``trigger_rows`` is the metrics stream; its newest window is the moment the snapshot describes.
+    ``trigger_rows`` is the metrics stream; its newest window is the moment the snapshot describes. A camera that has
+    been silent for ``lookback_minutes`` is not in it, so that a dated metrics table is read for these minutes only.
     """
     spark = trigger_rows.sparkSession
 
     def publish(rows: DataFrame, batch_id: int) -> None:
-        as_of = rows.agg(F.max("window_end")).first()[0]
+        as_of = newest_window(rows)
         if as_of is None:
             return
-        metrics = spark.read.parquet(metrics_path).filter(F.col("window_end") <= F.lit(as_of))
+        metrics = recent(spark.read.parquet(metrics_path), as_of, max(minutes, lookback_minutes)).drop("date")
         latest = to_envelope(latest_per_camera(metrics), "traffic_metrics_update", as_of)
         heat = to_envelope(heat_snapshot(metrics, as_of, minutes), "heatmap_update", as_of)
         write_batch(latest.unionByName(heat), out_path, batch_id)
