@@ -55,7 +55,7 @@ RANGE_A = (datetime(2024, 1, 2), datetime(2024, 1, 10))
 RANGE_B = (datetime(2024, 1, 8), datetime(2024, 1, 20))
 EPISODE = Episode(start_threshold=0.45, end_threshold=0.40, min_steps=2, step_seconds=3600)
 ARRIVALS = [datetime(2024, 1, day) for day in (1, 7, 13, 19, 25)]
-SHAPE = ForecastWindow(t_in=4, t_out=2, step_seconds=WINDOW, hops=1, vehicle_count_max=25.0, speed_max_kmh=60.0)
+SHAPE = ForecastWindow(step_seconds=WINDOW, vehicle_count_max=25.0, speed_max_kmh=60.0)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -516,14 +516,13 @@ def _whole_text(values: Column) -> Column:
 
 @query
 def sliding_samples(spark, sf):
-    samples = ft.sliding_samples(_dense(spark, sf), SHAPE.t_in, SHAPE.t_out, check=False)
-    first = F.transform("x", lambda row: row[0])
-    scores = F.transform("x", lambda row: row[3])
+    samples = ft.sliding_samples(_dense(spark, sf), SHAPE.t_in, SHAPE.t_out)
+    column = lambda i: F.transform("x", lambda row: row[i])
+    inputs = [_whole_text(column(i)).alias(f"x_{name}") for i, name in enumerate(ft.FEATURES)]
     return samples.select(
         "node",
         "start",
-        _whole_text(first).alias("x_counts"),
-        _whole_text(scores).alias("x_scores"),
+        *inputs,
         _whole_text(F.col("y_vehicle_count")).alias("y_counts"),
         _whole_text(F.col("y_congestion_prob")).alias("y_probs"),
         F.array_join(F.col("y_congestion_level").cast("array<string>"), ",").alias("y_levels"),
@@ -621,8 +620,10 @@ def forecast_messages(spark, sf):
         first("forecast_horizon_steps").cast("int").alias("steps"),
         first("congestion_start").alias("congestion_start"),
         first("peak_congestion_probability").cast("double").alias("peak"),
-        first("summary_levels[0]").alias("first_level"),
-        first("summary_timestamps[0]").alias("first_at"),
+        first("congestion_end").alias("congestion_end"),
+        first("summary_levels").alias("levels"),
+        first("summary_timestamps").alias("times"),
+        first("summary_counts").alias("counts"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.config import SEVERE_ROW_MINUTES
-from roadpulse.functions.rules import incident_flag
+from roadpulse.functions.rules import incident_flag, round_stable
 from roadpulse.operators.projections import Moment, between, camera_wide, in_range
 
 SUMMARY = ("average_congestion", "vehicle_count", "average_speed_kmh", "incident_count", "peak_hour")
@@ -155,4 +155,6 @@ def top_segments(
         _share("_queue_sum", "_queue_n").alias("average_queue_length"),
         "incident_count",
     )
-    return ranked.orderBy(F.desc("average_congestion"), F.desc("severe_minutes"), "segment_key").limit(k)
+    # Equal means may differ by rounding noise of a distributed sum, which must not decide.
+    mean = round_stable(F.col("average_congestion"), 9)
+    return ranked.orderBy(mean.desc(), F.desc("severe_minutes"), "segment_key").limit(k)

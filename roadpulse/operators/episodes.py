@@ -161,7 +161,8 @@ def forecast_messages(forecast: DataFrame, generated_at: Moment, config: Episode
     """
     made = iso(moment(generated_at))
     lanes = lane_forecasts(forecast, config)
-    count = lanes.agg(F.count(F.lit(1)).alias("n")).scalar()
+    # Every series has a first step; counting these spares a second run of the episodes.
+    count = forecast.filter(F.col("step") == 0).agg(F.count(F.lit(1)).alias("n")).scalar()
     times = F.transform(downsample(F.col("forecast_timestamps")), lambda at: iso(at))
     body = F.struct(
         "camera_id",

@@ -364,6 +364,10 @@ METRIC_NAMES = (
 )
 CLOSED = "mc AS (SELECT * FROM m WHERE window_end <= (SELECT max(ts) FROM ev) - INTERVAL 1 SECOND)"
 
+FEATURE_NAMES = (
+    "vehicle_count", "avg_speed_kmh", "stopped_ratio", "congestion_score", "hour_sin", "hour_cos", "dow_sin", "dow_cos"
+)
+WHOLE = "CAST(CAST(round(CAST(d.{c} * 10000 AS DECIMAL(18,6)), 0) AS BIGINT) AS VARCHAR)"
 EXPORT_TIME = "coalesce(strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') || 'Z', '') AS {c}"
 
 ENVELOPE_TS = f"{AS_OF} AS ts"
@@ -436,7 +440,7 @@ ORACLES: dict[str, str] = {
         f"{r('avg(queue_length)', 6)} AS average_queue_length, "
         "count(*) FILTER (congestion_level IN ('HIGH', 'SEVERE')) AS incident_count "
         f"FROM m LEFT JOIN cameras c ON c.camera_id = m.camera_id WHERE lane_id IS NULL AND {range_b()} GROUP BY 1 "
-        "ORDER BY avg(congestion_score) DESC, severe_minutes DESC, 1 LIMIT 10",
+        "ORDER BY round(avg(congestion_score), 9) DESC, severe_minutes DESC, 1 LIMIT 10",
         CAMERAS,
     ),
     "compare_ranges": with_base(
@@ -590,7 +594,7 @@ FROM judged WHERE status = 'applied'""",
     ),
     "recent_input": with_base(
         f"SELECT window_start, node, {ROUNDED_FEATURES}, congestion_level_idx, congestion_prob FROM dense "
-        "WHERE t_idx > (SELECT max(t_idx) FROM dense) - 4",
+        "WHERE t_idx > (SELECT max(t_idx) FROM dense) - 12",
         *DENSE_CTES,
     ),
     "sliding_samples": with_base(
@@ -598,15 +602,14 @@ FROM judged WHERE status = 'applied'""",
         + ", ".join(
             f"string_agg({expr}, ',' ORDER BY d.t_idx) FILTER ({where}) AS {name}"
             for name, expr, where in (
-                ("x_counts", "CAST(CAST(round(CAST(d.vehicle_count * 10000 AS DECIMAL(18,6)), 0) AS BIGINT) AS VARCHAR)", "d.t_idx < s.t_idx + 4"),
-                ("x_scores", "CAST(CAST(round(CAST(d.congestion_score * 10000 AS DECIMAL(18,6)), 0) AS BIGINT) AS VARCHAR)", "d.t_idx < s.t_idx + 4"),
-                ("y_counts", "CAST(CAST(round(CAST(d.vehicle_count * 10000 AS DECIMAL(18,6)), 0) AS BIGINT) AS VARCHAR)", "d.t_idx >= s.t_idx + 4"),
-                ("y_probs", "CAST(CAST(d.congestion_prob * 10000 AS BIGINT) AS VARCHAR)", "d.t_idx >= s.t_idx + 4"),
-                ("y_levels", "CAST(d.congestion_level_idx AS VARCHAR)", "d.t_idx >= s.t_idx + 4"),
+                *((f"x_{c}", WHOLE.format(c=c), "d.t_idx < s.t_idx + 12") for c in FEATURE_NAMES),
+                ("y_counts", WHOLE.format(c="vehicle_count"), "d.t_idx >= s.t_idx + 12"),
+                ("y_probs", "CAST(CAST(d.congestion_prob * 10000 AS BIGINT) AS VARCHAR)", "d.t_idx >= s.t_idx + 12"),
+                ("y_levels", "CAST(d.congestion_level_idx AS VARCHAR)", "d.t_idx >= s.t_idx + 12"),
             )
         )
-        + " FROM dense s JOIN dense d ON d.node = s.node AND d.t_idx BETWEEN s.t_idx AND s.t_idx + 5 "
-        "WHERE s.t_idx <= (SELECT max(t_idx) FROM dense) - 5 GROUP BY 1, 2",
+        + " FROM dense s JOIN dense d ON d.node = s.node AND d.t_idx BETWEEN s.t_idx AND s.t_idx + 17 "
+        "WHERE s.t_idx <= (SELECT max(t_idx) FROM dense) - 17 GROUP BY 1, 2",
         *DENSE_CTES,
     ),
     "ewma_forecast": with_base(
@@ -672,10 +675,18 @@ state AS (SELECT camera_id,
         "SELECT e.camera_id || '/' || e.lane_id AS key, (SELECT count(*) FROM epi) AS num_lanes, "
         f"strftime({AS_OF}, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS generated_at, CAST(count(*) AS INTEGER) AS steps, "
         "strftime(congestion_start, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS congestion_start, "
-        f"{r('peak_probability', 4)} AS peak, arg_min(congestion_level, step) AS first_level, "
-        "strftime(e.origin + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS first_at "
-        "FROM epi e JOIN series s USING (camera_id, lane_id, origin) GROUP BY e.camera_id, e.lane_id, e.origin, "
-        "congestion_start, peak_probability"
+        f"{r('peak_probability', 4)} AS peak, "
+        "strftime(congestion_end, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS congestion_end, "
+        + ", ".join(
+            f"'[' || string_agg({text}, ',' ORDER BY step) FILTER (step % 12 = 0) || ']' AS {name}"
+            for name, text in (
+                ("levels", "'\"' || congestion_level || '\"'"),
+                ("times", "'\"' || strftime(e.origin + to_hours(step + 1), '%Y-%m-%dT%H:%M:%S.%f') || 'Z\"'"),
+                ("counts", "CAST(CAST(vehicle_count AS DECIMAL(18,1)) AS VARCHAR)"),
+            )
+        )
+        + " FROM epi e JOIN series s USING (camera_id, lane_id, origin) GROUP BY e.camera_id, e.lane_id, e.origin, "
+        "congestion_start, congestion_end, peak_probability"
     ),
     "forecast_metrics": (
         "WITH p AS (SELECT l_quantity * (1 - l_discount) AS pc, l_quantity AS c, l_discount * 9 AS pp, l_tax * 11 AS p, "
@@ -719,14 +730,14 @@ SELECT a.camera_id AS from_camera, a.lane_id AS from_lane, b.camera_id AS to_cam
 FROM e JOIN smap a ON a.sensor_id = f JOIN smap b ON b.sensor_id = t""",
     "training_table": with_base(
         f"""SELECT s.node, s.t_idx AS start, CAST(y.t_idx - s.t_idx - 1 AS INTEGER) AS step, {r('y.vehicle_count', 6)} AS count,
-  y.congestion_prob AS prob, CAST(y.congestion_level_idx AS DOUBLE) AS level, 24 AS width, {r('x.total + n.total', 6)} AS total
-FROM dense s JOIN dense y ON y.node = s.node AND y.t_idx BETWEEN s.t_idx + 1 AND s.t_idx + 2
+  y.congestion_prob AS prob, CAST(y.congestion_level_idx AS DOUBLE) AS level, 60 AS width, {r('x.total + n.total', 6)} AS total
+FROM dense s JOIN dense y ON y.node = s.node AND y.t_idx BETWEEN s.t_idx + 1 AND s.t_idx + 6
 JOIN (SELECT a.node, a.t_idx, sum(b.vehicle_count + b.avg_speed_kmh + b.stopped_ratio + b.congestion_score) AS total
-      FROM dense a JOIN dense b ON b.node = a.node AND b.t_idx BETWEEN a.t_idx - 3 AND a.t_idx GROUP BY 1, 2) x
+      FROM dense a JOIN dense b ON b.node = a.node AND b.t_idx BETWEEN a.t_idx - 11 AND a.t_idx GROUP BY 1, 2) x
   ON x.node = s.node AND x.t_idx = s.t_idx
 JOIN (SELECT node, t_idx, vehicle_count + avg_speed_kmh + stopped_ratio + congestion_score AS total FROM hop1) n
   ON n.node = s.node AND n.t_idx = s.t_idx
-WHERE s.t_idx >= 3 AND s.t_idx <= (SELECT max(t_idx) FROM dense) - 2""",
+WHERE s.t_idx >= 11 AND s.t_idx <= (SELECT max(t_idx) FROM dense) - 6""",
         *DENSE_CTES,
         EVENT_EDGES,
     ),

@@ -2,6 +2,7 @@ import glob
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from roadpulse.config import Thresholds
 from roadpulse.operators import maintenance as mt
@@ -131,3 +132,42 @@ def test_c20_aliases(spark):
         "camera_id STRING, name STRING, lat DOUBLE, lng DOUBLE",
     ).selectExpr("*", "cast(null as string) road_segment", "cast(null as string) description")
     assert [(r.camera_id, r.latitude) for r in mt.valid_cameras(offered).collect()] == [("a", 1.0)]
+
+
+def test_k1_retention_job(spark, tmp_path):
+    """Archives first, drops whole dates, rewrites the date of the cut-off, and finds nothing when it runs again."""
+    days = [0, -1, -29.9, -30, -30.4, -45]
+    rows = metrics(spark, [metric("a", 17_280 * d, lane=lane) for d in days for lane in (None, 1)])
+    seen = events(spark, [event(3600 * h) for h in (-48, -24.5, -23, 0)])
+    for name, df, column in (("m", rows, "window_start"), ("e", seen, "ts")):
+        df.withColumn("date", F.to_date(column)).write.partitionBy("date").parquet(f"{tmp_path}/{name}")
+    paths = [f"{tmp_path}/{x}" for x in ("e", "m", "archive")]
+    assert mt.retention_job(spark, *paths, at(0)) == (2, 4)
+    assert spark.read.parquet(f"{paths[2]}/*").count() == 4
+    assert (spark.read.parquet(paths[0]).count(), spark.read.parquet(paths[1]).count()) == (2, 8)
+    assert mt.retention_job(spark, *paths, at(0)) == (0, 0) and spark.read.parquet(f"{paths[2]}/*").count() == 4
+
+
+def test_k2_changes_without_a_camera_or_a_place_and_cleared_fields(spark):
+    registry = cameras(spark, ("a", 1.0, 2.0, "A"), ("b", 1.0, 2.0, "B"))
+    schema = (
+        "seq long, actor string, action string, camera_id string, name string, latitude double, longitude double, "
+        "road_segment string, description string, cleared array<string>, changed_at timestamp"
+    )
+    blank = (None, None, None, None, None)
+    changes = spark.createDataFrame(
+        [
+            (1, "x", "delete", None, *blank, None, None),
+            (None, "x", "delete", "a", *blank, None, None),
+            (2, "x", "update", "a", *blank, ["road_segment"], None),
+            (3, "x", "update", "b", "new", None, None, None, None, None, None),
+        ],
+        schema,
+    )
+    judged = mt.judge_camera_changes(registry, changes)
+    assert sorted((str(r.seq), str(r.camera_id), r.status) for r in judged.collect()) == [
+        ("1", "None", "rejected: bad_camera_id"), ("2", "a", "applied"), ("3", "b", "applied"), ("None", "a", "rejected: bad_seq"),
+    ]
+    after = {r.camera_id: r for r in mt.apply_camera_changes(registry, judged).collect()}
+    assert (after["a"].road_segment, after["a"].name, after["b"].road_segment, after["b"].name) == (None, "a", "B", "new")
+    assert '"cleared":["road_segment"]' in {r.entity_id: r.payload for r in mt.audit_rows(judged).collect()}["a"]

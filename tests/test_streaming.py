@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from roadpulse.config import ForecastWindow, SpeedFallback
+from roadpulse.config import ForecastWindow, Scoring, SpeedFallback
 from roadpulse.operators import alerts as al
 from roadpulse.operators import features as ft
 from roadpulse.operators import forecast_ml as ml
@@ -91,15 +91,44 @@ def _level_rows(n=40):
 
 def test_j5_state_equals_runs(spark, tmp_path):
     rows = _level_rows()
-    _files(spark, f"{tmp_path}/in", rows, 4, metrics)
+    _files(spark, f"{tmp_path}/in", rows + [metric("c", 99)], 4, metrics)
     registry = cameras(spark, ("a", 1.0, 2.0, "A"))
-    changes = _drain(sal.stream_alerts(_stream(spark, f"{tmp_path}/in"), registry), f"{tmp_path}/out")
+    stream = smt.read_metrics_stream(spark, f"{tmp_path}/in", max_files=1)
+    changes = _drain(sal.stream_alerts(stream, registry), f"{tmp_path}/out")
     assert {r.change for r in changes.select("change").distinct().collect()} == {"opened", "updated", "resolved"}
     got, want = sal.current_alerts(changes), al.alerts_from_metrics(metrics(spark, rows), registry)
     got = got.select(*want.columns)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
+def test_j5_a_window_that_comes_in_a_later_batch(spark, tmp_path):
+    """Batch 1 holds windows 0 and 2, batch 2 the LOW one between them: two alerts, as in batch."""
+    first, second = [metric("a", 0, "HIGH"), metric("a", 2, "HIGH")], [metric("a", 1, "LOW"), metric("b", 30)]
+    for rows in (first, second):
+        metrics(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    registry = cameras(spark, ("a", 1.0, 2.0, "A"))
+    stream = smt.read_metrics_stream(spark, f"{tmp_path}/in", lateness_seconds=20, max_files=1)
+    got = sal.current_alerts(_drain(sal.stream_alerts(stream, registry), f"{tmp_path}/out"))
+    want = al.alerts_from_metrics(metrics(spark, first + second), registry)
+    got = got.select(*want.columns)
+    assert got.count() == want.count() == 2 and got.exceptAll(want).count() == 0
+
+
+def test_j12_alerts_chained_to_the_windows_of_one_stream(spark, tmp_path):
+    scoring = Scoring(max_vehicle_count=4.0)
+    rows = [
+        event(5 * n + k / 10, f"v{n}_{k}", camera, speed=2.0 if n % 5 < 3 else 60.0, lane=1, frame=10 * n + k)
+        for n in range(40) for camera in ("a", "b") for k in range(1 + n % 4)
+    ]
+    rows.append(event(400, frame=9999))
+    _files(spark, f"{tmp_path}/in", rows, 5)
+    registry = cameras(spark, ("a", 1.0, 2.0, "A"))
+    got = _drain(sal.detections_to_alerts(_stream(spark, f"{tmp_path}/in"), registry, scoring=scoring), f"{tmp_path}/out")
+    want = al.alerts_from_metrics(window_metrics(events(spark, rows[:-1]), 5, scoring), registry)
+    got = sal.current_alerts(got).select(*want.columns)
+    assert got.count() == want.count() > 2 and got.exceptAll(want).count() == 0
+
+
 def test_j6_b6_j8_new_alerts_for_subscribers(spark, tmp_path):
     rows = _level_rows(10)
     _files(spark, f"{tmp_path}/in", rows + rows[-4:], 2, metrics)
@@ -122,10 +151,25 @@ def test_b2_log_lets_the_newest_batch_win(spark, tmp_path):
     ssk.upsert_stream(_stream(spark, f"{tmp_path}/in"), log, checkpoint, every=None).awaitTermination()
     _files(spark, f"{tmp_path}/in", second, 1, metrics)
     ssk.upsert_stream(_stream(spark, f"{tmp_path}/in"), log, checkpoint, every=None).awaitTermination()
-    assert _same(ssk.read_upserted(spark, log), upsert_metrics(metrics(spark, first), metrics(spark, second)))
+    want = upsert_metrics(metrics(spark, first), metrics(spark, second))
+    assert _same(ssk.read_upserted(spark, log).drop("date"), want)
     replayed = metrics(spark, second)
     ssk.write_batch(replayed, log, 1, date="window_start")
     assert spark.read.parquet(log).count() == 3
+    table = ssk.read_upserted(spark, log).filter("date = DATE '2026-04-16' AND camera_id = 'cam_01'")
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "EqualTo(camera_id,cam_01)" in plan
+    assert ssk.compact_upserts(spark, log, at(0).date()) == 0
+    assert ssk.compact_upserts(spark, log, at(86_400).date()) == 1
+    spark.catalog.clearCache()
+    assert spark.read.parquet(log).count() == 2 and _same(ssk.read_upserted(spark, log).drop("date"), want)
+
+
+def test_b1_dated_table(spark, tmp_path):
+    _files(spark, f"{tmp_path}/in", _rows(20, 60), 1)
+    query = ssk.write_raw(_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/c", every=None, dated_by="ts")
+    query.awaitTermination()
+    assert {str(r.date) for r in spark.read.parquet(f"{tmp_path}/t").select("date").collect()} == {"2026-04-16"}
 
 
 def test_j7_j9_on_each_batch(spark, tmp_path):
