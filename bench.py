@@ -46,6 +46,12 @@ HEADLINE = (
     "ml_forecast",
     "stream_window_metrics",
     "stream_alerts",
+    "forecast_messages",
+    "ml_evaluation",
+    "stream_speed",
+    "stream_rollup",
+    "stream_events",
+    "stream_detections_to_alerts",
 )
 
 

@@ -714,23 +714,35 @@ def training_table(spark, sf):
     )
 
 
+def _forecast(spark, sf) -> DataFrame:
+    """Every lane from the newest steps, by a model of all samples before them."""
+    nodes, edges = _nodes(spark, sf), _stored(_event_edges(spark, sf), "edges")
+    dense = _stored(ft.dense_signal(_features(spark, sf), nodes), "dense")
+    samples = _stored(ml.training_table(dense, edges, SHAPE), "samples")
+    return ml.predict_lanes(ml.fit_forecaster(samples, SHAPE), dense, nodes, edges, SHAPE)
+
+
 @query
 def ml_forecast(spark, sf):
-    """Fit on the older samples and forecast every lane from the newest steps."""
-    dense, edges = _stored(_dense(spark, sf), "dense"), _stored(_event_edges(spark, sf), "edges")
-    samples = _stored(ml.training_table(dense, edges, SHAPE), "samples")
-    train, _, _ = ml.split_by_time(samples, gap=SHAPE.t_in + SHAPE.t_out)
-    model = ml.fit_forecaster(train, SHAPE)
-    return ml.predict_lanes(model, dense, _nodes(spark, sf), edges, SHAPE)
+    return _forecast(spark, sf)
+
+
+@query
+def ml_episodes(spark, sf):
+    """Congestion episodes of the model's own forecast."""
+    return ml.predict_episodes(_stored(_forecast(spark, sf), "forecast"), EPISODE)
 
 
 @query
 def ml_evaluation(spark, sf):
-    """Errors on the newest tenth of the samples, which the model has not seen."""
+    """Errors on the newest tenth of the samples, which the chosen model has not seen, beside those of persistence."""
     dense, edges = _stored(_dense(spark, sf), "dense"), _stored(_event_edges(spark, sf), "edges")
     samples = _stored(ml.training_table(dense, edges, SHAPE), "samples")
-    train, _, test = ml.split_by_time(samples, gap=SHAPE.t_in + SHAPE.t_out)
-    return ml.evaluate(ml.fit_forecaster(train, SHAPE), test)
+    parts = ml.split_by_time(samples, validation=0.3, gap=SHAPE.t_in + SHAPE.t_out)
+    train, validation, test = (_stored(part, "part") for part in parts)
+    model = ml.select_model(train, validation, SHAPE)
+    ours = ml.evaluate(model, test).withColumn("method", F.lit("model"))
+    return ours.unionByName(ml.persistence(test, SHAPE).withColumn("method", F.lit("persistence")))
 
 
 # --- streaming -----------------------------------------------------------------------------------------------------

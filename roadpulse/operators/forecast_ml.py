@@ -1,7 +1,8 @@
 """Lane forecasts several steps ahead with Spark ML, from a lane's own history and its neighbourhood.
 
 Three estimators share one feature vector: a linear regression for the count, a binomial logistic regression for the
-congestion probability and a multinomial one for the level.
+congestion probability and a multinomial one for the level. Every step has weights of its own for the whole history
+(step x history interactions), as what a lane will do next depends on how it got where it is.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,6 +29,7 @@ from roadpulse.plans.slices import SLICE, drop_copies, overlap
 MEASURED = ("vehicle_count", "avg_speed_kmh", "stopped_ratio", "congestion_score")
 CYCLES = tuple(c for c in FEATURES if c not in MEASURED)
 PARTS = ("count", "prob", "level")
+LEVELS_CODED = 3
 
 
 def _with_history(dense: DataFrame, edges: DataFrame, window: ForecastWindow, ahead: int) -> DataFrame:
@@ -51,7 +52,8 @@ def _with_history(dense: DataFrame, edges: DataFrame, window: ForecastWindow, ah
         }
     )
     neighbours = F.array(*[F.coalesce(c, F.lit(0.0)) for c in hops])
-    vector = F.concat(F.flatten("_own"), neighbours, F.array(*CYCLES))
+    level = F.array(*[(F.col("congestion_level_idx") == i).cast("double") for i in range(LEVELS_CODED)])
+    vector = F.concat(F.flatten("_own"), neighbours, F.array(*CYCLES), level)
     return drop_copies(framed.filter(F.size("_own") == window.t_in)).select(
         "node", "t_idx", "window_start", array_to_vector(vector).alias("history"), "_next"
     )
@@ -113,8 +115,9 @@ class Forecaster:
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """Add ``count_norm``, ``congestion_prob`` and ``level_scores`` to rows with ``history`` and ``step``."""
-        scored = self.count.transform(rows).drop("features", "step_code")
-        scored = self.prob.transform(scored).drop("features", "step_code")
+        made = ("features", "step_code")
+        scored = self.count.transform(_by_step(rows, self.count.stages[0].categorySizes[0])).drop(*made)
+        scored = self.prob.transform(scored).drop(*made)
         scored = self.level.transform(scored)
         return scored.withColumns(
             {
@@ -122,19 +125,27 @@ class Forecaster:
                 "congestion_prob": F.get(vector_to_array("prob_out"), F.lit(1)),
                 "level_scores": vector_to_array("level_out"),
             }
-        ).drop("features", "step_code", *[f"{p}_{x}" for p in PARTS for x in ("out", "raw", "pick")])
+        ).drop(*made, "by_step", *[f"{p}_{x}" for p in PARTS for x in ("out", "raw", "pick")])
 
 
-def _stages(t_out: int) -> list:
-    code = OneHotEncoder(inputCols=["step"], outputCols=["step_code"], dropLast=t_out > 1, handleInvalid="keep")
-    return [code, VectorAssembler(inputCols=["history", "step_code"], outputCol="features")]
+def _by_step(rows: DataFrame, t_out: int) -> DataFrame:
+    """Add the history in the place of its step, with zeros in the places of the others."""
+    history = vector_to_array("history")
+    blank = F.transform(history, lambda _: F.lit(0.0))
+    places = F.transform(F.sequence(F.lit(0), F.lit(t_out - 1)), lambda k: F.when(k == F.col("step"), history).otherwise(blank))
+    return rows.withColumn("by_step", array_to_vector(F.flatten(places)))
+
+
+def _stages(window: ForecastWindow) -> list:
+    code = OneHotEncoder(inputCols=["step"], outputCols=["step_code"], dropLast=window.t_out > 1, handleInvalid="keep")
+    return [code, VectorAssembler(inputCols=["history", "step_code", "by_step"], outputCol="features")]
 
 
 def _estimators(reg: float, iterations: int) -> dict:
     logistic = {"maxIter": iterations, "regParam": reg}
     return {
         "count": LinearRegression(
-            labelCol="count", predictionCol="count_out", maxIter=iterations, regParam=reg, solver="l-bfgs"
+            labelCol="count", predictionCol="count_out", maxIter=iterations, regParam=reg, solver="l-bfgs", loss="huber"
         ),
         "prob": LogisticRegression(
             labelCol="outcome", weightCol="weight", family="binomial", probabilityCol="prob_out",
@@ -160,21 +171,21 @@ def fit_forecaster(
     table: DataFrame, window: ForecastWindow = ForecastWindow(), reg: float = 1e-3, iterations: int = 25
 ) -> Forecaster:
     """L2."""
-    fits = {}
+    fits, table = {}, _by_step(table, window.t_out)
     for part, estimator in _estimators(reg, iterations).items():
         rows = _outcomes(table) if part == "prob" else table
-        fits[part] = Pipeline(stages=[*_stages(window.t_out), estimator]).fit(rows)
+        fits[part] = Pipeline(stages=[*_stages(window), estimator]).fit(rows)
     return Forecaster(**fits)
 
 
 def select_model(
-    table: DataFrame,
+    train: DataFrame,
+    validation: DataFrame,
     window: ForecastWindow = ForecastWindow(),
     regs: tuple[float, ...] = (1e-4, 1e-2),
     iterations: int = 25,
-    seed: int = 42,
 ) -> Forecaster:
-    """L4: per target, the regularisation with the lowest validation loss."""
+    """L4: per target, the regularisation with the lowest loss on the given validation rows (see ``split_by_time``)."""
     evaluators = {
         "count": RegressionEvaluator(labelCol="count", predictionCol="count_out", metricName="mse"),
         "prob": MulticlassClassificationEvaluator(
@@ -185,20 +196,33 @@ def select_model(
             labelCol="level", probabilityCol="level_out", predictionCol="level_pick", metricName="logLoss"
         ),
     }
-    fits = {}
-    for part, estimator in _estimators(regs[0], iterations).items():
-        grid = ParamGridBuilder().addGrid(estimator.regParam, list(regs)).build()
-        search = TrainValidationSplit(
-            estimator=Pipeline(stages=[*_stages(window.t_out), estimator]),
-            estimatorParamMaps=grid,
-            evaluator=evaluators[part],
-            trainRatio=0.85,
-            seed=seed,
-        )
-        fits[part] = search.fit(_outcomes(table) if part == "prob" else table).bestModel
+    fits, train, validation = {}, _by_step(train, window.t_out), _by_step(validation, window.t_out)
+    for part in PARTS:
+        rows, held = (_outcomes(t) if part == "prob" else t for t in (train, validation))
+        tried = []
+        for reg in regs:
+            model = Pipeline(stages=[*_stages(window), _estimators(reg, iterations)[part]]).fit(rows)
+            tried.append((evaluators[part].evaluate(model.transform(held)), model))
+        fits[part] = min(tried, key=lambda x: x[0])[1]
     return Forecaster(**fits)
 
 
+def persistence(table: DataFrame, window: ForecastWindow = ForecastWindow()) -> DataFrame:
+    """The errors of repeating each lane's last count and level, which a forecast has to beat."""
+    history = vector_to_array("history")
+    last = len(MEASURED) * (window.t_in - 1)
+    coded = F.slice(history, F.size(history) - LEVELS_CODED + 1, F.lit(LEVELS_CODED))
+    pairs = table.withColumns({"_history": history, "_coded": coded}).select(
+        F.get("_history", F.lit(last)).alias("pred_count"),
+        "count",
+        F.get("_history", F.lit(last + len(MEASURED) - 1)).alias("pred_prob"),
+        "prob",
+        (F.array_position("_coded", F.lit(1.0)) - 1).cast("double").alias("pred_level"),
+        "level",
+    )
+    return forecast_metrics(pairs)
+
+
 def evaluate(model: Forecaster, table: DataFrame) -> DataFrame:
     """Errors and accuracies on held-out rows."""
     best = F.array_position("level_scores", F.array_max("level_scores")) - 1

@@ -730,7 +730,7 @@ SELECT a.camera_id AS from_camera, a.lane_id AS from_lane, b.camera_id AS to_cam
 FROM e JOIN smap a ON a.sensor_id = f JOIN smap b ON b.sensor_id = t""",
     "training_table": with_base(
         f"""SELECT s.node, s.t_idx AS start, CAST(y.t_idx - s.t_idx - 1 AS INTEGER) AS step, {r('y.vehicle_count', 6)} AS count,
-  y.congestion_prob AS prob, CAST(y.congestion_level_idx AS DOUBLE) AS level, 60 AS width, {r('x.total + n.total', 6)} AS total
+  y.congestion_prob AS prob, CAST(y.congestion_level_idx AS DOUBLE) AS level, 63 AS width, {r('x.total + n.total', 6)} AS total
 FROM dense s JOIN dense y ON y.node = s.node AND y.t_idx BETWEEN s.t_idx + 1 AND s.t_idx + 6
 JOIN (SELECT a.node, a.t_idx, sum(b.vehicle_count + b.avg_speed_kmh + b.stopped_ratio + b.congestion_score) AS total
       FROM dense a JOIN dense b ON b.node = a.node AND b.t_idx BETWEEN a.t_idx - 11 AND a.t_idx GROUP BY 1, 2) x

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +39,29 @@ def _row(progress: dict) -> tuple:
 
 
 def stream_stats(query: StreamingQuery) -> DataFrame:
-    """One row per recent batch of a query; Spark keeps only the newest of them."""
+    """One row per recent batch of a query; Spark keeps only the newest of them, ``stats_table`` keeps all."""
     rows = [_row(json.loads(p.json)) for p in query.recentProgress]
     return SparkSession.active().createDataFrame(rows, STATS)
 
 
+def stats_table(spark: SparkSession, path: str):
+    """A sink for ``StatsListener`` that keeps every batch's statistics as a file of one JSON record below ``path``."""
+
+    def append(row: dict) -> None:
+        jvm = spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(f"{path}/{uuid.uuid4().hex}.json")
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+        out.write(bytearray((json.dumps(row) + "\n").encode()))
+        out.close()
+
+    return append
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    """All statistics that ``stats_table`` has kept; a batch that was reported twice counts once."""
+    return spark.read.schema(STATS).json(path).dropDuplicates(["query", "batch", "at"])
+
+
 class StatsListener(StreamingQueryListener):
     """Hand each batch's statistics of every query of a session to ``sink``, for example a metrics client."""
 

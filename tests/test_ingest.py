@@ -18,7 +18,7 @@ ACCEPTED = [
     message(lane_id="3", speed_estimate="12.5"),
     message(drop="class", vehicle_class="bus"),
     message(timestamp=1700000000),
-    message(timestamp="2026-04-16T15:45:23.456+05:30"),
+    message(timestamp="2025-11-03T12:11:07.250+05:30"),
     message(vehicle_id="7"),
     message(confidence=0),
     message(confidence=1),

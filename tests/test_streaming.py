@@ -1,6 +1,8 @@
 """Streams over files, drained with ``availableNow`` and compared with the batch operators."""
 
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from roadpulse.streaming import metrics as smt
 from roadpulse.streaming import sinks as ssk
 from roadpulse.streaming import speed as ssp
 from roadpulse.streaming.forecast import stream_forecast
+from roadpulse.streaming.stats import StatsListener, read_stats, stats_table
 from tests.data import at, cameras, event, events, metric, metrics, one
 
 
@@ -193,3 +196,21 @@ def test_j7_j9_on_each_batch(spark, tmp_path):
     sent = spark.read.parquet(f"{tmp_path}/ev")
     assert {r.event for r in sent.collect()} == {"traffic_metrics_update", "heatmap_update"}
     assert one(sent.filter("event = 'heatmap_update'")).ts == at(150).replace(tzinfo=None)
+
+
+def test_j11_every_batch_is_kept(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    listener = StatsListener(stats_table(spark, f"{tmp_path}/stats"))
+    spark.streams.addListener(listener)
+    try:
+        _files(spark, f"{tmp_path}/in", _rows(60, 60), 5)
+        _drain(_stream(spark, f"{tmp_path}/in").select("camera_id"), f"{tmp_path}/out")
+        for _ in range(50):
+            if os.path.isdir(f"{tmp_path}/stats") and read_stats(spark, f"{tmp_path}/stats").count() >= 5:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    rows = read_stats(spark, f"{tmp_path}/stats").collect()
+    assert sorted(r.batch for r in rows) == list(range(5)) and sum(r.input_rows for r in rows) == 60
