@@ -30,7 +30,7 @@ from roadpulse.llm.common import documents
 
 SPACE = "▁"
 #: Parts, and pairs of pieces, that a task keeps at most.
-KEPT_PARTS, KEPT_PAIRS = 300_000, 500_000
+KEPT_PARTS, KEPT_PAIRS = 300_000, 200_000
 
 
 def merge(symbols: list[str], scores: dict[str, float]) -> list[str]:

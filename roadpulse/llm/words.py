@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in runs of about this many bytes, which bounds the memory of a task; one longer text is a run.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240501)
 _VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
