@@ -184,7 +184,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     cuts = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
     cuts = sorted(set(cuts))
     # Binary search for the number of cuts at or below the id; a NULL id is in slice 0.
-    table, steps = F.array(*[F.lit(c).cast("long") for c in cuts]), [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
+    table, steps = _constants(cuts, "bigint"), [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
     found = F.lit(0)
     if cuts:
         search = lambda low, step: F.when(
@@ -195,18 +195,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = placed.groupBy("slice").agg(F.min("doc_id").alias("first"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
     firsts = sorted(firsts.collect(), key=lambda row: row["slice"])  # one row per slice, a bounded number
     # The first row of a slice also goes to the slice before it; that of the first slice to the last, at its end.
-    homes = F.array(F.struct(F.col("slice").alias("slice"), F.lit(0).alias("guest")))
-    for k, row in enumerate(firsts):
-        home = F.struct(F.lit(firsts[k - 1]["slice"]).alias("slice"), F.lit(1).alias("guest"))
-        is_first = F.col("doc_id").isNull() if row["nulls"] else F.col("doc_id") == F.lit(row["first"])
-        homes = F.when((F.col("slice") == row["slice"]) & is_first, F.array_append(_own(), home)).otherwise(homes)
+    by_slice = {row["slice"]: (row["first"], row["nulls"], firsts[k - 1]["slice"]) for k, row in enumerate(firsts)}
+    blank, places = (None, 0, None), range(len(cuts) + 1)
+    first, nulls, home = (_constants([by_slice.get(i, blank)[k] for i in places], "bigint") for k in range(3))
+    of = lambda values: F.get(values, F.col("slice"))
+    own = F.struct(F.col("slice").alias("slice"), F.lit(0).alias("guest"))
+    guest = F.struct(of(home).cast("int").alias("slice"), F.lit(1).alias("guest"))
+    is_first = F.when(of(nulls) > 0, F.col("doc_id").isNull()).otherwise(F.col("doc_id") == of(first))
+    homes = F.when(F.coalesce(is_first, F.lit(False)), F.array(own, guest)).otherwise(F.array(own))
     spread = placed.withColumn("home", F.explode(homes)).select("doc_id", "text", "home.slice", "home.guest")
     order = W.partitionBy("slice").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
     return spread.withColumn("next_text", F.lead("text").over(order)).filter("guest = 0").select("doc_id", "text", "next_text")
 
 
-def _own() -> Column:
-    return F.array(F.struct(F.col("slice").alias("slice"), F.lit(0).alias("guest")))
+def _constants(values: list, kind: str) -> Column:
+    """An array of constants as one literal, however many they are; None is NULL."""
+    text = ",".join("" if v is None else str(v) for v in values)
+    return F.transform(F.split(F.lit(text), ","), lambda v: F.when(v != "", v).cast(kind))
 
 
 def compare_versions(rows: DataFrame) -> DataFrame:
