@@ -1,14 +1,18 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraphs.
 
-A text's paragraphs are its lines, longer ones in pieces of PIECE characters; each different one is a 64-bit digest.
+A text's paragraphs are its lines, cut after sentence ends; each different one is a 64-bit digest. One of over LONG
+characters is cut after every word whose hash is 0 modulo CUT, and a word of over LONG characters after every character
+whose hash with the one before is. A text of under SHORT characters, which has few paragraphs, has a smaller LONG and
+CUT. All cuts depend on the text around them alone, so that an insertion moves none.
 A sketch has 3 regions of CELLS / 3 cells; a digest goes to one cell of each region, where a count, the exclusive-or of
 the digests and that of their checks are kept. The fingerprint is the number of digests and one such sketch.
 
 To compare two versions, the cells of one are subtracted from the other's, which cancels what both share. A cell
 with one digest left (count 1 or -1, and the check fits) gives that digest away; it is taken out of its other cells,
 which frees more, region by region, until nothing is left. If that fails, both versions are sketched again, larger:
-the digests are dealt out to twice as many sketches, with other hashes. After ATTEMPTS such failures the digests are
-compared themselves. The likeness is (shared digests) / (all digests of both).
+the digests are dealt out to sketches of about LOAD digests each. Where one of these fails, its own digests are dealt
+out again to twice as many sketches, with other hashes. After ATTEMPTS such failures its digests are compared
+themselves. The likeness is (shared digests) / (all digests of both).
 
 Everything is built-in column functions in one row; no row grows other than with its own text.
 
@@ -16,8 +20,7 @@ The next document is found without a global order: documents are dealt to slices
 each slice also gets the first document of the next. Texts are shuffled once.
 
 Defined results: NULL is the empty text, which has no paragraph, as blank lines have none; two texts without any have
-likeness 1. Rows with one id follow each other in the
-order of their texts. A NULL id comes first. A single document is its own next. An empty table gives an empty result.
+likeness 1. Rows with one id follow each other in the order of their texts. A NULL id comes first. A single document is its own next. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,14 +41,10 @@ LOAD = 10
 ATTEMPTS = 3
 #: Slices for each shuffle partition; that many ids at most reach the driver.
 SLICES = 4
-PIECE = 240
-PARAGRAPH = r"[^\n]{1,%d}" % PIECE
-
-
-def digests(text: Column) -> Column:
-    """Different digests of a text's paragraphs."""
-    pieces = F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+#: A paragraph ends at a line break, or after a sentence end that white space follows.
+PARAGRAPH_END = r"\n|(?<=[.!?])[ \t]+|(?<=[。！？])"
+LONG, CUT = 240, 16
+SHORT, SHORT_LONG, SHORT_CUT = 480, 80, 2
 
 
 def _let(value: Column, body) -> Column:
@@ -53,6 +52,35 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _cut(parts: Column, hashed, cut: int, glue: str) -> Column:
+    """``parts`` as one text with a line break after those whose ``hashed(part, place)`` is 0 modulo ``cut``."""
+    ended = lambda x, i: F.concat(x, F.when(F.pmod(hashed(x, i), F.lit(cut)) == 0, "\n").otherwise(glue))
+    return F.array_join(F.transform(parts, ended), "")
+
+
+def _cut_word(word: Column, cut: int) -> Column:
+    return _let(F.split(word, ""), lambda chars: _cut(chars, lambda c, i: F.xxhash64(F.get(chars, i - 1), c), cut, ""))
+
+
+def _cut_sentence(sentence: Column, long: int, cut: int) -> Column:
+    words = F.transform(F.split(sentence, r"[ \t]+"), lambda w: F.when(F.length(w) > long, _cut_word(w, cut)).otherwise(w))
+    return _cut(words, lambda w, i: F.xxhash64(w), cut, " ")
+
+
+def paragraphs(text: Column) -> Column:
+    whole = F.split(text, PARAGRAPH_END)
+    parts = lambda long, cut: F.transform(
+        whole, lambda p: F.when(F.length(p) > long, _cut_sentence(p, long, cut)).otherwise(p)
+    )
+    cut = F.when(F.length(text) < SHORT, parts(SHORT_LONG, SHORT_CUT)).otherwise(parts(LONG, CUT))
+    return F.filter(F.split(F.array_join(cut, "\n"), " ?\n"), lambda p: p != "")
+
+
+def digests(text: Column) -> Column:
+    """Different digests of a text's paragraphs."""
+    return F.array_distinct(F.transform(paragraphs(text), lambda p: F.xxhash64(p)))
+
+
 def _cell(digest: Column, region: int, seed: Column) -> Column:
     return F.pmod(F.xxhash64(digest, F.lit(region), seed), F.lit(REGION)).cast("int")
 
@@ -80,10 +108,14 @@ def _summed(entries: Column, i: Column) -> Column:
     ))
 
 
+def _cells(entries: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: _summed(entries, i))
+
+
 def sketch(digest_array: Column, seed: Column) -> Column:
     """CELLS structs (n, x, c)."""
     entries = F.transform(digest_array, lambda d: _entry(d, F.lit(1), seed))
-    return _let(entries, lambda e: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: _summed(e, i)))
+    return _let(entries, _cells)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -132,37 +164,73 @@ def _outcome(peeled: Column) -> Column:
 
 
 def _difference(a: Column, b: Column, seed: Column) -> Column:
-    return _let(peel(subtract(sketch(a, seed), sketch(b, seed)), seed), _outcome)
+    """The difference from one sketch of each; they are subtracted while they are added up."""
+    signed = lambda digest_array, sign: F.transform(digest_array, lambda d: _entry(d, F.lit(sign), seed))
+    cells = _let(F.concat(signed(a, 1), signed(b, -1)), _cells)
+    return _let(peel(cells, seed), _outcome)
 
 
 def _dealt(a: Column, b: Column, parts: Column, seed: Column) -> Column:
     """The difference from ``parts`` sketches, each of the digests with one remainder."""
     own = lambda digest_array, p: F.filter(digest_array, lambda d: F.pmod(F.xxhash64(d, seed), parts) == p)
     each = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: _difference(own(a, p), own(b, p), seed))
-    return _let(each, lambda e: F.struct(
-        F.forall(e, lambda o: o["done"]).alias("done"),
-        F.aggregate(e, F.lit(0), lambda s, o: s + o["plus"]).alias("plus"),
-        F.aggregate(e, F.lit(0), lambda s, o: s + o["minus"]).alias("minus"),
-    ))
+    return _let(each, _added)
+
+
+def _added(outcomes: Column) -> Column:
+    return F.struct(
+        F.forall(outcomes, lambda o: o["done"]).alias("done"),
+        F.aggregate(outcomes, F.lit(0), lambda s, o: s + o["plus"]).alias("plus"),
+        F.aggregate(outcomes, F.lit(0), lambda s, o: s + o["minus"]).alias("minus"),
+    )
 
 
-def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """Shared digests over all digests, from the fingerprints' sketches first, then from larger ones."""
-    zero = F.lit(0)
-    first = F.size(a) + F.size(b)
-    parts = F.greatest(F.lit(1), F.ceil(first / F.lit(float(LOAD))).cast("int"))
+def hands(a: Column, b: Column) -> Column:
+    """The digests of both in structs (a, b) of about LOAD digests with one remainder.
+
+    They are hashed once and dealt in two steps, to about sqrt(parts) groups of remainders and then within each.
+    """
+    parts = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / F.lit(float(LOAD))).cast("int"))
+    wide = F.ceil(F.sqrt(parts)).cast("int")
+    mark = lambda d, of: F.struct(F.pmod(F.xxhash64(d, F.lit(1)), parts).cast("int").alias("p"), F.lit(of).alias("of"), d.alias("d"))
+    marks = F.concat(F.transform(a, lambda d: mark(d, 0)), F.transform(b, lambda d: mark(d, 1)))
+    own = lambda group, p, of: F.transform(
+        F.filter(group, lambda m: (m["p"] == p) & (m["of"] == of)), lambda m: m["d"]
+    )
+    groups = _let(marks, lambda every: F.transform(
+        F.sequence(F.lit(0), F.floor((parts - 1) / wide).cast("int")), lambda g: F.struct(
+            g.alias("g"), F.filter(every, lambda m: F.floor(m["p"] / wide) == g).alias("marks")
+    )))
+    return F.flatten(F.transform(groups, lambda x: F.transform(
+        F.sequence(x["g"] * wide, F.least((x["g"] + 1) * wide, parts) - 1),
+        lambda p: F.struct(own(x["marks"], p, 0).alias("a"), own(x["marks"], p, 1).alias("b")),
+    )))
+
+
+def _solved(a: Column, b: Column, seed: Column) -> Column:
+    """The difference of a few digests: from one sketch, from more of them, or by comparing the digests."""
     exact = F.struct(F.lit(True).alias("done"), F.size(F.array_except(a, b)).alias("plus"), F.size(F.array_except(b, a)).alias("minus"))
-    start = _let(peel(subtract(sketch_a, sketch_b), zero), _outcome)
 
     def retry(state: Column, attempt: Column) -> Column:
         larger = F.when(attempt > ATTEMPTS, exact).otherwise(
-            _dealt(a, b, (parts * F.pow(F.lit(2), attempt - 1)).cast("int"), attempt)
+            _dealt(a, b, F.pow(F.lit(2), attempt - 1).cast("int"), attempt)
         )
         return F.when(state["done"], state).otherwise(larger)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS + 1)), start, retry)
+    return F.aggregate(F.sequence(F.lit(2), F.lit(ATTEMPTS + 1)), _difference(a, b, seed), retry)
+
+
+def first_outcome(sketch_a: Column, sketch_b: Column) -> Column:
+    return _let(peel(subtract(sketch_a, sketch_b), F.lit(0)), _outcome)
+
+
+def likeness(a: Column, first: Column, dealt: Column) -> Column:
+    """Shared digests over all digests, from the fingerprints' sketches first, then from the ``hands``."""
+    larger = _let(F.transform(dealt, lambda h: _solved(h["a"], h["b"], F.lit(1))), _added)
     every = lambda o: F.size(a) + o["minus"]
-    return _let(found, lambda o: F.when(every(o) == 0, 1.0).otherwise((F.size(a) - o["plus"]).cast("double") / every(o)))
+    return _let(F.when(first["done"], first).otherwise(larger), lambda o: F.when(every(o) == 0, 1.0).otherwise(
+        (F.size(a) - o["plus"]).cast("double") / every(o)
+    ))
 
 
 def encoded(digest_array: Column, cells: Column) -> Column:
@@ -223,7 +291,10 @@ def compare_versions(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited)
     rows = rows.withColumns({f"d_{c}": digests(F.col(c)) for c in ("text", "edited", "next_text")})
     rows = rows.withColumns({f"s_{c}": sketch(F.col(f"d_{c}"), F.lit(0)) for c in ("text", "edited", "next_text")})
-    like = lambda c: likeness(F.col("d_text"), F.col(f"d_{c}"), F.col("s_text"), F.col(f"s_{c}"))
+    others = ("edited", "next_text")
+    rows = rows.withColumns({f"o_{c}": first_outcome(F.col("s_text"), F.col(f"s_{c}")) for c in others})
+    rows = rows.withColumns({f"h_{c}": F.when(~F.col(f"o_{c}.done"), hands(F.col("d_text"), F.col(f"d_{c}"))) for c in others})
+    like = lambda c: likeness(F.col("d_text"), F.col(f"o_{c}"), F.col(f"h_{c}"))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         encoded(F.col("d_text"), F.col("s_text")).alias("fingerprint"),

@@ -147,3 +147,19 @@ def test_shared_runs_are_always_found():
         n = licenses.GRAM + licenses.WINDOW - 1
         for begin in range(len(tokens) - n + 1):
             assert any(hit[1] == t for hit in index.hits(licenses.grams(tokens[begin : begin + n])))
+
+
+def test_paragraphs_move_with_their_text(spark):
+    """Something put before a text, or half of it replaced, leaves the paragraphs of the rest as they are."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + "."
+    lines = [" ".join(sentence(rng.randint(4, 60)) for _ in range(30)), " ".join(word() for _ in range(600)), "".join(rng.choices("日本語文章未", k=3_000))]
+    short = [sentence(22) for _ in range(20)]
+    rows = [(t, "X" + t, t[: len(t) // 2] + word() * 5) for t in lines + short] + [("One. Two!  three\n\nfour", "three", "four\nOne.")]
+    found = lambda c: F.transform(fingerprints.paragraphs(F.col(c)), lambda p: F.xxhash64(p)).alias(c)
+    df = spark.createDataFrame(rows, "a string, moved string, halved string")
+    got = [[set(x) for x in r] for r in df.select(*map(found, df.columns)).collect()]
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    assert all(likeness(a, moved) > 0.9 for a, moved, _ in got[:3]) and all(a & halved for a, _, halved in got[:-1])
+    assert len(got[-1][0]) == 4 and len(got[-1][0] & got[-1][1]) == 1 and len(got[-1][0] & got[-1][2]) == 2
