@@ -9,7 +9,8 @@ time among the patterns that its URL matches:
 * ``domain:d`` matches d and every host below it;
 * ``path:h/p`` matches h's URLs whose path begins with the whole segments p.
 
-A URL's patterns are its own few keys, so that matching is an equality join on the pattern and the year; intervals
+A URL's patterns are its own few keys, its path down to the deepest path that a list names (one small aggregate of the
+entries), so that matching is an equality join on the pattern and the year; intervals
 are cut into years, so that a capture meets only the entries of its own. A pattern that over HOT_SHARE of all keys
 have (at most 1 / HOT_SHARE patterns, so that their names may be broadcast) is salted by the capture's id, and its
 intervals are repeated SALTS times.
@@ -30,8 +31,6 @@ from pyspark.sql import Window as W
 from roadpulse.llm.common import HOT_SHARE, stored
 
 SALTS = 32
-#: Path segments that a pattern may have.
-PATH_DEPTH = 2
 END_OF_TIME = "9999-12-31"
 RESULT = ("host", "n_active", "lists", "first_pattern", "listed_since", "blocked")
 
@@ -46,8 +45,14 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def patterns_of(url: Column) -> Column:
-    """All patterns that match a URL; none if it has no host."""
+def path_depth(entries: DataFrame) -> int:
+    """The largest number of segments among the path patterns."""
+    segments = F.size(F.split("pattern", "/")) - 1
+    return entries.filter(F.col("pattern").startswith("path:")).agg(F.max(segments)).first()[0] or 0
+
+
+def patterns_of(url: Column, path_depth: int) -> Column:
+    """All patterns that match a URL, with paths of at most ``path_depth`` segments; none if it has no host."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     domains = F.transform(
@@ -55,7 +60,7 @@ def patterns_of(url: Column) -> Column:
         lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")),
     )
     segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    depth = F.least(F.size(segments), F.lit(PATH_DEPTH))
+    depth = F.least(F.size(segments), F.lit(path_depth))
     paths = F.when(depth > 0, F.transform(
         F.sequence(F.lit(1), depth), lambda i: F.concat(F.lit("path:"), host, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/"))
     )).otherwise(F.array().cast("array<string>"))
@@ -107,11 +112,12 @@ def judge(pages: DataFrame, entries: DataFrame, page_id: str = "page_id", fetche
     pages = pages.drop(*RESULT)
     latest = pages.agg(F.max(F.to_date(fetched_on)).alias("latest")).scalar()
     last = F.coalesce(latest, F.date_sub(F.to_date(F.lit(END_OF_TIME)), 1))
+    active = stored(intervals(entries), "intervals")
     captures = pages.select(
         F.col(page_id).alias("capture_id"), F.col("url"), F.col(fetched_on).alias("fetched"),
-        F.coalesce(F.to_date(fetched_on), last).alias("fetched_on"), patterns_of(F.col("url")).alias("patterns"),
+        F.coalesce(F.to_date(fetched_on), last).alias("fetched_on"), patterns_of(F.col("url"), path_depth(active)).alias("patterns"),
     )
-    found = as_of_join(captures, intervals(entries)).select("capture_id", "url", "fetched", "list", "pattern", "valid_from")
+    found = as_of_join(captures, active).select("capture_id", "url", "fetched", "list", "pattern", "valid_from")
     nothing = captures.select("capture_id", "url", "fetched", *[
         F.lit(None).cast(t).alias(c) for c, t in (("list", "string"), ("pattern", "string"), ("valid_from", "date"))
     ])

@@ -97,6 +97,16 @@ def test_url_filters_against_a_day_by_day_replay(spark):
     assert not any(r["blocked"] for r in url_filter.judge(spark_pages, spark_entries.limit(0)).collect())
 
 
+def test_paths_of_any_depth_match(spark):
+    paths = ["/".join("abcdefgh"[:n]) for n in range(1, 9)]
+    entries = spark.createDataFrame([(f"l{p.count('/')}", f"path:h.com/{p}", "add", day(0)) for p in paths], "list string, pattern string, action string, entry_date date")
+    pages = [(n, f"https://h.com/{p}/page?q#x", day(n)) for n, p in enumerate(paths)] + [(20, "https://h.com/a/b/cd", day(1)), (21, "https://h.com/a//b/c", day(1))]
+    got = {r["page_id"]: r["n_active"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, fetched_on date"), entries).collect()}
+    assert got == {n: n + 1 for n in range(8)} | {20: 2, 21: 3}
+    deep = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, fetched_on date"), entries.filter("list = 'l7'")).collect()
+    assert [r["page_id"] for r in deep if r["blocked"]] == [7]
+
+
 def full_alignment(template, text):
     """Matching tokens of the best local alignment without a band."""
     best, above = (0, 0), [(0, 0)] * (len(text) + 1)
