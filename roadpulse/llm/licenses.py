@@ -3,10 +3,11 @@
 Templates and texts are sequences of tokens, runs of ASCII letters and digits (lower-cased) and of other characters.
 Of each template's GRAM-token hashes those that are the least of a window of WINDOW are kept, in an inverted index
 (hash -> template and place). All hashes of a text are looked up there, so that any GRAM + WINDOW - 1 tokens in common
-are found. Hits of one template on nearby diagonals are a candidate. Its stretch of the text is aligned with the whole
-template in a band around these diagonals (match +2, anything else -1, best local alignment); coverage is the share of
-the template's tokens that match. Of overlapping matches the one with more matching tokens stays, then the higher
-coverage, the earlier one, the first name.
+are found. Hits of one template that follow each other in the text and in the template are chained, each to the best chain
+before it, over insertions and deletions of up to WIDEST_GAP tokens. A chain's stretch of the text is aligned with the whole template in a band around
+its diagonals (match +2, anything else -1, best local alignment); coverage is the share of the template's tokens that
+match. Of overlapping matches the one with more matching tokens stays, then the higher coverage, the earlier one, the
+first name.
 
 The templates are a fixed set that the caller may replace; the index goes to the tasks as it is.
 
@@ -30,6 +31,8 @@ from roadpulse.llm.words import mixed, runs, word_spans
 GRAM, WINDOW = 3, 3
 LEAST_COVERAGE = 0.75
 WIDEST_BAND = 8
+#: Tokens put in or left out at one place that a chain of hits goes over.
+WIDEST_GAP = 40
 MATCH, OTHER = 2, -1
 
 # Wording of common license notices. Fixed values.
@@ -161,26 +164,58 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
     return best[1], -best[2], -best[3]
 
 
+def chains(hits: list[tuple[int, int]], length: int) -> list[list[int]]:
+    """Chains [value, first place, last place, last place in the template, least and greatest diagonal], best first.
+
+    ``hits`` are the (place in text, in template) of one template. A hit continues the most valuable chain before it in
+    both that is at most WIDEST_GAP diagonals off, and which others may continue too; if there is none, it begins one.
+    A hit meets only the chains of the last ``length + WIDEST_GAP`` places.
+    """
+    done: list[list[int]] = []
+    live: list[list[int]] = []
+    for place, p in sorted(hits):
+        oldest, diagonal = place - length - WIDEST_GAP, place - p
+        done += [c for c in live if c[2] < oldest]
+        live = [c for c in live if c[2] >= oldest]
+        best = None
+        for c in live:
+            jump = abs(diagonal - c[2] + c[3])
+            if c[2] < place and c[3] < p and jump <= WIDEST_GAP and (best is None or (c[0] - jump, -jump) > best[0]):
+                best = (c[0] - jump, -jump), c
+        if best is None:
+            live.append([MATCH * GRAM, place, place, p, diagonal, diagonal])
+            continue
+        (value, jump), c = best
+        value += MATCH * min(GRAM, place - c[2], p - c[3])
+        longer = [value, c[1], place, p, min(c[4], diagonal), max(c[5], diagonal)]
+        if jump:
+            live.append(longer)
+        else:
+            c[:] = longer
+    return sorted(done + live, key=lambda c: (-c[0], c[1:]))
+
+
 def scan_tokens(tokens: np.ndarray, hits: list[tuple[int, int, int]], index: Index, least: float) -> list[tuple[int, float, int, int, int]]:
     """(template, coverage, matching tokens, first token, end token) of the matches of one text, without overlaps."""
-    diagonals: dict[int, list[int]] = {}
+    by_template: dict[int, list[tuple[int, int]]] = {}
     for place, t, p in hits:
-        diagonals.setdefault(t, []).append(place - p)
+        by_template.setdefault(t, []).append((place, p))
     found = []
-    for t, values in diagonals.items():
+    for t, places in by_template.items():
         template, band = index.tokens[t], band_of(index.tokens[t])
-        values = sorted(set(values))
-        begin = 0
-        for k in range(1, len(values) + 1):
-            if k < len(values) and values[k] - values[begin] <= band:
+        spans: dict[int, list[tuple[int, int]]] = {}  # aligned spans of the text by blocks of it
+        size = len(template) + WIDEST_GAP
+        for _, begin, last, _, low, high in chains(places, len(template)):
+            near = range(begin // size, last // size + 1)
+            if any(x <= begin and last < y for k in near for x, y in spans.get(k, ())):
                 continue
-            low, high = values[begin] - band, values[k - 1] + band
-            base = max(0, low)
-            stretch = tokens[base : high + len(template)]
-            n, first, end = align(template, stretch, low - base, high - base)
+            base = max(0, low - band)
+            stretch = tokens[base : high + band + len(template)]
+            n, first, end = align(template, stretch, low - band - base, high + band - base)
             if n >= least * len(template):
                 found.append((t, n / len(template), n, base + first, base + end))
-            begin = k
+                for k in range((base + first) // size, (base + end) // size + 1):
+                    spans.setdefault(k, []).append((base + first, base + end))
     kept: list[tuple[int, int, tuple]] = []  # by place; they don't overlap, so that only two neighbours matter
     for match in sorted(found, key=lambda m: (-m[2], -m[1], m[3], m[0])):
         at = bisect_left(kept, (match[3],))

@@ -150,6 +150,29 @@ def test_licenses_in_texts(documents):
     assert licenses.scan_licenses(documents([])).count() == 0
 
 
+def matches_of(text):
+    index, tokens = licenses.Index(licenses.TEMPLATES), licenses.tokens_of(text)
+    found = licenses.scan_tokens(tokens, list(index.hits(licenses.grams(tokens))), index, licenses.LEAST_COVERAGE)
+    return tokens, {index.names[m[0]]: m[2] for m in found}
+
+
+def test_changes_of_many_tokens_inside_a_license():
+    """As many matching tokens as full alignment finds, with 9 to 30 tokens put in or left out."""
+    rng = random.Random(12)
+    for name in ("mit", "bsd-3-clause", "apache-2.0"):
+        words = re.findall(r"[A-Za-z0-9]+", licenses.TEMPLATES[name])
+        template = licenses.tokens_of(licenses.TEMPLATES[name])
+        for n in (9, 15, 20, 30):
+            at = rng.randint(len(words) // 3, len(words) // 2)
+            put = words[:at] + [f"header{i}" for i in range(n)] + words[at:]
+            tokens, found = matches_of(" ".join(["before"] * 20 + put + ["behind"] * 20))
+            assert found[name] == full_alignment(template, tokens) == len(template)
+            if len(words) - n >= 0.76 * len(words):
+                begin = len(words) // 3
+                tokens, found = matches_of(" ".join(["before"] * 20 + words[:begin] + words[begin + n :] + ["behind"] * 20))
+                assert found[name] == full_alignment(template, tokens)
+
+
 def test_shared_runs_are_always_found():
     """Any GRAM + WINDOW - 1 tokens in a row share a fingerprint with their template."""
     index = licenses.Index(licenses.TEMPLATES)
