@@ -9,7 +9,10 @@ its diagonals (match +2, anything else -1, best local alignment); coverage is th
 match. Of overlapping matches the one with more matching tokens stays, then the higher coverage, the earlier one, the
 first name.
 
-The templates are a fixed set that the caller may replace; the index goes to the tasks as it is.
+What tells a license from its siblings (name, version, BY, NC, SA, Affero, Lesser) must match exactly: each run of
+tokens that DECISIVE lists for a template has to lie in one piece in the match. Siblings are templates themselves.
+
+The templates are a fixed set that the caller may replace, with its own decisive runs; the index goes to the tasks as it is.
 
 Defined results: NULL and empty texts have no match. A match's span is in characters, from the first to behind the last
 matching token. An empty table gives an empty result. Texts are read in full, whatever their length.
@@ -41,6 +44,15 @@ TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "gpl-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-2.1-line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "agpl-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "apache-1.1-line": "Licensed under the Apache License, Version 1.1.",
+    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nc-sa-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
     "all-rights-reserved": "All rights reserved.",
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -73,12 +85,48 @@ TEMPLATES = {
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
         "later version."
     ),
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution."
+    ),
+    **{name: (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General "
+        f"Public License as published by the Free Software Foundation, either version {version} of the License, or (at your "
+        "option) any later version."
+    ) for name, kind, version in (
+        ("gpl-2.0", "", "2"), ("lgpl-3.0", "Lesser ", "3"), ("lgpl-2.1", "Lesser ", "2.1"), ("agpl-3.0", "Affero ", "3"),
+    )},
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
 }
 
+#: Runs of tokens that a match of a template must have.
+DECISIVE = {
+    "mit-line": ["MIT License"],
+    "apache-2.0-line": ["Apache License", "Version 2.0"],
+    "apache-1.1-line": ["Apache License", "Version 1.1"],
+    "apache-2.0": ["Apache License", "Version 2.0"],
+    "cc-by-nc-4.0-line": ["CC BY NC 4.0"],
+    "cc-by-4.0-line": ["CC BY 4.0"],
+    "cc-by-sa-4.0-line": ["CC BY SA 4.0"],
+    "cc-by-nc-sa-4.0-line": ["CC BY NC SA 4.0"],
+    "cc-by-nc-nd-4.0-line": ["CC BY NC ND 4.0"],
+    "bsd-3-clause": ["endorse or promote"],
+    "mpl-2.0": ["Mozilla Public License", "2.0"],
+    **{
+        f"{short}-{version}{line}": [f"GNU {kind}General Public License", f"version {version.removesuffix('.0')}"]
+        for short, kind, versions in (
+            ("gpl", "", ("2.0", "3.0")), ("lgpl", "Lesser ", ("2.1", "3.0")), ("agpl", "Affero ", ("3.0",)),
+        )
+        for version in versions for line in ("", "-line")
+    },
+}
+
 _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _MATCHES = "doc_id long, license string, coverage double, matched int, span_start int, span_end int"
 
@@ -107,8 +155,10 @@ def winnow(hashes: np.ndarray) -> list[int]:
 class Index:
     """Fingerprints of the templates, sorted, with the template and place of each."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str], decisive: dict[str, list[str]] | None = None) -> None:
         self.names = sorted(templates)
+        decisive = (DECISIVE if templates is TEMPLATES else {}) if decisive is None else decisive
+        self.decisive = [[tokens_of(run).tolist() for run in decisive.get(x, ())] for x in self.names]
         self.tokens = [tokens_of(templates[x]) for x in self.names]
         entries = []
         for t, tokens in enumerate(self.tokens):
@@ -120,6 +170,11 @@ class Index:
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    def decided(self, t: int, match: np.ndarray) -> bool:
+        """Whether the matched tokens have every decisive run of the template."""
+        tokens = match.tolist()
+        return all(any(tokens[i : i + len(run)] == run for i in range(len(tokens))) for run in self.decisive[t])
+
     def hits(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(place in the hashes, template, place in the template)."""
         for place in np.flatnonzero(self.sieve[(hashes & np.uint64(0xFFFF)).astype(np.int64)]):
@@ -212,7 +267,7 @@ def scan_tokens(tokens: np.ndarray, hits: list[tuple[int, int, int]], index: Ind
             base = max(0, low - band)
             stretch = tokens[base : high + band + len(template)]
             n, first, end = align(template, stretch, low - band - base, high + band - base)
-            if n >= least * len(template):
+            if n >= least * len(template) and index.decided(t, tokens[base + first : base + end]):
                 found.append((t, n / len(template), n, base + first, base + end))
                 for k in range((base + first) // size, (base + end) // size + 1):
                     spans.setdefault(k, []).append((base + first, base + end))
@@ -251,9 +306,11 @@ def _scanner(shared, least: float):
     return scan
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE, decisive: dict[str, list[str]] | None = None
+) -> DataFrame:
     """(doc_id, license, coverage, matched, span_start, span_end), a row for each match."""
-    shared = docs.sparkSession.sparkContext.broadcast(Index(templates or TEMPLATES))
+    shared = docs.sparkSession.sparkContext.broadcast(Index(templates or TEMPLATES, decisive))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_scanner(shared, least), _MATCHES)
 

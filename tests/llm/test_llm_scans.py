@@ -173,6 +173,22 @@ def test_changes_of_many_tokens_inside_a_license():
                 assert found[name] == full_alignment(template, tokens)
 
 
+def test_siblings_are_not_taken_for_each_other():
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    cases = {
+        gnu.format("", 3): "gpl-3.0-line", gnu.format("", 2): "gpl-2.0-line", gnu.format("Affero ", 3): "agpl-3.0-line",
+        gnu.format("Lesser ", 3): "lgpl-3.0-line", gnu.format("Lesser ", "2.1"): "lgpl-2.1-line", gnu.format("", 1): None,
+        gnu.format("Affero ", 1): None, "Licensed under the Apache License, Version 2.0.": "apache-2.0-line",
+        "Licensed under the Apache License, Version 1.1.": "apache-1.1-line", "Licensed under the Apache License, Version 1.0.": None,
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-line", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0-line",
+        "Licensed under CC BY 4.0.": "cc-by-4.0-line", "Licensed under CC BY-NC 3.0.": None, "Released under the ISC License.": None,
+        licenses.TEMPLATES["mpl-2.0"].replace("2.0", "1.1"): None,
+        **{licenses.TEMPLATES[x]: x for x in ("gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "bsd-2-clause", "bsd-3-clause")},
+    }
+    for text, name in cases.items():
+        assert list(matches_of(f"Some words before. {text} Some words behind.")[1]) == ([name] if name else []), text
+
+
 def test_shared_runs_are_always_found():
     """Any GRAM + WINDOW - 1 tokens in a row share a fingerprint with their template."""
     index = licenses.Index(licenses.TEMPLATES)
