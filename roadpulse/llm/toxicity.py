@@ -1,10 +1,11 @@
 """Toxicity of restored text: noisy-channel deobfuscation, then evidence of words.
 
-Deobfuscation. A token that is not plain (digits or signs among letters, a letter three times in a row, letters set
-apart) becomes a lattice: a sign may stand for the letters it resembles or for nothing, a repeated letter for one or
-two, a gap between single letters for a word border or for nothing. Viterbi decoding under a character trigram model
-with word borders picks the likeliest reading. The model counts the trigrams of all documents; plain words, which are
-their own only reading, are not decoded.
+Deobfuscation. A token that is not plain (it has a digit, a sign or a character twice in a row, or is one of several
+characters set apart by white space) becomes a lattice: a sign may stand for the letters it resembles or for nothing, a
+repeated character for one or two, a gap between single ones for a word border or for nothing. Viterbi decoding under a
+character trigram model with word borders picks the likeliest reading; with a repeated character also the likeliest that
+keeps all repetitions, and of letters alone that is the word as it is. The model counts the trigrams of all documents;
+plain words, which are their own only reading, are not decoded.
 
 Evidence. Features are words and their prefixes of 4 to 6 letters. Training texts are clustered first (shared MinHash
 bands of three-word shingles), and one text of each cluster counts, so that a copied text gives its words no weight.
@@ -57,12 +58,12 @@ SUBSTITUTE, DROP_SIGN, DROP_DIGIT, DROP_REPEAT, GAP = (math.log(p) for p in (0.3
 SYMBOLS = 64
 BORDER = 0
 
-_EDGE = re.compile(r"^[^\w@$]+|[^\w]+$")
+_EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 _PLAIN = re.compile(r"[^\W\d_]*\Z")
-_TRIPLE = re.compile(r"(.)\1\1")
-_SPELLED = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\S)")
+_DOUBLE = re.compile(r"(.)\1")
+_SPELLED = re.compile(r"(?<!\S)[^\w\s@$]*((?:[^\W_]|[%s])(?:\s+(?:[^\W_]|[%s])){2,})[^\w\s]*(?!\S)" % ((re.escape("".join(LEET)),) * 2))
 _STRETCH = re.compile(r"[^\W\d_]{3,}")
-_LETTER = re.compile(r"[^\W\d_]")
+_READABLE = re.compile(r"[^\W\d_]|[%s]" % re.escape("".join(LEET)))
 
 
 def symbol_of(char: str) -> int:
@@ -109,8 +110,11 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log((three + 20 * p2[None]) / (three.sum(2, keepdims=True) + 20)).astype(np.float32)
 
 
-def readings(token: str) -> list[list[tuple[str, float]]]:
-    """For each character of a token, the strings that it may stand for, with log probabilities."""
+def readings(token: str, repeats: bool = True) -> list[list[tuple[str, float]]]:
+    """For each character of a token, the strings that it may stand for, with log probabilities.
+
+    Without ``repeats`` a repeated character is not left out for being one.
+    """
     lattice, last = [], ""
     for char in token:
         if char == " ":
@@ -120,17 +124,17 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
             options = [(char, 0.0)]
         else:
             options = [(c, SUBSTITUTE) for c in LEET.get(char, "")] + [("", DROP_DIGIT if char.isdigit() else DROP_SIGN)]
-        if char == last:
+        if repeats and char == last:
             options.append(("", DROP_REPEAT))
         lattice.append(options)
         last = char
     return lattice
 
 
-def decode(token: str, model: np.ndarray) -> str:
+def decode(token: str, model: np.ndarray, repeats: bool = True) -> str:
     """The likeliest reading of a token, or of letters with spaces between them."""
     states = {(BORDER, BORDER): (0.0, "")}
-    for options in readings(token):
+    for options in readings(token, repeats):
         following: dict[tuple[int, int], tuple[float, str]] = {}
         for (x, y), (score, text) in states.items():
             for string, cost in options:
@@ -153,17 +157,22 @@ class Restorer:
 
     def words(self, token: str) -> tuple[str, ...]:
         core = _EDGE.sub("", token)
-        if _PLAIN.match(core) and not _TRIPLE.search(core):
+        plain, doubled = _PLAIN.match(core), _DOUBLE.search(core)
+        if plain and not doubled:
             return (core,) if core else ()
-        if not _LETTER.search(core):
+        if not _READABLE.search(core):
             return ()
-        simple = _EDGE.sub("", re.sub(r"[^\w]+$", "", core))
-        found = dict.fromkeys([*decode(core, self.model).split(), *_STRETCH.findall(simple)])
-        return tuple(found)
+        found = decode(core, self.model).split()
+        if plain:
+            return tuple(dict.fromkeys([core, *found]))
+        if doubled:
+            found += decode(core, self.model, repeats=False).split()
+        simple = re.sub(r"^\W+|\W+$", "", core)
+        return tuple(dict.fromkeys([*found, *_STRETCH.findall(simple)]))
 
     def spelled(self, text: str) -> list[str]:
-        """Words read from single letters set apart by spaces."""
-        return [w for m in _SPELLED.finditer(text) for w in decode(m.group(), self.model).split()]
+        """Words read from single letters, digits or signs set apart by white space."""
+        return [w for m in _SPELLED.finditer(text) for w in decode(" ".join(m[1].split()), self.model).split()]
 
 
 def features_of(word: str) -> list[str]:

@@ -55,6 +55,27 @@ def test_toxicity_on_unseen_and_disguised_words(spark, documents, toxic_rows):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
 
 
+def test_disguises_reach_the_decoder():
+    """Signs at an end, digits and signs alone, doubled letters, letters set apart by any white space, with marks."""
+    rng, words = random.Random(4), ["idiot", "moron", "scum", "ass", "class", "hello", "dull", "boat", "sit", "crime"]
+    text = " ".join(rng.choices(words, k=4_000))
+    counts = np.full((toxicity.SYMBOLS,) * 3, 0.01)
+    symbols = [toxicity.symbol_of(c) for c in f" {text} "]
+    np.add.at(counts, (symbols[:-2], symbols[1:-1], symbols[2:]), 1)
+    np.add.at(counts, (0, 0, symbols[1:]), 1)
+    restorer = toxicity.Restorer(np.log(counts / counts.sum(2, keepdims=True)))
+    forms = {"a$$": "ass", "@$$": "ass", "cl@$$": "class", "(cl@$$),": "class", "455": "ass", "iiddiioott": "idiot", "mmoron!": "moron", "hello": "hello", "dull": "dull"}
+    for form, word in forms.items():
+        assert word in restorer.words(form), form
+    spelled = {
+        "you i  d\ti\no t there": "idiot", "an i d ! o t": "idiot", "$ c u m": "scum", "m o r o n, he said": "moron",
+        "(m 0 r o n)!": "moron", "m o r o n": "moron",
+    }
+    for form, word in spelled.items():
+        assert word in restorer.spelled(form), form
+    assert restorer.spelled("a b") == [] and restorer.words("&&&") == restorer.words("***") == ()
+
+
 def test_copies_of_a_toxic_text_give_its_words_no_weight(spark, documents, toxic_rows):
     rows, marks = toxic_rows
     copied = [(5000 + i, "entirely innocent vocabulary around an idiot moron") for i in range(200)]
