@@ -1,8 +1,11 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text accepts exactly the substrings of that text. A document is
-parsed against it greedily: a phrase is the longest match from where the last one ended. The language whose text needs
-the fewest phrases per character wins; ties go to the first name.
+parsed against it greedily: a phrase is the longest match from where the last one ended. The language wins for which
+the document needs the fewest phrases in relation to what unseen text of that language needs with the same automaton,
+since a small automaton needs more phrases for its own language too; ties go to the first name. That need is measured
+by parsing one half of a language's sample with an automaton of the other half, relative to the mean of the other
+languages' text, and carried over to the whole automaton.
 
 Characters are letters, lower-cased, in at most ALPHABET classes found in the labelled text (rarer ones share a
 class), with one class for all runs of anything else. Documents are parsed in blocks of BLOCK characters, so that a
@@ -11,17 +14,17 @@ advance together, one character at a time, in one table of transitions, where a
 the next phrase starts. Memory is bounded by the batch and by the labelled text.
 
 That text is a bounded sample: per language TEXTS texts, those first in a seeded order, of which TEXT_CHARS characters
-from the middle are used, SAMPLE_CHARS in all. A language with less labelled text has a smaller automaton.
+from the middle are used, all of them. A language with less labelled text has a smaller automaton.
 
 Defined results: ``und`` with score 0 if the text is NULL or has no letter, or if nothing is labelled. The score is
-1 - (phrases of the winner / phrases of the runner-up), 1 if there is only one language. An empty table gives an empty
+1 - (relative phrases of the winner / those of the runner-up), 1 if there is only one language. An empty table gives an empty
 result. Columns of the input named like a result column are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,8 @@ from pyspark.sql import Window as W
 from roadpulse.llm.common import documents, fold_of, stored
 
 FOLDS, HELD_OUT = 4, 2
-TEXTS, TEXT_CHARS, SAMPLE_CHARS = 64, 1_500, 24_000
+TEXTS, TEXT_CHARS = 64, 1_500
+SAMPLE_CHARS = TEXTS * (TEXT_CHARS + 1)
 ALPHABET = 63
 BLOCK = 512
 #: Characters parsed at a time.
@@ -51,6 +55,8 @@ class LanguageModel:
     width: int
     table: np.ndarray
     roots: np.ndarray
+    #: Phrases that a character of a language's own text needs.
+    needs: np.ndarray
 
 
 def _points(text: str) -> np.ndarray:
@@ -121,17 +127,55 @@ def build(samples: dict[str, list[str]]) -> LanguageModel:
         small = chr(c).lower()
         if len(small) == 1 and ord(small) < 0x10000:
             classes[c] = classes[ord(small)]
-    width = rare + 1
+    model = _automata(dict(zip(names, texts, strict=True)), classes, rare + 1)
+    return replace(model, needs=_needs(model, samples))
+
+
+def _automata(texts: dict[str, np.ndarray], classes: np.ndarray, width: int) -> LanguageModel:
     parts, roots, offset = [], [], 0
-    for text in texts:
+    for text in texts.values():
         table = suffix_automaton(_collapsed(classes_of(text, classes)), width)
-        root = np.where(table[0] >= 0, table[0], 0)
-        moved = np.where(table >= 0, (table + offset) * (2 * width), (root + offset) * (2 * width) + 1)
-        parts.append(moved.astype(np.int32).ravel())
-        roots.append(offset * width)
-        offset += len(table)
+        # Behind the automaton a state where nothing is read yet; a character that it lacks is a phrase and leads there.
+        none = len(table)
+        begun = (np.where(table[0] >= 0, table[0], none) + offset) * (2 * width) + 1
+        moved = np.where(table >= 0, (table + offset) * (2 * width), begun)
+        parts += [moved.astype(np.int32).ravel(), begun.astype(np.int32)]
+        roots.append((offset + none) * width)
+        offset += none + 1
     table = np.concatenate(parts) if parts else np.empty(0, np.int32)
-    return LanguageModel(names, classes, width, table, np.array(roots, np.int32))
+    return LanguageModel(tuple(texts), classes, width, table, np.array(roots, np.int32), np.ones(len(texts)))
+
+
+def _halves(pieces: list[str]) -> tuple[str, str]:
+    """Every other piece and the rest; the only piece is cut in the middle."""
+    if len(pieces) > 1:
+        return " ".join(pieces[::2]), " ".join(pieces[1::2])
+    half = len(pieces[0]) // 2
+    return pieces[0][:half], pieces[0][half:]
+
+
+def _needs(model: LanguageModel, samples: dict[str, list[str]]) -> np.ndarray:
+    languages = len(model.names)
+    if languages < 2:
+        return np.ones(languages)
+
+    def rates(texts: list[str], parser: LanguageModel) -> np.ndarray:
+        phrases, n_letters = count_phrases(texts, parser)
+        return np.where(n_letters[:, None] > 0, phrases / np.maximum(n_letters, 1)[:, None], np.nan)
+
+    def of_others(found: np.ndarray) -> np.ndarray:
+        """Of each automaton the mean over the other languages' texts; 1 if none has a letter."""
+        foreign = np.where(np.eye(languages, dtype=bool), np.nan, found)
+        n = np.count_nonzero(~np.isnan(foreign), 0)
+        return np.where(n > 0, np.nansum(foreign, 0) / np.maximum(n, 1), 1.0)
+
+    halves = [_halves(samples[x]) for x in model.names]
+    shares = []
+    for own, unseen in ((0, 1), (1, 0)):
+        half = _automata({x: _points(" " + h[own].lower()) for x, h in zip(model.names, halves, strict=True)}, model.classes, model.width)
+        found = rates([h[unseen] for h in halves], half)
+        shares.append(np.minimum(1.0, np.nan_to_num(np.diag(found) / of_others(found), nan=1.0)))
+    return np.mean(shares, 0) * of_others(rates([" ".join(samples[x]) for x in model.names], model))
 
 
 def classes_of(points: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -171,7 +215,7 @@ def count_phrases(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, n
     for n, i in enumerate(order):
         steps[: sizes[n], n] = lanes[i]
     base = np.repeat(model.roots[:, None], len(lanes), 1)
-    count = np.ones((languages, len(lanes)), np.int32)
+    count = np.zeros((languages, len(lanes)), np.int32)
     live = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
     for k, row in enumerate(steps):
         n = live[k]
@@ -197,9 +241,10 @@ def _predictor(shared):
                     end += 1
                 phrases, n_letters = count_phrases(texts[begin:end], model)
                 if len(model.names):
-                    ranked = np.sort(phrases, 1)
-                    best = phrases.argmin(1)
-                    score = 1 - ranked[:, 0] / np.maximum(ranked[:, 1], 1) if len(model.names) > 1 else np.ones(end - begin)
+                    relative = phrases / model.needs
+                    ranked = np.sort(relative, 1)
+                    best = relative.argmin(1)
+                    score = 1 - ranked[:, 0] / np.where(ranked[:, 1] > 0, ranked[:, 1], 1) if len(model.names) > 1 else np.ones(end - begin)
                     best = np.where(n_letters > 0, best, len(model.names))
                     score = np.where(n_letters > 0, score, 0.0)
                 else:

@@ -165,6 +165,28 @@ def test_languages_of_unseen_texts(spark, documents, written):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_a_language_with_one_or_two_short_labelled_texts():
+    """It shares half its syllables with one of 64 texts, and keeps its own documents without taking others."""
+    rng = random.Random(13)
+    near = SYLLABLES["en"][:6] + "os ar un".split()
+    text = lambda x, n: " ".join("".join(rng.choices(near if x == "xx" else SYLLABLES[x], k=rng.randint(1, 3))) for _ in range(n))
+    for pieces in ([text("xx", 60)], [text("xx", 30), text("xx", 30)]):
+        samples = {x: [text(x, 260) for _ in range(langid.TEXTS)] for x in SYLLABLES} | {"xx": pieces}
+        model = langid.build(samples)
+        for x in (*SYLLABLES, "xx"):
+            phrases, _ = langid.count_phrases([text(x, 120) for _ in range(100)], model)
+            right = np.array(model.names)[(phrases / model.needs).argmin(1)] == x
+            assert right.mean() >= 0.9, (x, right.mean(), (np.array(model.names)[phrases.argmin(1)] == x).mean())
+
+
+def test_all_drawn_text_is_in_the_automaton():
+    rng = random.Random(14)
+    pieces = [prose(rng, "en", 400)[: langid.TEXT_CHARS - 10] + " qzx" + chr(0x3B1 + i % 24) * (1 + i // 24) for i in range(langid.TEXTS)]
+    model = langid.build({"en": pieces, "de": [prose(rng, "de", 300)]})
+    phrases, _ = langid.count_phrases([p[-40:] for p in pieces], model)
+    assert (phrases[:, model.names.index("en")] == 1).all()
+
+
 def test_language_without_labels_or_rows(documents):
     model = langid.build(langid.labelled_samples(documents([(1, "text", None, None)])))
     assert [r["lang_pred"] for r in langid.identify(documents([(1, "text")]), model).collect()] == ["und"]
