@@ -830,7 +830,7 @@ def stream_snapshots(spark, sf):
     dated.write.partitionBy("date").parquet(f"{folder}/metrics")
     stream = spark.readStream.schema(metrics.schema).parquet(f"{folder}/metrics")
     started = ssk.publish_snapshots(
-        stream, f"{folder}/metrics", f"{folder}/out", f"{folder}/checkpoint", minutes=1440, every=None, lookback_minutes=400 * 1440
+        stream, f"{folder}/metrics", f"{folder}/out", f"{folder}/checkpoint", minutes=1440, every=None
     )
     started.awaitTermination()
     field = lambda c: F.get_json_object("data", f"$.{c}")

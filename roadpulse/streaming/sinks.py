@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -107,6 +108,18 @@ def compact_upserts(spark: SparkSession, path: str, before: date) -> int:
     return sum(drop_folder(spark, f"{path}/date={r['date']}/batch={r['batch']}") for r in old)
 
 
+def _kept_latest(spark: SparkSession, path: str, batch_id: int) -> tuple[DataFrame | None, list[int]]:
+    """The latest rows that the newest batch before ``batch_id`` left, and the numbers of all before it."""
+    try:
+        log = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # not there, or without rows
+            raise
+        return None, []
+    batches = sorted(row[0] for row in log.select("batch").filter(F.col("batch") < batch_id).distinct().collect())
+    return (log.filter(F.col("batch") == batches[-1]).select(*METRIC_COLUMNS) if batches else None), batches
+
+
 def publish_snapshots(
     trigger_rows: DataFrame,
     metrics_path: str,
@@ -118,18 +131,27 @@ def publish_snapshots(
 ) -> StreamingQuery:
     """On every trigger, the latest metrics and the heat of the last minutes as envelopes.
 
-    ``trigger_rows`` is the metrics stream; its newest window is the moment the snapshot describes. A camera that has
-    been silent for ``lookback_minutes`` is not in it, so that a dated metrics table is read for these minutes only.
+    ``trigger_rows`` is the metrics stream; its newest window is the moment the snapshot describes. The latest row of
+    every camera, however long it has been silent, is kept in ``<out_path>_latest`` from batch to batch; the first batch
+    reads it from the whole metrics table, later ones add their own rows and the table's last ``lookback_minutes``.
     """
-    spark = trigger_rows.sparkSession
+    spark, kept_path = trigger_rows.sparkSession, out_path.rstrip("/") + "_latest"
 
     def publish(rows: DataFrame, batch_id: int) -> None:
         as_of = newest_window(rows)
         if as_of is None:
             return
-        metrics = recent(spark.read.parquet(metrics_path), as_of, max(minutes, lookback_minutes)).drop("date")
-        latest = to_envelope(latest_per_camera(metrics), "traffic_metrics_update", as_of)
+        table = spark.read.parquet(metrics_path)
+        metrics = recent(table, as_of, max(minutes, lookback_minutes)).drop("date")
+        kept, batches = _kept_latest(spark, kept_path, batch_id)
+        known = table.filter(F.col("window_end") <= as_of) if kept is None else kept.unionByName(metrics.select(*METRIC_COLUMNS))
+        newest = latest_per_camera(known.select(*METRIC_COLUMNS).unionByName(rows.select(*METRIC_COLUMNS))).persist()
+        write_batch(newest, kept_path, batch_id)
+        latest = to_envelope(newest, "traffic_metrics_update", as_of)
         heat = to_envelope(heat_snapshot(metrics, as_of, minutes), "heatmap_update", as_of)
         write_batch(latest.unionByName(heat), out_path, batch_id)
+        newest.unpersist()
+        for old in batches[:-1]:
+            drop_folder(spark, f"{kept_path}/batch={old}")
 
     return _start(trigger_rows.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint), every)

@@ -198,6 +198,20 @@ def test_j7_j9_on_each_batch(spark, tmp_path):
     assert one(sent.filter("event = 'heatmap_update'")).ts == at(150).replace(tzinfo=None)
 
 
+def test_j7_a_camera_silent_for_days_stays_in_the_snapshot(spark, tmp_path):
+    day = 86_400 // 5
+    arriving = [[metric("a", 0), metric("b", 0)], [metric("b", 3 * day)], [metric("b", 6 * day), metric("c", 6 * day, lane=1)]]
+    for n, rows in enumerate(arriving):
+        metrics(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = _stream(spark, f"{tmp_path}/in")
+        ssk.publish_snapshots(stream, f"{tmp_path}/in", f"{tmp_path}/ev", f"{tmp_path}/c", every=None).awaitTermination()
+        sent = spark.read.parquet(f"{tmp_path}/ev").filter(f"batch = {n} AND event = 'traffic_metrics_update'")
+        got = [(r[0], r[1]) for r in sent.select(F.get_json_object("data", "$.camera_id"), F.get_json_object("data", "$.window_start")).collect()]
+        assert sorted(r[0] for r in got) == ["a", "b"]
+        assert dict(got)["b"][:10] == at(3 * n * 86_400).date().isoformat() and dict(got)["a"][:10] == at(0).date().isoformat()
+    assert {r[0] for r in spark.read.parquet(f"{tmp_path}/ev_latest").select("batch").distinct().collect()} == {1, 2}
+
+
 def test_j11_every_batch_is_kept(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
     listener = StatsListener(stats_table(spark, f"{tmp_path}/stats"))
