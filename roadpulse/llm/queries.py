@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from roadpulse.llm import exact_dedup, fingerprints, langid, licenses, mixing, near_dedup, pieces, quality, toxicity, url_filter
+from roadpulse.llm import (
+    exact_dedup, fingerprints, langid, licenses, mixing, near_dedup, pieces, quality, toxicity, url_filter, whitening,
+)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_importance_resampling": quality.op9_importance_resampling,
     "op10_url_filters": url_filter.op10_url_filters,
+    "op11_whitening": whitening.op11_whitening,
 }
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
