@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from roadpulse.llm import (
-    exact_dedup, fingerprints, langid, licenses, mixing, near_dedup, pieces, quality, toxicity, url_filter, whitening,
+    exact_dedup, fingerprints, langid, licenses, mixing, near_dedup, pieces, quality, ranking, toxicity, url_filter, whitening,
 )
 
 QUERIES = {
@@ -18,9 +18,11 @@ QUERIES = {
     "op9_importance_resampling": quality.op9_importance_resampling,
     "op10_url_filters": url_filter.op10_url_filters,
     "op11_whitening": whitening.op11_whitening,
+    "op13_ranked_search": ranking.op13_ranked_search,
 }
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op10_url_filters": url_filter.SQL,
+    "op13_ranked_search": ranking.SQL,
 }
