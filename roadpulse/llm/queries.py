@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from roadpulse.llm import (
-    exact_dedup, fingerprints, langid, licenses, mixing, near_dedup, pieces, quality, ranking, toxicity, url_filter, whitening,
+    exact_dedup, fingerprints, langid, licenses, mixing, near_dedup, personal_data, pieces, quality, ranking, toxicity,
+    url_filter, whitening,
 )
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op9_importance_resampling": quality.op9_importance_resampling,
     "op10_url_filters": url_filter.op10_url_filters,
     "op11_whitening": whitening.op11_whitening,
+    "op12_personal_data": personal_data.op12_personal_data,
     "op13_ranked_search": ranking.op13_ranked_search,
 }
 ORACLES = {
