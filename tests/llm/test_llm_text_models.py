@@ -210,12 +210,63 @@ def test_quality_on_unseen_rows(spark, documents):
     assert all(r["accepted"] for r in got if r["doc_id"] in (900, 901, 902))
 
 
+def test_one_long_text_changes_nothing(spark, documents):
+    """A text 400 times as long as others leaves the accepted rows as they were."""
+    rng = random.Random(8)
+    rows = [(i, junk(rng) if i % 5 == 0 else prose(rng, rng.choice(list(SYLLABLES)), rng.randint(10, 120))) for i in range(800)]
+    marks = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i, _ in rows if i % 2 or i % 5 == 0], "doc_id long, quality int, toxic int")
+    verdicts = []
+    for extra in ([], [(901, " ".join([rows[5][1]] * 400)), (902, prose(rng, "en", 30_000))]):
+        docs = documents([*rows, *extra])
+        verdicts.append({r["doc_id"]: r["accepted"] for r in quality.classify(docs, quality.fit(docs, marks)).collect()})
+    changed = [i for i, _ in rows if verdicts[0][i] != verdicts[1][i]]
+    assert len(changed) <= 2 and sum(verdicts[1][i] != (i % 5 != 0) for i, _ in rows) <= 4
+
+
+def test_quality_model_equals_a_plain_count(spark, documents):
+    """Shares of bins, ratios and scores, recomputed text by text with the same hashes."""
+    rng = random.Random(10)
+    rows = [(i, prose(rng, "en", rng.randint(0, 30))) for i in range(60)] + [(70, "a a a a b"), (71, None)]
+    good = {i for i in range(60) if i % 3 == 0}
+    marks = spark.createDataFrame([(i, int(i in good), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    raw, target, bins_of = np.zeros(quality.BINS), np.zeros(quality.BINS), {}
+    for i, text in rows:
+        hashes, _ = quality.hash_words(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
+        pairs = [0 if a == b else quality.mixed(np.array([a * 3 + b & (1 << 64) - 1], np.uint64))[0] for a, b in zip(map(int, hashes), map(int, hashes[1:]))]
+        bins_of[i] = [int(h) % quality.BINS for h in (*hashes, *pairs)]
+        for b in set(bins_of[i]):
+            share = (bins_of[i].count(b) << quality.SHARE_BITS) // len(bins_of[i])
+            raw[b] += share
+            target[b] += share * (i in good and fold(i, 5) not in (0, 1))
+    ratio = quality.log_ratios(raw, target)
+    model = quality.fit(documents(rows), marks)
+    np.testing.assert_allclose(model.log_ratio, ratio, atol=1e-12)
+    scores = {i: sum(ratio[b] for b in bins) / (len(bins) + quality.SHRINK) for i, bins in bins_of.items()}
+    got = {r["doc_id"]: r["score"] for r in quality.classify(documents(rows), model).collect()}
+    assert got == pytest.approx(scores)
+    held = [i for i in range(60) if fold(i, 5) == 1]
+    assert model.cut == pytest.approx(quality.best_cut(np.array([scores[i] for i in held]), np.array([i in good for i in held])))
+
+
+def test_cut_has_the_least_weighted_error():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        good = rng.random(40) < 0.7
+        scores = np.round(rng.normal(good * 1.5, 1), 1)
+        cut = quality.best_cut(scores, good)
+        error = lambda c: quality.GOOD_WEIGHT * (scores[good] < c).mean() + (scores[~good] >= c).mean()  # noqa: B023,E731
+        assert error(cut) == pytest.approx(min(error(c) for c in [-np.inf, *scores, scores.max() + 1]))
+    assert quality.best_cut(np.array([1.0, 2.0]), np.array([True, True])) == 1.0
+    assert quality.best_cut(np.array([1.0, 2.0]), np.array([False, False])) == -np.inf
+
+
 def test_gumbel_top_k_is_the_k_largest_keys(spark, monkeypatch):
     monkeypatch.setattr(quality, "EXACT_ROWS", 5)
     rng = random.Random(9)
     rows = [(i, rng.gauss(0, 30) if i % 3 else 0.0) for i in range(3000)] + [(i, 1.0) for i in range(40)]
+    rows += [(7, 80.0)] * 300 + [(None, 60.0)] * 200  # a third of the largest keys is one row's copies
     df = spark.createDataFrame(rows, "doc_id long, log_weight double")
-    for k in (0, 1, 700, 3040):
+    for k in (0, 1, 250, 450, 700, 3540):
         got = quality.gumbel_top_k(df, k).collect()
         assert len(got) == len(rows) and sum(r["sampled"] for r in got) == k
         chosen = [r["gumbel_key"] for r in got if r["sampled"]]
