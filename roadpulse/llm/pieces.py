@@ -5,8 +5,12 @@ merge otherwise. So a text is encoded from left to right with the longest piece
 at each place; a piece must be compatible with the one before it, which re-merging the two decides, else its next
 shorter prefix is tried, else the piece before is given up and a bitfield remembers that its end leads nowhere.
 
+Re-merging two pieces needs no queue: each piece alone has a fixed order of merges, which is worked out once. The two
+orders are run side by side, the better-scored head first; the pieces are incompatible if at any moment the parts that
+face each other across the border form a piece that comes before both heads.
+
 Texts are cut where no piece can reach across: before a space, and around line breaks if no piece holds one. Each
-part is encoded once per task and kept in a table of bounded size. Runs of spaces, whose pieces tie in score, are
+part is encoded once per task and kept in a table of KEPT_BYTES at most, which is let go when the task ends. Runs of spaces, whose pieces tie in score, are
 merged directly. The vocabulary is read on the driver from ``model``, a parameter, and sent to the tasks.
 
 Defined results: NULL is encoded as the empty text, to no ids, and decodes to the empty text. The library treats the
@@ -29,8 +33,11 @@ from pyspark.sql import types as T
 from roadpulse.llm.common import documents
 
 SPACE = "▁"
-#: Parts, and pairs of pieces, that a task keeps at most.
-KEPT_PARTS, KEPT_PAIRS = 300_000, 200_000
+_NEVER = float("-inf")
+#: Bytes that the parts kept by a task take at most, and what one takes beside its characters.
+KEPT_BYTES, PART_BYTES = 100 << 20, 340
+#: Pairs of pieces whose compatibility a task keeps at most.
+KEPT_PAIRS = 200_000
 
 
 def merge(symbols: list[str], scores: dict[str, float]) -> list[str]:
@@ -54,6 +61,22 @@ def merge(symbols: list[str], scores: dict[str, float]) -> list[str]:
     return [p for p in parts if p is not None]
 
 
+def merges(piece: str, scores: dict[str, float]) -> list[tuple[float, str, str]]:
+    """The merges that build ``piece`` from its characters, in their order: score, and the first and last part after it."""
+    parts, out = list(piece), []
+    while True:
+        best = None
+        for i in range(len(parts) - 1):
+            score = scores.get(parts[i] + parts[i + 1])
+            if score is not None and (best is None or score > best[0]):
+                best = score, i
+        if best is None:
+            return out
+        score, i = best
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        out.append((score, parts[0], parts[-1]))
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces that merging can produce, with their ids and scores, and the ids of the 256 bytes."""
@@ -82,6 +105,20 @@ def load_vocabulary(model: str) -> Vocabulary:
     return Vocabulary(ids, scores, whole, tuple(byte_ids[b] for b in range(256)), {i: p for p, i in ids.items()})
 
 
+class _Orders(dict):
+    """Piece -> its merges. Pieces of the vocabulary and single characters, each worked out once."""
+
+    def __init__(self, scores: dict[str, float]) -> None:
+        super().__init__()
+        self.scores = scores
+
+    def __missing__(self, piece: str) -> list[tuple[float, str, str]]:
+        found = merges(piece, self.scores)
+        if piece in self.scores:
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Encodes and decodes in one task."""
 
@@ -94,48 +131,82 @@ class Encoder:
             self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.cut_lines = not any("\n" in piece for piece in vocabulary.ids)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.orders = _Orders(vocabulary.scores)
+        self.known: dict[tuple[str, str], bool] = {}
         self.bytes_of = {i: b for b, i in enumerate(vocabulary.byte_ids)}
 
     def compatible(self, left: str, right: str) -> bool:
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[left, right] = merge([*left, *right], self.v.scores) == [left, right]
-        return found
+        """Whether merging the characters of both gives these two pieces again."""
+        scores = self.v.scores
+        lefts, rights = self.orders[left], self.orders[right]
+        a, b, i, j = left[-1], right[0], 0, 0
+        across = scores.get(a + b, _NEVER)
+        while i < len(lefts) or j < len(rights):
+            x = lefts[i][0] if i < len(lefts) else _NEVER
+            y = rights[j][0] if j < len(rights) else _NEVER
+            if across > x and across >= y:  # of equal scores, the leftmost pair is merged first
+                return False
+            if x >= y:
+                edge, i = lefts[i][2], i + 1
+                if edge == a:
+                    continue
+                a = edge
+            else:
+                edge, j = rights[j][1], j + 1
+                if edge == b:
+                    continue
+                b = edge
+            across = scores.get(a + b, _NEVER)
+        return across == _NEVER
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text without runs of spaces; a character outside the vocabulary is a piece of its own."""
-        n, whole = len(text), self.v.whole
+        n, whole, known = len(text), self.v.whole, self.known
         longest = [1] * n
         for end, length in self.automaton.iter(text):
             longest[end - length + 1] = length
         if n and longest[0] == n:
             return [text]
-        failed, at, out = 0, 0, []
+        failed, at, out, last = 0, 0, [], ""
         length = longest[0] if n else 0
         while at < n:
-            last = out[-1] if out else None
             while True:
                 piece = text[at : at + length]
-                if not failed >> (at + length) & 1 and (last is None or self.compatible(last, piece)):
-                    out.append(piece)
-                    at += length
-                    length = longest[at] if at < n else 0
-                    break
+                if not failed >> (at + length) & 1:
+                    fits = known.get((last, piece))
+                    if fits is None:
+                        fits = self._judge(last, piece)
+                    if fits:
+                        out.append(piece)
+                        last = piece
+                        at += length
+                        length = longest[at] if at < n else 0
+                        break
                 length -= 1
                 while length > 1 and text[at : at + length] not in whole:
                     length -= 1
                 if length < 1:
                     failed |= 1 << at
                     length = len(out.pop())
+                    last = out[-1] if out else ""
                     at -= length
                     break
         return out
 
+    def _judge(self, last: str, piece: str) -> bool:
+        """``compatible``, kept for the pairs of KEPT_PAIRS at most; the first piece of a text is compatible with none."""
+        fits = not last or self.compatible(last, piece)
+        if last in self.v.scores and piece in self.v.scores:
+            if len(self.known) >= KEPT_PAIRS:
+                self.known.clear()
+            self.known[last, piece] = fits
+        return fits
+
     def to_ids(self, pieces: list[str]) -> list[int]:
-        ids: list[int] = []
+        ids: list[int] = list(map(self.v.ids.get, pieces))
+        if None not in ids:
+            return ids
+        ids = []
         for piece in pieces:
             known = self.v.ids.get(piece)
             if known is None:
@@ -157,7 +228,9 @@ class Encoder:
         if self.cut_lines and part.startswith("\n"):
             return self.to_ids(self.run_pieces(spaces) + self.pieces(part))
         pieces = self.pieces(SPACE + part)
-        if spaces and pieces[0] == SPACE:
+        if not spaces:
+            return self.to_ids(pieces)
+        if pieces[0] == SPACE:
             return self.to_ids(self.run_pieces(spaces + 1) + pieces[1:])
         return self.to_ids(self.run_pieces(spaces) + pieces)
 
@@ -198,31 +271,29 @@ class Encoder:
 
 
 class _Kept(dict):
-    """Part -> (ids as text, number of ids, text that they spell), worked out once."""
+    """Part -> (ids as text, number of ids, text that they spell), worked out once while there is room.
+
+    When half the room is full, what was not used since the last time makes way.
+    """
 
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.bytes, self.older = encoder, 0, {}
 
     def __missing__(self, part: str) -> tuple[str, int, str]:
-        ids = self.encoder.part_ids(part)
-        entry = self[part] = (",".join(map(str, ids)), len(ids), self.encoder.spell(ids))
+        entry = self.older.get(part)
+        if entry is None:
+            ids = self.encoder.part_ids(part)
+            entry = ",".join(map(str, ids)), len(ids), self.encoder.spell(ids)
+        self.bytes += PART_BYTES + 4 * (len(part) + len(entry[2])) + len(entry[0])
+        if self.bytes > KEPT_BYTES // 2:
+            self.older = dict(self)
+            self.clear()
+            self.bytes = 0
+        self[part] = entry
         return entry
 
 
-_kept: dict[int, tuple[Encoder, _Kept]] = {}
-
-
-def _kept_for(vocabulary: Vocabulary) -> tuple[Encoder, _Kept]:
-    """One encoder per worker process; another vocabulary replaces it."""
-    key = hash((vocabulary.whole, vocabulary.byte_ids))
-    if key not in _kept:
-        _kept.clear()
-        encoder = Encoder(vocabulary)
-        _kept[key] = encoder, _Kept(encoder)
-    return _kept[key]
-
-
 def _texts(column: pa.Array) -> list[str]:
     return column.cast(pa.large_string()).fill_null("").to_pylist()
 
@@ -233,7 +304,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
     docs = docs.drop(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = _kept_for(shared.value)
+        encoder = Encoder(shared.value)
         for batch in batches:
             found = [encoder.encode(x) for x in _texts(batch.column(batch.schema.get_field_index(text)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], [*batch.schema.names, ids])
@@ -247,7 +318,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
     rows = rows.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = _kept_for(shared.value)
+        encoder = Encoder(shared.value)
         for batch in batches:
             found = [encoder.decode(x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, text])
@@ -260,13 +331,12 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, kept = _kept_for(shared.value)
+        encoder = Encoder(shared.value)
+        kept = _Kept(encoder)
         digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in batches:
             counts, ids_digests, text_digests = [], [], []
             for text in _texts(batch.column(1)):
-                if len(kept) > KEPT_PARTS:
-                    kept.clear()
                 parts = encoder.parts(text)
                 if "" in parts:
                     ids = encoder.encode(text)

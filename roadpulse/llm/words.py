@@ -21,17 +21,21 @@ _VALUE[65:91] = _VALUE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.empty(0, np.uint64)] * 2
+_powers: list[np.ndarray] = []
 
 
 def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, RUN_BYTES + 1)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers
+    """Powers of the base and of its inverse; those of a usual run are kept, those of a longer text are not."""
+    if _powers and n <= len(_powers[0]):
+        return _powers
+    made = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(max(n, RUN_BYTES + 1), base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= RUN_BYTES + 1:
+        _powers[:] = made
+    return made
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

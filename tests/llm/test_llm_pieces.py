@@ -1,9 +1,11 @@
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from roadpulse.llm import pieces
 from roadpulse.llm.pieces import Encoder, Vocabulary, decode, default_model, encode, load_vocabulary, merge, round_trip
 
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -49,3 +51,24 @@ def test_round_trip_and_interfaces(spark, documents):
     for r in decode(ids, MODEL).collect():
         assert r["ids"] == LIBRARY.encode(r["text"] or "") and r["decoded"] == (r["text"] or "")
     assert round_trip(documents([]), MODEL).count() == 0
+
+
+def test_merge_orders_decide_like_merging_again():
+    """Side by side, the two orders of merges say what merging all characters says, for scores in any order and with ties."""
+    rng = random.Random(11)
+    for _ in range(300):
+        scores = {"".join(rng.choices("abc", k=rng.randint(2, 5))): float(-rng.randint(0, 12)) for _ in range(25)}
+        whole = [p for p in scores if pieces.merge(list(p), scores) == [p]] + list("abcd")
+        encoder = pieces.Encoder(pieces.Vocabulary({p: i for i, p in enumerate(scores)}, scores, frozenset(whole), tuple(range(256))))
+        for left in whole:
+            for right in whole:
+                assert encoder.compatible(left, right) == (pieces.merge([*left, *right], scores) == [left, right])
+
+
+def test_kept_parts_stay_within_their_room(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 20_000)
+    encoder = pieces.Encoder(pieces.load_vocabulary(pieces.default_model()))
+    kept = pieces._Kept(encoder)
+    words = [f"word{i % 90}x{i % 7}" for i in range(3000)]
+    assert [kept[w][1] for w in words] == [len(encoder.part_ids(w)) for w in words]
+    assert len(kept) + len(kept.older) < 120
