@@ -30,6 +30,7 @@ from roadpulse.operators import (
     maintenance as mt,
     projections as pj,
     quality as ql,
+    retention as rt,
     speed as sp,
     trend as tr,
     windows as wn,
@@ -41,9 +42,11 @@ from roadpulse.sources import sensors as sn
 from roadpulse.sources import tables as tb
 from roadpulse.streaming import alerts as sal
 from roadpulse.streaming import events as sev
+from roadpulse.streaming import ingest as sin
 from roadpulse.streaming import metrics as smt
 from roadpulse.streaming import sinks as ssk
 from roadpulse.streaming import speed as ssp
+from roadpulse.streaming import upserts as sup
 
 WINDOW = 6 * 3600
 DAY = 86_400
@@ -400,7 +403,7 @@ def retention_job(spark, sf):
     """What the job reports, and what it leaves in both tables."""
     paths = _dated_tables(spark, sf, shared_folder(spark, "retention"))
     retention = Retention(events_hours=250, metrics_days=20)
-    events, metrics = mt.retention_job(spark, *paths, _as_of(spark, sf), retention)
+    events, metrics = rt.retention_job(spark, *paths, _as_of(spark, sf), retention)
     left = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).scalar() for p in paths[:2]]
     return spark.range(1).select(
         F.lit(events).cast("bigint").alias("events_deleted"), F.lit(metrics).cast("bigint").alias("metrics_deleted"),
@@ -412,8 +415,22 @@ def retention_job(spark, sf):
 def archive_roundtrip(spark, sf):
     """The archive as it is read back after the job."""
     paths = _dated_tables(spark, sf, shared_folder(spark, "archive"))
-    mt.retention_job(spark, *paths, _as_of(spark, sf), Retention(events_hours=250, metrics_days=20))
-    return spark.read.parquet(f"{paths[2]}/*").select("camera_id", "date", *[c for c in wn.METRIC_COLUMNS if c != "camera_id"])
+    rt.retention_job(spark, *paths, _as_of(spark, sf), Retention(events_hours=250, metrics_days=20))
+    rows = rt.read_archive(spark, paths[2])
+    return rows.select("camera_id", "date", *[c for c in wn.METRIC_COLUMNS if c != "camera_id"])
+
+
+@query
+def retention_restart(spark, sf):
+    """Runs that end early, each time taken up by a later one, and where every metric row is in the end."""
+    paths = _dated_tables(spark, sf, shared_folder(spark, "restart"))
+    retention, newest = Retention(events_hours=250, metrics_days=20), _as_of(spark, sf)
+    for days, until in ((4, "archived"), (2, "staged"), (1, "dropped"), (0, "done")):
+        rt.retention_job(spark, *paths, newest - F.make_dt_interval(days=F.lit(days)), retention, until=until)
+    places = {"archive": rt.read_archive(spark, paths[2]), "table": spark.read.parquet(paths[1])}
+    columns = ["camera_id", "window_start", "lane_id", "vehicle_count", "congestion_level"]
+    parts = [df.select(F.lit(name).alias("place"), *columns) for name, df in places.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @query
@@ -755,12 +772,12 @@ def _drain(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
-def _arriving(spark, sf, folder: str):
+def _arriving(spark, sf, folder: str, arrivals: list[datetime] = ARRIVALS):
     """The detections as a stream that grows by some days at a time; a step of the loop for each growth."""
     rows = tb.raw_events(spark, sf)
     stream = None
-    for begin, end in zip(ARRIVALS, [*ARRIVALS[1:], None]):
-        days = [] if begin is ARRIVALS[0] else [F.col("ts") >= pj.moment(begin)]
+    for begin, end in zip(arrivals, [*arrivals[1:], None], strict=True):
+        days = [] if begin is arrivals[0] else [F.col("ts") >= pj.moment(begin)]
         days += [] if end is None else [F.col("ts") < pj.moment(end)]
         rows.filter(reduce(and_, days)).write.mode("append").parquet(f"{folder}/events")
         stream = stream or spark.readStream.schema(rows.schema).parquet(f"{folder}/events")
@@ -782,11 +799,30 @@ def stream_rollup(spark, sf):
 
 @query
 def stream_speed(spark, sf):
-    stream = ssp.stream_fill_speed(tb.raw_events(spark, sf, stream=True), CALIBRATION, SPEED)
-    filled = _drain(stream, shared_folder(spark, "stream_speed"))
+    """Detections that arrive in several batches, each vehicle's positions carried from one to the next."""
+    folder = shared_folder(spark, "stream_speed")
+    for events in _arriving(spark, sf, folder, ARRIVALS[::2]):
+        filled = _drain(ssp.stream_fill_speed(events, CALIBRATION, SPEED), f"{folder}/speed")
     return _rounded(filled.select("frame_id", "camera_id", "vehicle_id", "ts", "speed_kmh"), "speed_kmh")
 
 
+@query
+def stream_rejects(spark, sf):
+    """Records through a live ingest in two batches: what it has counted per reason, and what is in its tables."""
+    folder = shared_folder(spark, "stream_rejects")
+    paths = [f"{folder}/{name}" for name in ("accepted", "rejected", "counts")]
+    events = tb.read_table(spark, sf, "events")
+    for part in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1):
+        tb.detection_messages(events.filter(part)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("value string").parquet(f"{folder}/in")
+        sin.ingest(stream, *paths, f"{folder}/checkpoint", every=None).awaitTermination()
+    rejected = spark.read.parquet(paths[1]).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("written"))
+    accepted = spark.read.parquet(paths[0]).agg(F.lit(None).cast("string").alias("reject_reason"), F.count(F.lit(1)).alias("written"))
+    counted = sin.read_reject_counts(spark, paths[2])
+    written = rejected.unionByName(accepted).withColumnRenamed("reject_reason", "_reason")
+    return counted.join(written, F.col("reject_reason").eqNullSafe(F.col("_reason")), "full_outer").drop("_reason")
+
+
 @query
 def stream_alerts(spark, sf):
     """Alerts of a metrics table that arrives in several batches."""
@@ -808,17 +844,30 @@ def stream_detections_to_alerts(spark, sf):
     return sal.current_alerts(changes)
 
 
+@query
+def stream_alerts_takeover(spark, sf):
+    """A stream with a new checkpoint that goes on from the alerts table of the windows before it."""
+    folder = shared_folder(spark, "stream_takeover")
+    metrics, registry = _metrics_table(spark, sf), tb.camera_registry(spark, sf)
+    before = F.col("window_start") < pj.moment(RANGE_A[1])
+    existing = _stored(_alerts(spark, sf, metrics.filter(before)), "existing")
+    metrics.filter(~before).write.parquet(f"{folder}/metrics")
+    rows = smt.read_metrics_stream(spark, f"{folder}/metrics")
+    return sal.current_alerts(_drain(sal.stream_alerts(rows, registry, existing), f"{folder}/alerts"), existing)
+
+
 @query
 def stream_upsert(spark, sf):
-    """The windows, later figures for some of them, and what a reader sees after old batches are folded."""
+    """The windows, later figures for some of them, old dates folded, and the last batch once more, as after a crash."""
     folder = shared_folder(spark, "stream_upsert")
     metrics = _metrics_table(spark, sf)
     for n, rows in enumerate((metrics, _recount(metrics))):
         rows.write.parquet(f"{folder}/in/{n}")
         stream = spark.readStream.schema(metrics.schema).parquet(f"{folder}/in/*")
-        ssk.upsert_stream(stream, f"{folder}/log", f"{folder}/checkpoint", every=None).awaitTermination()
-    ssk.compact_upserts(spark, f"{folder}/log", RANGE_B[1].date())
-    return _text(ssk.read_upserted(spark, f"{folder}/log").drop("date"))
+        sup.upsert_stream(stream, f"{folder}/table", f"{folder}/checkpoint", every=None).awaitTermination()
+    sup.compact_upserts(spark, f"{folder}/table", RANGE_B[1].date())
+    sup.log_batch(spark.read.schema(metrics.schema).parquet(f"{folder}/in/1"), f"{folder}/table", 1)
+    return _text(sup.read_upserted(spark, f"{folder}/table").drop("date"))
 
 
 @query

@@ -10,9 +10,12 @@ from roadpulse.operators.windows import METRIC_COLUMNS
 
 
 def _latest(metrics: DataFrame, *keys: str) -> DataFrame:
-    """Newest row per key: each task keeps one row per key before anything is shuffled."""
-    newest = F.max_by(F.struct(*METRIC_COLUMNS), "window_start").alias("row")
-    return metrics.groupBy(*keys).agg(newest).select("row.*")
+    """Newest row per key: each task keeps one row per key before anything is shuffled.
+
+    The keys come out as grouping columns, so that filters on them reach the scan.
+    """
+    newest = F.max_by(F.struct(*[c for c in METRIC_COLUMNS if c not in keys]), "window_start").alias("row")
+    return metrics.groupBy(*keys).agg(newest).select(*keys, "row.*").select(*METRIC_COLUMNS)
 
 
 def latest_per_camera(metrics: DataFrame, camera_id: str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -11,7 +11,6 @@ from roadpulse.functions.rules import congestion_score, level_between
 from roadpulse.operators.projections import Moment, moment
 from roadpulse.operators.windows import METRIC_COLUMNS
 from roadpulse.plans.slices import SLICE, carry, past, slice_start
-from roadpulse.session import drop_folder, shared_folder
 
 METRIC_KEY = ["camera_id", "lane_id", "window_start"]
 CAMERA_FIELDS = ("name", "latitude", "longitude", "road_segment", "description")
@@ -31,8 +30,11 @@ def upsert_metrics(existing: DataFrame, updates: DataFrame, version: str | None
     older = existing.select(*METRIC_COLUMNS, F.lit(None).cast("long").alias("_version"), F.lit(0).alias("_new"))
     order = F.col(version).cast("long") if version else F.lit(0).cast("long")
     newer = updates.select(*METRIC_COLUMNS, order.alias("_version"), F.lit(1).alias("_new"))
-    newest = F.max_by(F.struct(*METRIC_COLUMNS), F.struct("_new", "_version"))
-    return older.unionByName(newer).groupBy(*METRIC_KEY).agg(newest.alias("row")).select("row.*")
+    others = [c for c in METRIC_COLUMNS if c not in METRIC_KEY]
+    newest = F.max_by(F.struct(*others), F.struct("_new", "_version"))
+    # The key comes out as grouping columns, so that filters on camera and time reach both scans.
+    rows = older.unionByName(newer).groupBy(*METRIC_KEY).agg(newest.alias("row")).select(*METRIC_KEY, "row.*")
+    return rows.select(*METRIC_COLUMNS)
 
 
 def split_by_retention(df: DataFrame, column: str, as_of: Moment, age: Column) -> tuple[DataFrame, DataFrame]:
@@ -80,44 +82,6 @@ def archive_metrics(expired: DataFrame, path: str) -> None:
     rows.hint("rebalance", "camera_id", "date").write.partitionBy("camera_id", "date").mode("append").parquet(path)
 
 
-def retention_job(
-    spark: SparkSession, events_path: str, metrics_path: str, archive_path: str, as_of: Moment, config: Retention = Retention()
-) -> tuple[int, int]:
-    """K1: archive expired metrics, then delete what has expired from both tables; how many rows went of each.
-
-    Both tables are partitioned by ``date``. Only dates that hold expired rows are read; they are dropped whole, but
-    for the one that the cut-off falls into, whose rows to keep are written again. Archived rows lie under the cut-off
-    of their run, so that a run that was stopped can start anew without archiving twice.
-    """
-    cutoffs = {
-        "ts": moment(as_of) - F.make_dt_interval(hours=F.lit(config.events_hours)),
-        "window_start": moment(as_of) - F.make_dt_interval(days=F.lit(config.metrics_days)),
-    }
-    counts = []
-    for column, path in (("ts", events_path), ("window_start", metrics_path)):
-        table, cutoff = spark.read.parquet(path), cutoffs[column]
-        touched = table.filter(F.col("date") <= F.to_date(cutoff))
-        expired = touched.filter(F.col(column) < cutoff)
-        dates = {str(r["date"]): r["n"] for r in expired.groupBy("date").agg(F.count(F.lit(1)).alias("n")).collect()}
-        counts.append(sum(dates.values()))
-        if not dates:
-            continue
-        if column == "window_start":
-            stamp = spark.range(1).select(F.date_format(cutoff, "yyyyMMdd'T'HHmmss")).first()[0]
-            drop_folder(spark, f"{archive_path}/until={stamp}")
-            archive_metrics(expired, f"{archive_path}/until={stamp}")
-        border = touched.filter((F.col(column) >= cutoff) & (F.col("date") == F.to_date(cutoff)))
-        staged = shared_folder(spark, "retained")
-        border.write.partitionBy("date").parquet(staged)
-        kept = spark.read.schema(table.schema).parquet(staged) if not border.isEmpty() else None
-        if kept is not None:
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-        whole = set(dates) if kept is None else set(dates) - {str(r["date"]) for r in kept.select("date").distinct().collect()}
-        for day in whole:
-            drop_folder(spark, f"{path}/date={day}")
-    return counts[0], counts[1]
-
-
 # --- thresholds ----------------------------------------------------------------------------------------------------
 
 

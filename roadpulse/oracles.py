@@ -778,6 +778,21 @@ WHERE s.t_idx >= 11 AND s.t_idx <= (SELECT max(t_idx) FROM dense) - 6""",
         f"(SELECT count(*) FROM ev WHERE ts >= {AS_OF} - INTERVAL 250 HOUR) AS events_left, "
         f"(SELECT count(*) FROM m WHERE window_start >= {AS_OF} - INTERVAL 20 DAY) AS metrics_left"
     ),
+    "retention_restart": with_base(
+        f"SELECT CASE WHEN window_start < {AS_OF} - INTERVAL 20 DAY THEN 'archive' ELSE 'table' END AS place, camera_id, "
+        "window_start, lane_id, vehicle_count, congestion_level FROM m"
+    ),
+    "stream_rejects": with_events(
+        "SELECT reject_reason, count(*) AS records, count(*) AS written FROM (SELECT CASE WHEN k = 98 THEN 'malformed_json' "
+        "WHEN k = 96 THEN 'not_an_object' WHEN k = 97 THEN 'bad_frame_id' WHEN k = 99 THEN 'confidence_out_of_range' "
+        "WHEN vehicle_class = 'unknown' THEN 'unknown_class' END AS reject_reason FROM det) GROUP BY 1"
+    ),
+    "stream_alerts_takeover": with_base(
+        "SELECT * FROM alerts",
+        "passed AS (SELECT * FROM m WHERE window_start <= (SELECT max(window_start) FROM m) - INTERVAL 1 SECOND)",
+        CAMERAS,
+        ALERTS.format(metrics="passed"),
+    ),
     "archive_roundtrip": with_base(
         f"SELECT *, CAST(window_start AS DATE) AS date FROM m WHERE window_start < {AS_OF} - INTERVAL 20 DAY"
     ),

@@ -1,9 +1,7 @@
-"""Streaming sinks. A checkpoint and an idempotent write make each batch count once."""
+"""Streaming sinks. A checkpoint and an idempotent write make each batch count once."""
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from roadpulse.operators.dashboard import heat_snapshot
 from roadpulse.operators.latest import latest_per_camera
-from roadpulse.operators.maintenance import METRIC_KEY
 from roadpulse.operators.windows import METRIC_COLUMNS
-from roadpulse.session import drop_folder, shared_folder
+from roadpulse.session import drop_folder
 from roadpulse.streaming.events import to_envelope
 
 
-def _start(writer, every: str | None) -> StreamingQuery:
+def start(writer, every: str | None) -> StreamingQuery:
+    """Start a query; without ``every`` it drains its source and stops."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()
 
@@ -28,12 +26,14 @@ def write_raw(
     """B1: append rows as Parquet, one commit per trigger. Without ``every`` the stream drains and stops.
 
     Also the sink for windowed metrics, as the watermark lets each window out once. ``dated_by`` names the time whose
-    date the table is partitioned by, so that readers of a few days list and read only these.
+    date the table is partitioned by, so that readers of a few days list and read only these. A dated table has
+    no list of its files, so that retention may delete some: each batch has its own partition, which a replay replaces.
     """
     if dated_by:
-        df = df.withColumn("date", F.to_date(dated_by))
-    writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    return _start(writer.partitionBy("date") if dated_by else writer, every)
+        writer = df.writeStream.foreachBatch(lambda rows, batch_id: write_batch(rows, path, batch_id, dated_by))
+    else:
+        writer = df.writeStream.format("parquet").option("path", path)
+    return start(writer.option("checkpointLocation", checkpoint), every)
 
 
 def recent(table: DataFrame, as_of: Column, minutes: int) -> DataFrame:
@@ -59,55 +59,6 @@ def write_batch(rows: DataFrame, path: str, batch_id: int, date: str | None = No
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
-def upsert_stream(metrics: DataFrame, path: str, checkpoint: str, every: str | None = "5 seconds") -> StreamingQuery:
-    """B2: log each batch of metric rows under its date and batch number.
-
-    A batch writes only its own rows, whatever the size of the table; ``read_upserted`` lets the newest batch win.
-    """
-
-    def log(rows: DataFrame, batch_id: int) -> None:
-        write_batch(rows, path, batch_id, date="window_start")
-
-    return _start(metrics.writeStream.foreachBatch(log).option("checkpointLocation", checkpoint), every)
-
-
-def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    """B2: the metrics table behind the log, with its ``date``.
-
-    The key and the date are grouping columns of the result, so that filters on them reach the scan: one on ``date``
-    prunes folders, one on the key is pushed into the files.
-    """
-    return _newest(spark.read.parquet(path)).select(*METRIC_COLUMNS, "date")
-
-
-def _newest(log: DataFrame) -> DataFrame:
-    others = [c for c in METRIC_COLUMNS if c not in METRIC_KEY]
-    newest = F.max_by(F.struct("batch", *others), "batch").alias("row")
-    return log.groupBy(*METRIC_KEY, "date").agg(newest).select(*METRIC_KEY, "date", "row.*")
-
-
-def compact_upserts(spark: SparkSession, path: str, before: date) -> int:
-    """B2: fold the batches of each date before ``before`` into its newest; the number of folders that went.
-
-    The folded rows replace the newest batch of their date first, then the older batches go. A job that is stopped in
-    between leaves batches whose rows the folded ones override, so that it can run again.
-    """
-    log = spark.read.parquet(path).filter(F.col("date") < F.lit(before.isoformat()).cast("date"))
-    parts = log.select("date", "batch").distinct()
-    last = parts.groupBy("date").agg(F.max("batch").alias("batch"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dates = {row["date"]: row["batch"] for row in last.collect()}  # one row per date that has several batches
-    if not dates:
-        return 0
-    old = [r for r in parts.collect() if r["date"] in dates and r["batch"] < dates[r["date"]]]
-    folded = _newest(log.join(F.broadcast(last.select("date")), "date")).drop("batch")
-    folded = folded.join(F.broadcast(last.select("date", "batch")), "date")
-    staged = shared_folder(spark, "compacted")
-    folded.write.partitionBy("date", "batch").parquet(staged)
-    rows = spark.read.parquet(staged)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path)
-    return sum(drop_folder(spark, f"{path}/date={r['date']}/batch={r['batch']}") for r in old)
-
-
 def _kept_latest(spark: SparkSession, path: str, batch_id: int) -> tuple[DataFrame | None, list[int]]:
     """The latest rows that the newest batch before ``batch_id`` left, and the numbers of all before it."""
     try:
@@ -154,4 +105,4 @@ def publish_snapshots(
         for old in batches[:-1]:
             drop_folder(spark, f"{kept_path}/batch={old}")
 
-    return _start(trigger_rows.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint), every)
+    return start(trigger_rows.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint), every)

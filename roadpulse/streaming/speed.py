@@ -1,4 +1,4 @@
-"""Speed fallback on a stream, with each vehicle's last position as keyed state."""
+"""Speed fallback on a stream, with each vehicle's last position in a slice of time as keyed state."""
 
 from __future__ import annotations
 
@@ -9,11 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from roadpulse.config import LATENESS_SECONDS, SpeedFallback
 from roadpulse.operators.speed import with_scale
+from roadpulse.plans.slices import COPY, MICROS, SLICE, overlap
 
 
 # Workers get the processor with its code, so the package need not be installed there.
@@ -21,35 +23,39 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class SpeedState(StatefulProcessor):
-    """Rows of a vehicle within a batch arrive in any order and are sorted by time first."""
+    """The last sighting of a vehicle within a slice of time, which begins with copies of the sightings just before it.
+
+    Rows of one batch arrive in any order and are sorted by time first; copies only serve as sightings. Times are
+    whole microseconds in state and on the way to it, so that no zone can move them.
+    """
 
     def __init__(self, ttl_seconds: int) -> None:
-        self._ttl = ttl_seconds
+        self._ttl = ttl_seconds * MICROS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._last = handle.getValueState("last", "x double, y double, ts timestamp")
+        self._last = handle.getValueState("last", "x double, y double, at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).sort_values(["ts", "frame_id"], ignore_index=True)
-        x, y, ts = seen["centroid_x"].shift(), seen["centroid_y"].shift(), seen["ts"].shift()
+        seen = pd.concat(list(rows)).sort_values(["at_micros", "frame_id"], ignore_index=True)
+        x, y, at = seen["centroid_x"].shift(), seen["centroid_y"].shift(), seen["at_micros"].shift()
+        before = None
         if self._last.exists():
-            x[0], y[0], at = self._last.get()
-            ts[0] = pd.Timestamp(at)
-        elapsed = (seen["ts"] - ts).dt.total_seconds()
+            x[0], y[0], before = self._last.get()
+            at[0] = before
+        elapsed = seen["at_micros"] - at
         metres = np.hypot(seen["centroid_x"] - x, seen["centroid_y"] - y) * seen["meters_per_pixel"]
-        speed = (metres / elapsed * 3.6).where((elapsed > 0) & (elapsed <= self._ttl))
+        speed = (metres / (elapsed / MICROS) * 3.6).where((elapsed > 0) & (elapsed <= self._ttl))
         seen["speed_kmh"] = seen["speed_kmh"].fillna(speed)
         newest = seen.iloc[-1]
-        self._last.update((float(newest["centroid_x"]), float(newest["centroid_y"]), newest["ts"].to_pydatetime()))
-        self._handle.registerTimer(int(newest["ts"].timestamp() * 1000) + self._ttl * 1000 + 1)
-        yield seen.drop(columns="meters_per_pixel")
+        if before is None or newest["at_micros"] >= before:
+            self._last.update((float(newest["centroid_x"]), float(newest["centroid_y"]), int(newest["at_micros"])))
+            self._handle.registerTimer((int(newest["at_micros"]) + self._ttl) // 1000 + 1)
+        yield seen.loc[~seen["is_copy"]].drop(columns=["meters_per_pixel", "is_copy", "slice_start"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self._last.exists():
-            expires = pd.Timestamp(self._last.get()[2]).timestamp() + self._ttl
-            if expires * 1000 < expiredTimerInfo.getExpiryTimeInMs():
-                self._last.clear()
+        if self._last.exists() and self._last.get()[2] + self._ttl < expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            self._last.clear()
         return iter(())
 
 
@@ -58,12 +64,25 @@ def stream_fill_speed(
     calibration: DataFrame | dict[str, float] | None = None,
     config: SpeedFallback = SpeedFallback(),
     lateness_seconds: int = LATENESS_SECONDS,
+    slices_per_ttl: int = 20,
 ) -> DataFrame:
-    """``fill_speed`` for a stream of raw events. State is dropped once the watermark passes its TTL."""
-    columns = events.columns
+    """``fill_speed`` for a stream of raw events. State is dropped once the watermark passes its TTL.
+
+    State is kept per vehicle and slice of many TTLs; sightings of the last TTL of a slice are copied into the next
+    one, which needs no others. So a vehicle id that owns a third of a backlog spreads over as many tasks as it
+    has slices. A sighting that comes in a later batch than a newer one doesn't replace it.
+    """
+    columns, ttl = events.columns, config.ttl_seconds * MICROS
     scaled, px_to_m = with_scale(events, calibration, config.pixel_to_meter)
     scaled = scaled.select(*columns, px_to_m.alias("meters_per_pixel")).withWatermark("ts", f"{lateness_seconds} seconds")
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in events.schema])
-    return scaled.groupBy("vehicle_id").transformWithStateInPandas(
-        SpeedState(config.ttl_seconds), outputStructType=schema, outputMode="append", timeMode="eventTime"
+    placed = overlap(scaled, F.unix_micros("ts"), ttl * slices_per_ttl, before=ttl)
+    # Workers get the columns by name, but for names that begin with an underscore.
+    rows = placed.withColumnsRenamed({SLICE: "slice_start", COPY: "is_copy"}).withColumn("at_micros", F.unix_micros("ts")).drop("ts")
+    fields = [T.StructField(f.name, f.dataType) for f in events.schema if f.name != "ts"]
+    filled = rows.groupBy("vehicle_id", "slice_start").transformWithStateInPandas(
+        SpeedState(config.ttl_seconds),
+        outputStructType=T.StructType([*fields, T.StructField("at_micros", T.LongType())]),
+        outputMode="append",
+        timeMode="eventTime",
     )
+    return filled.withColumn("ts", F.timestamp_micros("at_micros")).select(*columns)

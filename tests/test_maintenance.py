@@ -134,20 +134,6 @@ def test_c20_aliases(spark):
     assert [(r.camera_id, r.latitude) for r in mt.valid_cameras(offered).collect()] == [("a", 1.0)]
 
 
-def test_k1_retention_job(spark, tmp_path):
-    """Archives first, drops whole dates, rewrites the date of the cut-off, and finds nothing when it runs again."""
-    days = [0, -1, -29.9, -30, -30.4, -45]
-    rows = metrics(spark, [metric("a", 17_280 * d, lane=lane) for d in days for lane in (None, 1)])
-    seen = events(spark, [event(3600 * h) for h in (-48, -24.5, -23, 0)])
-    for name, df, column in (("m", rows, "window_start"), ("e", seen, "ts")):
-        df.withColumn("date", F.to_date(column)).write.partitionBy("date").parquet(f"{tmp_path}/{name}")
-    paths = [f"{tmp_path}/{x}" for x in ("e", "m", "archive")]
-    assert mt.retention_job(spark, *paths, at(0)) == (2, 4)
-    assert spark.read.parquet(f"{paths[2]}/*").count() == 4
-    assert (spark.read.parquet(paths[0]).count(), spark.read.parquet(paths[1]).count()) == (2, 8)
-    assert mt.retention_job(spark, *paths, at(0)) == (0, 0) and spark.read.parquet(f"{paths[2]}/*").count() == 4
-
-
 def test_k2_changes_without_a_camera_or_a_place_and_cleared_fields(spark):
     registry = cameras(spark, ("a", 1.0, 2.0, "A"), ("b", 1.0, 2.0, "B"))
     schema = (

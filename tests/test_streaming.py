@@ -3,6 +3,7 @@
 import os
 import random
 import time
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,6 @@ from roadpulse.operators import alerts as al
 from roadpulse.operators import features as ft
 from roadpulse.operators import forecast_ml as ml
 from roadpulse.operators import graph as gr
-from roadpulse.operators.maintenance import upsert_metrics
 from roadpulse.operators.speed import fill_speed
 from roadpulse.operators.windows import window_metrics
 from roadpulse.sources.topology import topology_tables
@@ -22,8 +22,9 @@ from roadpulse.streaming import metrics as smt
 from roadpulse.streaming import sinks as ssk
 from roadpulse.streaming import speed as ssp
 from roadpulse.streaming.forecast import stream_forecast
+from roadpulse.streaming.ingest import ingest, read_reject_counts
 from roadpulse.streaming.stats import StatsListener, read_stats, stats_table
-from tests.data import at, cameras, event, events, metric, metrics, one
+from tests.data import at, cameras, event, events, message, messages, metric, metrics, one
 
 
 def _rows(n, seconds, seed=1):
@@ -87,6 +88,52 @@ def test_j3_state_equals_lag(spark, tmp_path):
         assert (speed is None) == (speeds[frame] is None) and (speed is None or abs(speed - speeds[frame]) < 1e-6)
 
 
+def test_j3_slices_hand_on_the_border_sighting(spark, tmp_path):
+    """Slices of two lifetimes, rows of later batches in between, one vehicle with most of them."""
+    rows = _rows(300, 900, seed=8)
+    for i, r in enumerate(rows):
+        r["vehicle_id"] = "hot" if i % 3 else r["vehicle_id"]
+    config = SpeedFallback(ttl_seconds=30)
+    _files(spark, f"{tmp_path}/in", rows, 6)
+    filled = ssp.stream_fill_speed(_stream(spark, f"{tmp_path}/in"), None, config, slices_per_ttl=2)
+    got = {r.frame_id: (r.ts, r.speed_kmh) for r in _drain(filled, f"{tmp_path}/out").collect()}
+    want = {r.frame_id: (r.ts, r.speed_kmh) for r in fill_speed(events(spark, rows), None, config).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] for k in want)
+    assert all(got[k][1] == (None if want[k][1] is None else pytest.approx(want[k][1])) for k in want)
+
+
+def test_j3_across_a_clock_change(spark, tmp_path):
+    """Two sightings in two batches in the hour that New York skips; the time-zone test runs this under its clocks."""
+    for n, second in enumerate((0, 5)):
+        row = event(0, frame=n, x=100.0 * n) | {"ts": datetime(2024, 3, 10, 2, 30, second, tzinfo=timezone.utc)}
+        events(spark, [row]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = _drain(ssp.stream_fill_speed(_stream(spark, f"{tmp_path}/in")), f"{tmp_path}/out").collect()
+    assert {r.frame_id: r.speed_kmh for r in got} == {0: None, 1: pytest.approx(3.6)}
+    assert [str(r.ts) for r in sorted(got, key=lambda r: r.frame_id)] == ["2024-03-10 02:30:00", "2024-03-10 02:30:05"]
+
+
+def test_j4_every_record_ends_in_one_table(spark, tmp_path):
+    """Accepted and refused rows add up to the input, per reason too, also after each batch has come again."""
+    good = [message(frame_id=i) for i in range(7)]
+    bad = ["", "[1]", "{", message(confidence=2), message("vehicle_id"), message(**{"class": "tank"}), None, message(frame_id="x")]
+    paths = [f"{tmp_path}/{x}" for x in ("ok", "no", "counts")]
+    for texts in (good[:4] + bad[:3], good[4:] + bad[3:]):
+        messages(spark, texts).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        ingest(_stream(spark, f"{tmp_path}/in"), *paths, f"{tmp_path}/c", every=None).awaitTermination()
+        ok, no = spark.read.parquet(paths[0]), spark.read.parquet(paths[1])
+        counts = {r.reject_reason: r.records for r in read_reject_counts(spark, paths[2]).collect()}
+        assert sorted(r.frame_id for r in ok.collect()) == list(range(7)) and no.count() == len(bad)
+        assert counts.pop(None) == 7 and counts == {r[0]: r[1] for r in no.groupBy("reject_reason").count().collect()}
+
+    run()
+    for name in os.listdir(f"{tmp_path}/c/commits"):  # as if Spark had stopped before it noted the batches
+        if name.strip(".").startswith("1"):
+            os.remove(f"{tmp_path}/c/commits/{name}")
+    run()
+
+
 def _level_rows(n=40):
     rng = random.Random(9)
     return [metric(c, i, rng.choice(["LOW", "HIGH", "SEVERE", "SEVERE"])) for i in range(n) for c in ("a", "b")]
@@ -104,6 +151,31 @@ def test_j5_state_equals_runs(spark, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
+def test_j5_goes_on_from_an_existing_table(spark, tmp_path):
+    """Batch over all windows = the table of the first ones + a stream, with its own checkpoint, of the rest."""
+    rows = _level_rows(60)
+    first, second = [r for r in rows if r["window_start"] < at(150)], [r for r in rows if r["window_start"] >= at(150)]
+    registry = cameras(spark, ("a", 1.0, 2.0, "A"))
+    table = al.alerts_from_metrics(metrics(spark, first), registry)
+    still = table.filter("resolved_at IS NULL")
+    assert still.count() >= 1
+    own_id = F.when(F.col("resolved_at").isNull(), F.concat(F.lit("old-"), "camera_id")).otherwise(F.col("alert_id"))
+    acked = F.when(F.col("resolved_at").isNull(), F.lit("ann"))
+    table = table.withColumns({"alert_id": own_id, "acknowledged_by": acked, "acknowledged_at": F.when(acked.isNotNull(), F.col("triggered_at"))})
+    table.write.parquet(f"{tmp_path}/table")
+    existing = spark.read.parquet(f"{tmp_path}/table")
+    _files(spark, f"{tmp_path}/in", second + [metric("c", 99)], 3, metrics)
+    stream = smt.read_metrics_stream(spark, f"{tmp_path}/in", max_files=1)
+    changes = _drain(sal.stream_alerts(stream, registry, existing), f"{tmp_path}/out")
+    got = sal.current_alerts(changes, existing)
+    want = al.alerts_from_metrics(metrics(spark, rows), registry)
+    plain = [c for c in want.columns if c not in ("alert_id", "acknowledged_by", "acknowledged_at")]
+    assert got.select(plain).exceptAll(want.select(plain)).count() == 0 and got.count() == want.count()
+    taken = got.filter("alert_id LIKE 'old-%'").collect()
+    assert len(taken) == still.count() and all(r.acknowledged_by == "ann" for r in taken)
+    assert {r.change for r in changes.filter("alert_id LIKE 'old-%'").collect()} <= {"updated", "resolved"}
+
+
 def test_j5_a_window_that_comes_in_a_later_batch(spark, tmp_path):
     """Batch 1 holds windows 0 and 2, batch 2 the LOW one between them: two alerts, as in batch."""
     first, second = [metric("a", 0, "HIGH"), metric("a", 2, "HIGH")], [metric("a", 1, "LOW"), metric("b", 30)]
@@ -147,27 +219,6 @@ def test_j6_b6_j8_new_alerts_for_subscribers(spark, tmp_path):
         sev.to_envelope(envelopes, "gossip")
 
 
-def test_b2_log_lets_the_newest_batch_win(spark, tmp_path):
-    first, second = [metric(n=0, count=1), metric(n=1, lane=1, count=2)], [metric(n=0, count=9)]
-    _files(spark, f"{tmp_path}/in", first, 1, metrics)
-    log, checkpoint = f"{tmp_path}/log", f"{tmp_path}/c"
-    ssk.upsert_stream(_stream(spark, f"{tmp_path}/in"), log, checkpoint, every=None).awaitTermination()
-    _files(spark, f"{tmp_path}/in", second, 1, metrics)
-    ssk.upsert_stream(_stream(spark, f"{tmp_path}/in"), log, checkpoint, every=None).awaitTermination()
-    want = upsert_metrics(metrics(spark, first), metrics(spark, second))
-    assert _same(ssk.read_upserted(spark, log).drop("date"), want)
-    replayed = metrics(spark, second)
-    ssk.write_batch(replayed, log, 1, date="window_start")
-    assert spark.read.parquet(log).count() == 3
-    table = ssk.read_upserted(spark, log).filter("date = DATE '2026-04-16' AND camera_id = 'cam_01'")
-    plan = table._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(date" in plan and "EqualTo(camera_id,cam_01)" in plan
-    assert ssk.compact_upserts(spark, log, at(0).date()) == 0
-    assert ssk.compact_upserts(spark, log, at(86_400).date()) == 1
-    spark.catalog.clearCache()
-    assert spark.read.parquet(log).count() == 2 and _same(ssk.read_upserted(spark, log).drop("date"), want)
-
-
 def test_b1_dated_table(spark, tmp_path):
     _files(spark, f"{tmp_path}/in", _rows(20, 60), 1)
     query = ssk.write_raw(_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/c", every=None, dated_by="ts")
