@@ -23,7 +23,6 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
-from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +34,7 @@ from roadpulse.llm.common import documents
 SPACE = "▁"
 _NEVER = float("-inf")
 #: Bytes that the parts kept by a task take at most, and what one takes beside its characters.
-KEPT_BYTES, PART_BYTES = 100 << 20, 340
+KEPT_BYTES, PART_BYTES = 64 << 20, 200
 #: Pairs of pieces whose compatibility a task keeps at most.
 KEPT_PAIRS = 200_000
 
@@ -133,6 +132,7 @@ class Encoder:
         self.cut_lines = not any("\n" in piece for piece in vocabulary.ids)
         self.orders = _Orders(vocabulary.scores)
         self.known: dict[tuple[str, str], bool] = {}
+        self.neighbours = {piece[i : i + 2] for piece in vocabulary.ids for i in range(len(piece) - 1)}
         self.bytes_of = {i: b for b, i in enumerate(vocabulary.byte_ids)}
 
     def compatible(self, left: str, right: str) -> bool:
@@ -162,25 +162,22 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text without runs of spaces; a character outside the vocabulary is a piece of its own."""
         n, whole, known = len(text), self.v.whole, self.known
+        if text in whole:
+            return [text]
         longest = [1] * n
         for end, length in self.automaton.iter(text):
             longest[end - length + 1] = length
-        if n and longest[0] == n:
-            return [text]
         failed, at, out, last = 0, 0, [], ""
-        length = longest[0] if n else 0
         while at < n:
+            length = longest[at]
             while True:
-                piece = text[at : at + length]
-                if not failed >> (at + length) & 1:
-                    fits = known.get((last, piece))
-                    if fits is None:
-                        fits = self._judge(last, piece)
-                    if fits:
+                end = at + length
+                piece = text[at:end]
+                if not (failed and failed >> end & 1):
+                    fits = not last or known.get((last, piece))
+                    if fits or fits is None and self._judge(last, piece):
                         out.append(piece)
-                        last = piece
-                        at += length
-                        length = longest[at] if at < n else 0
+                        last, at = piece, end
                         break
                 length -= 1
                 while length > 1 and text[at : at + length] not in whole:
@@ -190,18 +187,23 @@ class Encoder:
                     length = len(out.pop())
                     last = out[-1] if out else ""
                     at -= length
-                    break
         return out
 
     def _judge(self, last: str, piece: str) -> bool:
-        """``compatible``, kept for the pairs of KEPT_PAIRS at most; the first piece of a text is compatible with none."""
-        fits = not last or self.compatible(last, piece)
+        """``compatible``, kept for the pairs of KEPT_PAIRS at most."""
+        fits = self.compatible(last, piece)
         if last in self.v.scores and piece in self.v.scores:
             if len(self.known) >= KEPT_PAIRS:
                 self.known.clear()
             self.known[last, piece] = fits
         return fits
 
+    def cut(self, text: str) -> list[str]:
+        """Stretches of a text that no merge can join: two characters that are neighbours in no piece stay apart."""
+        near = self.neighbours
+        places = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in near]
+        return [text[i:j] for i, j in zip([0, *places], [*places, None], strict=True)] if places else [text]
+
     def to_ids(self, pieces: list[str]) -> list[int]:
         ids: list[int] = list(map(self.v.ids.get, pieces))
         if None not in ids:
@@ -254,6 +256,9 @@ class Encoder:
 
     def spell(self, ids: list[int]) -> str:
         """The text of ids, with the space that stands before every text."""
+        known = list(map(self.v.texts.get, ids))
+        if None not in known:
+            return "".join(known).replace(SPACE, " ")
         out, pending = [], bytearray()
         for i in ids:
             if (byte := self.bytes_of.get(i)) is not None:
@@ -271,27 +276,48 @@ class Encoder:
 
 
 class _Kept(dict):
-    """Part -> (ids as text, number of ids, text that they spell), worked out once while there is room.
+    """Part -> its ids as text, worked out once while there is room. So are the stretches of a part that no merge can
+    join, which many parts share.
 
-    When half the room is full, what was not used since the last time makes way.
+    Ids are spelled when they are worked out. What spells anything but its own text is never kept and sets ``odd``. When half
+    the room is full, what was not used since the last time makes way.
     """
 
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
-        self.encoder, self.bytes, self.older = encoder, 0, {}
-
-    def __missing__(self, part: str) -> tuple[str, int, str]:
-        entry = self.older.get(part)
-        if entry is None:
-            ids = self.encoder.part_ids(part)
-            entry = ",".join(map(str, ids)), len(ids), self.encoder.spell(ids)
-        self.bytes += PART_BYTES + 4 * (len(part) + len(entry[2])) + len(entry[0])
+        self.encoder, self.bytes, self.older, self.stretches, self.odd = encoder, 0, {}, {}, False
+
+    def __missing__(self, part: str) -> str:
+        ids = self.older.get(part)
+        if ids is None:
+            lone = self.encoder.cut_lines and part.startswith("\n")
+            odd, self.odd = self.odd, False
+            found = [self.stretches.get(s) or self.stretch(s) for s in self.encoder.cut(part if lone else SPACE + part)]
+            ids = ",".join(found)
+            if self.odd:
+                return ids
+            self.odd = odd
+        self.make_room(part, ids)
+        self[part] = ids
+        return ids
+
+    def stretch(self, text: str) -> str:
+        numbers = self.encoder.to_ids(self.encoder.pieces(text))
+        ids = ",".join(map(str, numbers))
+        if self.encoder.spell(numbers) != text.replace(SPACE, " "):
+            self.odd = True
+            return ids
+        self.make_room(text, ids)
+        self.stretches[text] = ids
+        return ids
+
+    def make_room(self, text: str, ids: str) -> None:
+        self.bytes += PART_BYTES + 2 * len(text) + len(ids)
         if self.bytes > KEPT_BYTES // 2:
             self.older = dict(self)
             self.clear()
+            self.stretches.clear()
             self.bytes = 0
-        self[part] = entry
-        return entry
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -337,17 +363,16 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             counts, ids_digests, text_digests = [], [], []
             for text in _texts(batch.column(1)):
-                parts = encoder.parts(text)
-                if "" in parts:
-                    ids = encoder.encode(text)
-                    counts.append(len(ids))
-                    ids_digests.append(digest(",".join(map(str, ids))))
-                    text_digests.append(digest(encoder.decode(ids)))
+                parts, kept.odd = encoder.parts(text), False
+                ids = None if "" in parts else ",".join(map(kept.__getitem__, parts))
+                if ids is None or kept.odd:
+                    found = encoder.encode(text)
+                    ids, decoded = ",".join(map(str, found)), encoder.decode(found)
                 else:
-                    found = list(map(kept.__getitem__, parts))
-                    counts.append(sum(map(itemgetter(1), found)))
-                    ids_digests.append(digest(",".join(map(itemgetter(0), found))))
-                    text_digests.append(digest("".join(map(itemgetter(2), found)).removeprefix(" ")))
+                    decoded = text.replace(SPACE, " ")  # every part spells itself
+                counts.append(ids.count(",") + 1 if ids else 0)
+                ids_digests.append(digest(ids))
+                text_digests.append(digest(decoded))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
