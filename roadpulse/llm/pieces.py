@@ -34,7 +34,7 @@ from roadpulse.llm.common import documents
 SPACE = "▁"
 _NEVER = float("-inf")
 #: Bytes that the parts kept by a task take at most, and what one takes beside its characters.
-KEPT_BYTES, PART_BYTES = 64 << 20, 200
+KEPT_BYTES, PART_BYTES = 96 << 20, 200
 #: Pairs of pieces whose compatibility a task keeps at most.
 KEPT_PAIRS = 200_000
 
@@ -132,7 +132,6 @@ class Encoder:
         self.cut_lines = not any("\n" in piece for piece in vocabulary.ids)
         self.orders = _Orders(vocabulary.scores)
         self.known: dict[tuple[str, str], bool] = {}
-        self.neighbours = {piece[i : i + 2] for piece in vocabulary.ids for i in range(len(piece) - 1)}
         self.bytes_of = {i: b for b, i in enumerate(vocabulary.byte_ids)}
 
     def compatible(self, left: str, right: str) -> bool:
@@ -198,12 +197,6 @@ class Encoder:
             self.known[last, piece] = fits
         return fits
 
-    def cut(self, text: str) -> list[str]:
-        """Stretches of a text that no merge can join: two characters that are neighbours in no piece stay apart."""
-        near = self.neighbours
-        places = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in near]
-        return [text[i:j] for i, j in zip([0, *places], [*places, None], strict=True)] if places else [text]
-
     def to_ids(self, pieces: list[str]) -> list[int]:
         ids: list[int] = list(map(self.v.ids.get, pieces))
         if None not in ids:
@@ -276,48 +269,32 @@ class Encoder:
 
 
 class _Kept(dict):
-    """Part -> its ids as text, worked out once while there is room. So are the stretches of a part that no merge can
-    join, which many parts share.
+    """Part -> its ids as text, worked out once while there is room.
 
-    Ids are spelled when they are worked out. What spells anything but its own text is never kept and sets ``odd``. When half
-    the room is full, what was not used since the last time makes way.
+    Ids are spelled when they are worked out. A part that its ids don't spell is never kept and sets ``odd``. When half the
+    room is full, what was not used since the last time makes way.
     """
 
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
-        self.encoder, self.bytes, self.older, self.stretches, self.odd = encoder, 0, {}, {}, False
+        self.encoder, self.bytes, self.older, self.odd = encoder, 0, {}, False
 
     def __missing__(self, part: str) -> str:
         ids = self.older.get(part)
         if ids is None:
+            numbers = self.encoder.part_ids(part)
+            ids = ",".join(map(str, numbers))
             lone = self.encoder.cut_lines and part.startswith("\n")
-            odd, self.odd = self.odd, False
-            found = [self.stretches.get(s) or self.stretch(s) for s in self.encoder.cut(part if lone else SPACE + part)]
-            ids = ",".join(found)
-            if self.odd:
+            if self.encoder.spell(numbers) != (part if lone else " " + part):
+                self.odd = True
                 return ids
-            self.odd = odd
-        self.make_room(part, ids)
-        self[part] = ids
-        return ids
-
-    def stretch(self, text: str) -> str:
-        numbers = self.encoder.to_ids(self.encoder.pieces(text))
-        ids = ",".join(map(str, numbers))
-        if self.encoder.spell(numbers) != text.replace(SPACE, " "):
-            self.odd = True
-            return ids
-        self.make_room(text, ids)
-        self.stretches[text] = ids
-        return ids
-
-    def make_room(self, text: str, ids: str) -> None:
-        self.bytes += PART_BYTES + 2 * len(text) + len(ids)
+        self.bytes += PART_BYTES + 2 * len(part) + len(ids)
         if self.bytes > KEPT_BYTES // 2:
             self.older = dict(self)
             self.clear()
-            self.stretches.clear()
             self.bytes = 0
+        self[part] = ids
+        return ids
 
 
 def _texts(column: pa.Array) -> list[str]:
