@@ -2,8 +2,8 @@
 
 A text's paragraphs are its lines, cut after sentence ends; each different one is a 64-bit digest. One of over LONG
 characters is cut after every word whose hash is 0 modulo CUT, and a word of over LONG characters after every character
-whose hash with the one before is. A text of under SHORT characters, which has few paragraphs, has a smaller LONG and
-CUT. All cuts depend on the text around them alone, so that an insertion moves none.
+whose hash with the one before is. All cuts depend on the text around them alone, not on its length, so that an
+insertion moves none.
 A sketch has 3 regions of CELLS / 3 cells; a digest goes to one cell of each region, where a count, the exclusive-or of
 the digests and that of their checks are kept. The fingerprint is the number of digests and one such sketch.
 
@@ -43,8 +43,7 @@ ATTEMPTS = 3
 SLICES = 4
 #: A paragraph ends at a line break, or after a sentence end that white space follows.
 PARAGRAPH_END = r"\n|(?<=[.!?])[ \t]+|(?<=[。！？])"
-LONG, CUT = 240, 16
-SHORT, SHORT_LONG, SHORT_CUT = 480, 80, 2
+LONG, CUT = 80, 2
 
 
 def _let(value: Column, body) -> Column:
@@ -52,28 +51,24 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _cut(parts: Column, hashed, cut: int, glue: str) -> Column:
-    """``parts`` as one text with a line break after those whose ``hashed(part, place)`` is 0 modulo ``cut``."""
-    ended = lambda x, i: F.concat(x, F.when(F.pmod(hashed(x, i), F.lit(cut)) == 0, "\n").otherwise(glue))
+def _cut(parts: Column, hashed, glue: str) -> Column:
+    """``parts`` as one text with a line break after those whose ``hashed(part, place)`` is 0 modulo CUT."""
+    ended = lambda x, i: F.concat(x, F.when(F.pmod(hashed(x, i), F.lit(CUT)) == 0, "\n").otherwise(glue))
     return F.array_join(F.transform(parts, ended), "")
 
 
-def _cut_word(word: Column, cut: int) -> Column:
-    return _let(F.split(word, ""), lambda chars: _cut(chars, lambda c, i: F.xxhash64(F.get(chars, i - 1), c), cut, ""))
+def _cut_word(word: Column) -> Column:
+    return _let(F.split(word, ""), lambda chars: _cut(chars, lambda c, i: F.xxhash64(F.get(chars, i - 1), c), ""))
 
 
-def _cut_sentence(sentence: Column, long: int, cut: int) -> Column:
-    words = F.transform(F.split(sentence, r"[ \t]+"), lambda w: F.when(F.length(w) > long, _cut_word(w, cut)).otherwise(w))
-    return _cut(words, lambda w, i: F.xxhash64(w), cut, " ")
+def _cut_sentence(sentence: Column) -> Column:
+    words = F.transform(F.split(sentence, r"[ \t]+"), lambda w: F.when(F.length(w) > LONG, _cut_word(w)).otherwise(w))
+    return _cut(words, lambda w, i: F.xxhash64(w), " ")
 
 
 def paragraphs(text: Column) -> Column:
-    whole = F.split(text, PARAGRAPH_END)
-    parts = lambda long, cut: F.transform(
-        whole, lambda p: F.when(F.length(p) > long, _cut_sentence(p, long, cut)).otherwise(p)
-    )
-    cut = F.when(F.length(text) < SHORT, parts(SHORT_LONG, SHORT_CUT)).otherwise(parts(LONG, CUT))
-    return F.filter(F.split(F.array_join(cut, "\n"), " ?\n"), lambda p: p != "")
+    cut = F.transform(F.split(text, PARAGRAPH_END), lambda p: F.when(F.length(p) > LONG, _cut_sentence(p)).otherwise(p))
+    return F.filter(F.split(F.concat(F.array_join(cut, "\n"), F.lit("\n")), " ?\n"), lambda p: p != "")
 
 
 def digests(text: Column) -> Column:
@@ -243,8 +238,11 @@ def fingerprint(text: Column) -> Column:
     return _let(digests(F.coalesce(text, F.lit(""))), lambda d: encoded(d, sketch(d, F.lit(0))))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text) for every row: the next in order of the id, after the last the first."""
+def with_next(docs: DataFrame, **columns: Column) -> DataFrame:
+    """(doc_id, text, next) for every row: the next in order of the id, after the last the first.
+
+    ``columns`` are worked out once for each row, before the shuffle, and are in the row and in ``next``, as the text is.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = docs.select(F.col("doc_id").cast("long").alias("id"))
@@ -272,8 +270,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     is_first = F.when(of(nulls) > 0, F.col("doc_id").isNull()).otherwise(F.col("doc_id") == of(first))
     homes = F.when(F.coalesce(is_first, F.lit(False)), F.array(own, guest)).otherwise(F.array(own))
     spread = placed.withColumn("home", F.explode(homes)).select("doc_id", "text", "home.slice", "home.guest")
+    for name, column in columns.items():
+        spread = spread.withColumn(name, column)
     order = W.partitionBy("slice").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
-    return spread.withColumn("next_text", F.lead("text").over(order)).filter("guest = 0").select("doc_id", "text", "next_text")
+    follows = F.lead(F.struct("text", *columns)).over(order).alias("next")
+    return spread.select("doc_id", "text", *columns, "guest", follows).filter("guest = 0").drop("guest")
 
 
 def _constants(values: list, kind: str) -> Column:
@@ -282,16 +283,17 @@ def _constants(values: list, kind: str) -> Column:
     return F.transform(F.split(F.lit(text), ","), lambda v: F.when(v != "", v).cast(kind))
 
 
-def compare_versions(rows: DataFrame) -> DataFrame:
-    """Fingerprints and likeness of ``text``, its edited version and ``next_text``."""
+def compare_versions(docs: DataFrame) -> DataFrame:
+    """Fingerprints and likeness of each text, its edited version and the next document's text."""
+    rows = with_next(docs, d_text=digests(F.col("text")), s_text=sketch(F.col("d_text"), F.lit(0)))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(
-        F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)
+        F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next.text"), F.lit(1), half)
     )
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited)
-    rows = rows.withColumns({f"d_{c}": digests(F.col(c)) for c in ("text", "edited", "next_text")})
-    rows = rows.withColumns({f"s_{c}": sketch(F.col(f"d_{c}"), F.lit(0)) for c in ("text", "edited", "next_text")})
-    others = ("edited", "next_text")
+    rows = rows.withColumns({"d_edited": digests(F.col("edited")), "d_next": F.col("next.d_text"), "s_next": F.col("next.s_text")})
+    rows = rows.withColumn("s_edited", sketch(F.col("d_edited"), F.lit(0)))
+    others = ("edited", "next")
     rows = rows.withColumns({f"o_{c}": first_outcome(F.col("s_text"), F.col(f"s_{c}")) for c in others})
     rows = rows.withColumns({f"h_{c}": F.when(~F.col(f"o_{c}.done"), hands(F.col("d_text"), F.col(f"d_{c}"))) for c in others})
     like = lambda c: likeness(F.col("d_text"), F.col(f"o_{c}"), F.col(f"h_{c}"))
@@ -299,9 +301,9 @@ def compare_versions(rows: DataFrame) -> DataFrame:
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         encoded(F.col("d_text"), F.col("s_text")).alias("fingerprint"),
         encoded(F.col("d_edited"), F.col("s_edited")).alias("edited_fingerprint"),
-        like("edited").alias("near_edited"), like("next_text").alias("near_next"),
+        like("edited").alias("near_edited"), like("next").alias("near_next"),
     )
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_versions(with_next(documents(spark, sf_dir)))
+    return compare_versions(documents(spark, sf_dir))
