@@ -7,8 +7,8 @@ since a small automaton needs more phrases for its own language too; ties go to
 by parsing one half of a language's sample with an automaton of the other half, relative to the mean of the other
 languages' text, and carried over to the whole automaton.
 
-Characters are letters, lower-cased, in at most ALPHABET classes found in the labelled text (rarer ones share a
-class), with one class for all runs of anything else. Documents are parsed in blocks of BLOCK characters, so that a
+Characters are letters, lower-cased, in at most ALPHABET classes found in the labelled text (rarer ones share RARE_CLASSES
+more by a hash), with one class for all runs of anything else. Documents are parsed in blocks of BLOCK characters, so that a
 very long one is no longer step than others; a phrase ends at a block's end. All blocks of a batch and all languages
 advance together, one character at a time, in one table of transitions, where a dead end is a flag and leads to where
 the next phrase starts. Memory is bounded by the batch and by the labelled text.
@@ -38,7 +38,7 @@ from roadpulse.llm.common import documents, fold_of, stored
 FOLDS, HELD_OUT = 4, 2
 TEXTS, TEXT_CHARS = 64, 1_500
 SAMPLE_CHARS = TEXTS * (TEXT_CHARS + 1)
-ALPHABET = 63
+ALPHABET, RARE_CLASSES = 63, 16
 BLOCK = 512
 #: Characters parsed at a time.
 RUN_CHARS = 1 << 20
@@ -120,30 +120,33 @@ def build(samples: dict[str, list[str]]) -> LanguageModel:
     plane = plane[plane < 0x10000]
     found, counts = np.unique(plane[known[plane]], return_counts=True)
     common = found[np.argsort(-counts, kind="stable")[: ALPHABET - 1]]
-    rare = len(common) + 1
-    classes = np.where(known, rare, OTHER).astype(np.int32)
+    # Letters beyond these share a few classes by a hash, so that languages in scripts of their own differ in them.
+    rare, shared = len(common) + 1, RARE_CLASSES if len(found) > len(common) else 1
+    spread = (np.arange(len(known), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(shared)
+    classes = np.where(known, rare + spread.astype(np.int64), OTHER).astype(np.int32)
     classes[common] = np.arange(1, len(common) + 1)
     for c in np.flatnonzero(known):  # capital letters share the class of the small ones
         small = chr(c).lower()
         if len(small) == 1 and ord(small) < 0x10000:
             classes[c] = classes[ord(small)]
-    model = _automata(dict(zip(names, texts, strict=True)), classes, rare + 1)
+    model = _automata(dict(zip(names, texts, strict=True)), classes, rare + shared)
     return replace(model, needs=_needs(model, samples))
 
 
 def _automata(texts: dict[str, np.ndarray], classes: np.ndarray, width: int) -> LanguageModel:
     parts, roots, offset = [], [], 0
     for text in texts.values():
-        table = suffix_automaton(_collapsed(classes_of(text, classes)), width)
+        table = suffix_automaton(_collapsed(classes_of(text, classes)), width).astype(np.int64)
         # Behind the automaton a state where nothing is read yet; a character that it lacks is a phrase and leads there.
         none = len(table)
         begun = (np.where(table[0] >= 0, table[0], none) + offset) * (2 * width) + 1
         moved = np.where(table >= 0, (table + offset) * (2 * width), begun)
-        parts += [moved.astype(np.int32).ravel(), begun.astype(np.int32)]
+        parts += [moved.ravel(), begun]
         roots.append((offset + none) * width)
         offset += none + 1
-    table = np.concatenate(parts) if parts else np.empty(0, np.int32)
-    return LanguageModel(tuple(texts), classes, width, table, np.array(roots, np.int32), np.ones(len(texts)))
+    kind = np.int32 if offset * 2 * width < 1 << 31 else np.int64
+    table = np.concatenate([part.astype(kind) for part in parts]) if parts else np.empty(0, kind)
+    return LanguageModel(tuple(texts), classes, width, table, np.array(roots, kind), np.ones(len(texts)))
 
 
 def _halves(pieces: list[str]) -> tuple[str, str]:

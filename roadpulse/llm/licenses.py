@@ -34,8 +34,6 @@ from roadpulse.llm.words import mixed, runs, word_spans
 GRAM, WINDOW = 3, 3
 LEAST_COVERAGE = 0.75
 WIDEST_BAND = 8
-#: Tokens put in or left out at one place that a chain of hits goes over.
-WIDEST_GAP = 40
 MATCH, OTHER = 2, -1
 
 # Wording of common license notices. Fixed values.
@@ -136,6 +134,19 @@ def tokens_of(text: str) -> np.ndarray:
     return word_spans(data, np.array([0, len(data)]), _BREAK)[0]
 
 
+_ZERO = tokens_of("0")[0]
+
+
+def joined_numbers(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which tokens, given by their bytes' bounds, a dot alone parts from the next, both being numbers there."""
+    out = np.zeros(len(first), bool)
+    if len(first) > 1:
+        digit = (data >= 48) & (data <= 57)
+        after = np.minimum(last[:-1], len(data) - 1)
+        out[:-1] = (first[1:] == last[:-1] + 1) & (data[after] == 46) & digit[last[:-1] - 1] & digit[first[1:]]
+    return out
+
+
 def grams(tokens: np.ndarray) -> np.ndarray:
     n = max(0, len(tokens) - GRAM + 1)
     out = np.zeros(n, np.uint64)
@@ -170,10 +181,23 @@ class Index:
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
 
-    def decided(self, t: int, match: np.ndarray) -> bool:
-        """Whether the matched tokens have every decisive run of the template."""
-        tokens = match.tolist()
-        return all(any(tokens[i : i + len(run)] == run for i in range(len(tokens))) for run in self.decisive[t])
+    def decided(self, t: int, tokens: np.ndarray, begin: int, end: int, joined: np.ndarray) -> bool:
+        """Whether the matched tokens have every decisive run of the template.
+
+        ``joined`` marks tokens that a dot joins to the number that follows. A run that ends in the middle of a version
+        doesn't count: "version 3" is not in "version 3.1", but it is in "version 3.0".
+        """
+
+        def whole(last: int) -> bool:
+            if last >= len(joined) or not joined[last]:
+                return True
+            return tokens[last + 1] == _ZERO and whole(last + 1)
+
+        places = {run[0]: np.flatnonzero(tokens[begin:end] == np.uint64(run[0])) + begin for run in self.decisive[t]}
+        return all(
+            any(i + len(run) <= end and tokens[i : i + len(run)].tolist() == run and whole(i + len(run) - 1) for i in places[run[0]])
+            for run in self.decisive[t]
+        )
 
     def hits(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(place in the hashes, template, place in the template)."""
@@ -223,25 +247,26 @@ def chains(hits: list[tuple[int, int]], length: int) -> list[list[int]]:
     """Chains [value, first place, last place, last place in the template, least and greatest diagonal], best first.
 
     ``hits`` are the (place in text, in template) of one template. A hit continues the most valuable chain before it in
-    both that is at most WIDEST_GAP diagonals off, and which others may continue too; if there is none, it begins one.
-    A hit meets only the chains of the last ``length + WIDEST_GAP`` places.
+    both that is worth more than the tokens put in or left out between them, each of which costs one as in the
+    alignment, and which others may continue too; if there is none, it begins one. A chain is worth MATCH * ``length`` at most, so
+    that a hit meets only the chains of the last places.
     """
     done: list[list[int]] = []
     live: list[list[int]] = []
     for place, p in sorted(hits):
-        oldest, diagonal = place - length - WIDEST_GAP, place - p
+        oldest, diagonal = place - (1 + MATCH) * length, place - p
         done += [c for c in live if c[2] < oldest]
         live = [c for c in live if c[2] >= oldest]
         best = None
         for c in live:
             jump = abs(diagonal - c[2] + c[3])
-            if c[2] < place and c[3] < p and jump <= WIDEST_GAP and (best is None or (c[0] - jump, -jump) > best[0]):
+            if c[2] < place and c[3] < p and jump < c[0] and (best is None or (c[0] - jump, -jump) > best[0]):
                 best = (c[0] - jump, -jump), c
         if best is None:
             live.append([MATCH * GRAM, place, place, p, diagonal, diagonal])
             continue
         (value, jump), c = best
-        value += MATCH * min(GRAM, place - c[2], p - c[3])
+        value = min(value + MATCH * min(GRAM, place - c[2], p - c[3]), MATCH * length)
         longer = [value, c[1], place, p, min(c[4], diagonal), max(c[5], diagonal)]
         if jump:
             live.append(longer)
@@ -250,8 +275,13 @@ def chains(hits: list[tuple[int, int]], length: int) -> list[list[int]]:
     return sorted(done + live, key=lambda c: (-c[0], c[1:]))
 
 
-def scan_tokens(tokens: np.ndarray, hits: list[tuple[int, int, int]], index: Index, least: float) -> list[tuple[int, float, int, int, int]]:
-    """(template, coverage, matching tokens, first token, end token) of the matches of one text, without overlaps."""
+def scan_tokens(
+    tokens: np.ndarray, hits: list[tuple[int, int, int]], index: Index, least: float, joined: np.ndarray
+) -> list[tuple[int, float, int, int, int]]:
+    """(template, coverage, matching tokens, first token, end token) of the matches of one text, without overlaps.
+
+    ``joined`` is ``joined_numbers`` of the text.
+    """
     by_template: dict[int, list[tuple[int, int]]] = {}
     for place, t, p in hits:
         by_template.setdefault(t, []).append((place, p))
@@ -259,15 +289,15 @@ def scan_tokens(tokens: np.ndarray, hits: list[tuple[int, int, int]], index: Ind
     for t, places in by_template.items():
         template, band = index.tokens[t], band_of(index.tokens[t])
         spans: dict[int, list[tuple[int, int]]] = {}  # aligned spans of the text by blocks of it
-        size = len(template) + WIDEST_GAP
+        size = (1 + MATCH) * len(template)
         for _, begin, last, _, low, high in chains(places, len(template)):
             near = range(begin // size, last // size + 1)
             if any(x <= begin and last < y for k in near for x, y in spans.get(k, ())):
                 continue
             base = max(0, low - band)
-            stretch = tokens[base : high + band + len(template)]
+            stretch = tokens[base : high + band + len(template)]  # as wide as the chain's gaps
             n, first, end = align(template, stretch, low - band - base, high + band - base)
-            if n >= least * len(template) and index.decided(t, tokens[base + first : base + end]):
+            if n >= least * len(template) and index.decided(t, tokens, base + first, base + end, joined):
                 found.append((t, n / len(template), n, base + first, base + end))
                 for k in range((base + first) // size, (base + end) // size + 1):
                     spans.setdefault(k, []).append((base + first, base + end))
@@ -286,6 +316,7 @@ def _scanner(shared, least: float):
             rows = []
             for begin, end, data, starts in runs(batch.column(1)):
                 tokens, at, first, last = word_spans(data, starts, _BREAK)
+                joined = joined_numbers(data, first, last)
                 by_text: dict[int, list] = {}
                 for place, t, p in index.hits(grams(tokens)):
                     text = int(np.searchsorted(at, place, "right")) - 1
@@ -294,7 +325,7 @@ def _scanner(shared, least: float):
                 for text, hits in by_text.items():
                     own = slice(int(at[text]), int(at[text + 1]))
                     id_ = batch.column(0)[begin + text].as_py()
-                    for t, coverage, n, x, y in scan_tokens(tokens[own], hits, index, least):
+                    for t, coverage, n, x, y in scan_tokens(tokens[own], hits, index, least, joined[own]):
                         span = (int(starts[text]), int(first[own][x]), int(last[own][y - 1]))
                         lengths = [len(data[span[0] : s].tobytes().decode()) for s in span[1:]]
                         rows.append((id_, index.names[t], coverage, n, *lengths))

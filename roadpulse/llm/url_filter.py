@@ -17,7 +17,8 @@ intervals are repeated SALTS times.
 
 Defined results: a URL that is NULL or has no host matches nothing and is allowed; a NULL time counts as the table's
 latest.
-Hosts are lower-cased, user and port are dropped. Entries with a NULL field are ignored; of entries of one pattern and
+Hosts are lower-cased, user, port and a final dot are dropped, in URLs and in patterns; patterns may end in a slash. Entries
+with a NULL field or of no known kind are ignored; of entries of one pattern and
 list on one date the removal comes last. An empty list allows everything; an empty table gives an empty result.
 Columns of the input named like a result column are replaced.
 """
@@ -37,10 +38,30 @@ RESULT = ("host", "n_active", "lists", "first_pattern", "listed_since", "blocked
 
 def host_of(url: Column) -> Column:
     authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    host = F.lower(F.regexp_extract(authority, r"^(?:.*@)?([^:@]*)", 1))
+    return _host(F.regexp_extract(authority, r"^(?:.*@)?([^:@]*)", 1))
+
+
+def _host(written: Column) -> Column:
+    """A host in lower case without the dot that may end it; NULL if nothing is left."""
+    host = F.regexp_replace(F.lower(written), r"\.+$", "")
     return F.when(host != "", host)
 
 
+def normal_pattern(pattern: Column) -> Column:
+    """A list's pattern as ``patterns_of`` spells it: host in lower case, no empty segments, no blanks around.
+
+    A path without segments is its host. A pattern of no known kind, or without a host, is NULL.
+    """
+    written = F.trim(pattern)
+    kind = F.lower(F.regexp_extract(written, r"^([A-Za-z]+):", 1))
+    rest = F.regexp_replace(written, r"^[A-Za-z]+:", "")
+    host = _host(F.substring_index(rest, "/", 1))
+    segments = F.filter(F.slice(F.split(rest, "/"), 2, 1 << 30), lambda s: s != "")
+    plain = F.concat(F.when((kind == "domain") & (F.size(segments) == 0), "domain:").otherwise("host:"), host)
+    path = F.concat(F.lit("path:"), host, F.lit("/"), F.array_join(segments, "/"))
+    return F.when(F.size(segments) == 0, F.when(kind.isin("host", "domain", "path"), plain)).when(kind == "path", path)
+
+
 def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
@@ -69,6 +90,7 @@ def patterns_of(url: Column, path_depth: int) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, valid_from, valid_until) from (list, pattern, action, entry_date); the end is exclusive."""
+    entries = entries.withColumn("pattern", normal_pattern(F.col("pattern")))
     known = entries.filter(F.col("action").isin("add", "remove")).dropna(subset=["list", "pattern", "entry_date"])
     last = known.groupBy("list", "pattern", "entry_date").agg(F.max("action").alias("action"))
     order = W.partitionBy("list", "pattern").orderBy("entry_date")
@@ -170,7 +192,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH p AS (
   SELECT page_id, url, DATE '2024-01-01' + (('0x' || substr(md5('fetch:' || page_id), 1, 8))::BIGINT % 366)::INT AS fetched_on,
-    nullif(lower(regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^(?:.*@)?([^:@]*)', 1)), '')
+    nullif(rtrim(lower(regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^(?:.*@)?([^:@]*)', 1)), '.'), '')
       AS host,
     list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS seg
   FROM pages),
@@ -190,7 +212,7 @@ m AS (
     SELECT page_id, 'host:' || host AS pattern FROM p WHERE host IS NOT NULL
     UNION ALL SELECT page_id, unnest(list_transform(range(1, len(string_split(host, '.')) + 1),
       lambda i: 'domain:' || array_to_string(string_split(host, '.')[i:], '.'))) FROM p WHERE host IS NOT NULL
-    UNION ALL SELECT page_id, unnest(list_transform(range(1, least(2, len(seg)) + 1),
+    UNION ALL SELECT page_id, unnest(list_transform(range(1, len(seg) + 1),
       lambda i: 'path:' || host || '/' || array_to_string(seg[:i], '/'))) FROM p WHERE host IS NOT NULL)),
 s AS (
   SELECT page_id, list, pattern, arg_max(gone, day) AS gone,

@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from roadpulse.llm.common import documents as read_documents
@@ -47,6 +48,22 @@ def test_stages(spark, documents, written):
     assert sorted(ids("tokenizing")) == sorted(ids("mixing"))
 
 
+def test_columns_named_like_results_pass_all_stages(spark, documents, written):
+    """Columns of the table that a stage's result is named like keep their own values; empty tables pass too."""
+    rng = random.Random(4)
+    clashing = ["kept", "keep_id", "group_size", "text_sha256", "score", "accepted", "log_weight", "copies"]
+    docs = documents([(i, prose(rng, "en", 30), "en", "a") for i in range(30)]).withColumns({c: F.concat(F.lit(c), "doc_id") for c in clashing})
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    sf_dir = written(documents=docs, labels=marks)
+    columns, docs = docs.columns, read_documents(spark, sf_dir)
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            rows = corpus_pipeline.stored(stage(spark, rows, sf_dir), f"clash-{name}")
+            assert rows.columns == columns
+            assert all(r[c] == f"{c}{r['doc_id']}" for r in rows.collect() for c in clashing)
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).count() == rows.count()
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(corpus_pipeline.SQL))
 def test_query_equals_sql(spark, name):
@@ -55,7 +72,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_and_the_pipeline_is_registered():
     names = set(corpus_pipeline.QUERIES)
-    assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
     import __spark_entry__
 
     assert names <= set(__spark_entry__.queries())

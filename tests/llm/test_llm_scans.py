@@ -1,23 +1,42 @@
 """Fingerprints, URL filters and license scans."""
 
 import datetime as dt
+import functools
 import hashlib
 import random
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from roadpulse.llm import fingerprints, licenses, url_filter
 
-PARAGRAPH = re.compile(r"[^\n]{1,240}")
+def plain_paragraphs(text):
+    """The rule in plain Python: sentence ends and line breaks, long ones at words, long words at pairs of characters."""
+
+    def ends(*parts):
+        found = functools.reduce(lambda seed, x: xxhash.xxh64_intdigest(x.encode(), seed), parts, 42)
+        return (found - (found >> 63 << 64)) % fingerprints.CUT == 0
+
+    out = ""
+    for sentence in re.split(fingerprints.PARAGRAPH_END, text):
+        if len(sentence) > fingerprints.LONG:
+            words = []
+            for w in re.split(r"[ \t]+", sentence):
+                if len(w) > fingerprints.LONG:
+                    w = "".join(c + "\n" * ends(*([w[i - 1]] if i else []), c) for i, c in enumerate(w))
+                words.append(w)
+            sentence = "".join(w + ("\n" if ends(w) else " ") for w in words)
+        out += sentence + "\n"
+    return {p for p in re.split(" ?\n", out) if p}
 
 
 def test_fingerprints(spark, documents, written):
     rng = random.Random(1)
-    line = lambda: " ".join(rng.choice("abcdef") * rng.randint(1, 5) for _ in range(rng.randint(0, 6))) + rng.choice([".", "", "é!"])
+    line = lambda: " ".join(rng.choice("abcdef") * rng.randint(1, 5) for _ in range(rng.choice([0, 2, 6, 60]))) + rng.choice([".", "", "é!"])
     rows = [(i * 3 + 1, "\n".join(line() for _ in range(rng.choice([0, 1, 4, 30])))) for i in range(150)]
-    rows += [(7_000, None), (7_001, ""), (7_002, "same\n" * 50), (7_003, "same\n" * 50), (7_004, "\n".join(map(str, range(3_000))))]
+    rows += [(7_000, None), (7_001, ""), (7_002, "same\n" * 50), (7_003, "same\n" * 50), (7_004, "\n".join(map(str, range(3_000)))), (7_005, "日本語文" * 90 + " x" * 300)]
     got = {r["doc_id"]: r for r in fingerprints.op7_fingerprints(spark, written(documents=documents(rows))).collect()}
     assert len(got) == len(rows)
     for k, (i, text) in enumerate(rows):
@@ -25,13 +44,26 @@ def test_fingerprints(spark, documents, written):
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
         likeness = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-        own, other, changed = (set(PARAGRAPH.findall(t)) for t in (text, following, edited))
+        own, other, changed = map(plain_paragraphs, (text, following, edited))
         r = got[i]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert abs(r["near_edited"] - likeness(own, changed)) < 1e-12 and abs(r["near_next"] - likeness(own, other)) < 1e-12
     assert got[7_002]["fingerprint"] == got[7_003]["fingerprint"] and got[7_000]["fingerprint"] == got[7_001]["fingerprint"]
 
 
+def test_a_text_and_a_beginning_of_it_share_paragraphs_at_any_length(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(1, 9)))
+    rows = []
+    for n in (150, 300, 470, 485, 620, 2_000):
+        for _ in range(20):
+            text = " ".join(word() for _ in range(n))[:n]
+            rows.append((n, text, text[: int(n * 0.9)]))
+    df = spark.createDataFrame(rows, "n int, a string, b string")
+    for r in df.select("n", fingerprints.paragraphs(F.col("a")).alias("a"), fingerprints.paragraphs(F.col("b")).alias("b")).collect():
+        assert set(r["a"]) & set(r["b"]) or r["n"] == 150
+
+
 def test_sketches_alone_recover_the_difference(spark):
     """Without the comparison of digests that follows the last failure."""
     pairs = [(list(range(n)), list(range(n - d, 2 * n - d))) for n, d in ((5, 5), (40, 38), (40, 0), (300, 290), (1, 1))]
@@ -43,12 +75,12 @@ def test_sketches_alone_recover_the_difference(spark):
 
 
 def test_next_of_odd_tables(documents):
-    assert fingerprints.compare_versions(fingerprints.with_next(documents([]))).count() == 0
-    one = fingerprints.compare_versions(fingerprints.with_next(documents([(5, "a\nb")]))).collect()
+    assert fingerprints.compare_versions(documents([])).count() == 0
+    one = fingerprints.compare_versions(documents([(5, "a\nb")])).collect()
     assert one[0]["near_next"] == 1.0
     rows = [(None, "n1"), (None, "n0"), (4, "x"), (4, "x"), (4, "w"), (9, "z")]
     got = fingerprints.with_next(documents(rows)).collect()
-    assert sorted((str(r["doc_id"]), r["text"], r["next_text"]) for r in got) == sorted(
+    assert sorted((str(r["doc_id"]), r["text"], r["next"]["text"]) for r in got) == sorted(
         [("None", "n0", "n1"), ("None", "n1", "w"), ("4", "w", "x"), ("4", "x", "x"), ("4", "x", "z"), ("9", "z", "n0")]
     )
 
@@ -79,7 +111,7 @@ def test_url_filters_against_a_day_by_day_replay(spark):
         host, seg = m[1].lower(), [s for s in m[2].split("/") if s]
         labels = host.split(".")
         found = {f"host:{host}"} | {"domain:" + ".".join(labels[i:]) for i in range(len(labels))}
-        return host, found | {f"path:{host}/" + "/".join(seg[: i + 1]) for i in range(min(2, len(seg)))}
+        return host, found | {f"path:{host}/" + "/".join(seg[: i + 1]) for i in range(len(seg))}
 
     want = []
     for page, url, fetched in pages:
@@ -107,6 +139,16 @@ def test_paths_of_any_depth_match(spark):
     assert [r["page_id"] for r in deep if r["blocked"]] == [7]
 
 
+def test_spellings_of_patterns_and_hosts(spark):
+    written = ["path:H.com/A/", "domain:Evil.org", " host:X.net. ", "path:h2.com//a//b", "PATH:h3.com", "domain:a.b/c", "odd:h.com", "host:", "", "path:h4.com/"]
+    entries = spark.createDataFrame([("l", p, "add", day(0)) for p in written], "list string, pattern string, action string, entry_date date")
+    kept = {r["pattern"] for r in url_filter.intervals(entries).collect()}
+    assert kept == {"path:h.com/A", "domain:evil.org", "host:x.net", "path:h2.com/a/b", "host:h3.com", "host:h4.com"}
+    urls = ["http://h.com/A/x", "http://h.com/a", "https://www.EVIL.org.", "http://evil.org./q", "ftp://x.net:80", "http://h2.com/a/b", "http://h3.com/z", "http://a.b/c", "http://.../"]
+    pages = spark.createDataFrame([(i, u, day(1)) for i, u in enumerate(urls)], "page_id long, url string, fetched_on date")
+    assert {r["page_id"] for r in url_filter.judge(pages, entries).collect() if r["blocked"]} == {0, 2, 3, 4, 5, 6}
+
+
 def full_alignment(template, text):
     """Matching tokens of the best local alignment without a band."""
     best, above = (0, 0), [(0, 0)] * (len(text) + 1)
@@ -151,8 +193,10 @@ def test_licenses_in_texts(documents):
 
 
 def matches_of(text):
-    index, tokens = licenses.Index(licenses.TEMPLATES), licenses.tokens_of(text)
-    found = licenses.scan_tokens(tokens, list(index.hits(licenses.grams(tokens))), index, licenses.LEAST_COVERAGE)
+    index, data = licenses.Index(licenses.TEMPLATES), np.frombuffer(text.encode(), np.uint8)
+    tokens, _, first, last = licenses.word_spans(data, np.array([0, len(data)]), licenses._BREAK)
+    joined = licenses.joined_numbers(data, first, last)
+    found = licenses.scan_tokens(tokens, list(index.hits(licenses.grams(tokens))), index, licenses.LEAST_COVERAGE, joined)
     return tokens, {index.names[m[0]]: m[2] for m in found}
 
 
@@ -162,7 +206,7 @@ def test_changes_of_many_tokens_inside_a_license():
     for name in ("mit", "bsd-3-clause", "apache-2.0"):
         words = re.findall(r"[A-Za-z0-9]+", licenses.TEMPLATES[name])
         template = licenses.tokens_of(licenses.TEMPLATES[name])
-        for n in (9, 15, 20, 30):
+        for n in (9, 15, 20, 30, 41, 45):
             at = rng.randint(len(words) // 3, len(words) // 2)
             put = words[:at] + [f"header{i}" for i in range(n)] + words[at:]
             tokens, found = matches_of(" ".join(["before"] * 20 + put + ["behind"] * 20))
@@ -182,7 +226,9 @@ def test_siblings_are_not_taken_for_each_other():
         "Licensed under the Apache License, Version 1.1.": "apache-1.1-line", "Licensed under the Apache License, Version 1.0.": None,
         "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-line", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0-line",
         "Licensed under CC BY 4.0.": "cc-by-4.0-line", "Licensed under CC BY-NC 3.0.": None, "Released under the ISC License.": None,
-        licenses.TEMPLATES["mpl-2.0"].replace("2.0", "1.1"): None,
+        licenses.TEMPLATES["mpl-2.0"].replace("2.0", "1.1"): None, gnu.format("", "3.1"): None, gnu.format("", "3.0"): "gpl-3.0-line",
+        gnu.format("", "2.0.1"): None, gnu.format("Lesser ", "2.1.3"): None, gnu.format("", "3") + " 2020 Ann.": "gpl-3.0-line",
+        "Licensed under the Apache License, Version 2.0.1.": None, "Licensed under the Apache License, Version 2.0.0": "apache-2.0-line",
         **{licenses.TEMPLATES[x]: x for x in ("gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "bsd-2-clause", "bsd-3-clause")},
     }
     for text, name in cases.items():
