@@ -1,7 +1,8 @@
 """Corpus pipeline: quality filter, exact dedup, near-dedup, mixing, tokenizing.
 
-Each stage takes (spark, docs, sf_dir) and returns what it keeps; ``run`` writes that as Parquet in the shared folder
-and reads it again for the next stage. All stages but the last return the columns of ``documents``. Texts are
+Each stage takes (spark, docs, sf_dir) and returns what it keeps; ``run`` writes that as Parquet in the shared folder,
+reads it again for the next stage, and deletes what the stage alone has needed. All stages but the last return the columns
+of ``documents``, whatever they are named. Texts are
 shuffled once, when the mix is joined; ids that dedup drops go through a Bloom filter, so that nearly all other
 documents pass straight through.
 
@@ -11,6 +12,8 @@ number of its tokens and digests of the ids and of the decoded text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,19 +22,29 @@ from roadpulse.llm.exact_dedup import RESULT, exact_dedup
 from roadpulse.llm.mixing import mix
 from roadpulse.llm.near_dedup import near_dedup
 from roadpulse.llm.pieces import default_model, round_trip
+from roadpulse.llm.quality import RESULT as QUALITY
 from roadpulse.llm.quality import classify, fit
 from roadpulse.llm.queries import ORACLES
 from roadpulse.llm.queries import QUERIES as OPERATORS
+from roadpulse.session import folders_made, keep_last
+
+
+def _own_names(docs: DataFrame, names: tuple[str, ...], judge: Callable[[DataFrame], DataFrame], keep: str) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` marks to keep; columns that are named like its result get out of its way."""
+    aside = {c: f"_own_{i}_{c}" for i, c in enumerate(docs.columns) if c in names}
+    kept = judge(docs.withColumnsRenamed(aside)).filter(keep).drop(*names)
+    return kept.withColumnsRenamed({there: c for c, there in aside.items()}).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    return classify(docs, fit(docs, labels(spark, sf_dir))).filter("accepted").select(*docs.columns)
+    model = fit(docs, labels(spark, sf_dir))
+    return _own_names(docs, QUALITY, lambda rows: classify(rows, model), "accepted")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that with the largest id."""
-    return exact_dedup(docs).filter("kept").drop(*RESULT).select(*docs.columns)
+    return _own_names(docs, RESULT, exact_dedup, "kept")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +78,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, mark = documents(spark, sf_dir), folders_made()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        keep_last(mark)
     return docs
 
 

@@ -44,6 +44,18 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 _made: list[tuple[SparkSession, str]] = []
 
 
+def folders_made() -> int:
+    """How many fresh folders there are; a mark for ``keep_last``."""
+    return len(_made)
+
+
+def keep_last(mark: int) -> None:
+    """Delete the fresh folders made since ``mark`` but for the last, once that has been written and needs the others no more."""
+    for spark, folder in _made[mark:-1]:
+        drop_folder(spark, folder)
+    _made[mark:] = _made[-1:] if len(_made) > mark else []
+
+
 def drop_folder(spark: SparkSession, path: str) -> bool:
     """Delete a folder in whatever store it is; whether there was one."""
     jvm = spark._jvm
