@@ -31,6 +31,8 @@ from roadpulse.operators import (
     projections as pj,
     quality as ql,
     retention as rt,
+    rollups as ru,
+    sketches as sk,
     speed as sp,
     trend as tr,
     windows as wn,
@@ -43,6 +45,7 @@ from roadpulse.sources import tables as tb
 from roadpulse.streaming import alerts as sal
 from roadpulse.streaming import events as sev
 from roadpulse.streaming import ingest as sin
+from roadpulse.streaming import late as slt
 from roadpulse.streaming import metrics as smt
 from roadpulse.streaming import sinks as ssk
 from roadpulse.streaming import speed as ssp
@@ -425,7 +428,7 @@ def retention_restart(spark, sf):
     """Runs that end early, each time taken up by a later one, and where every metric row is in the end."""
     paths = _dated_tables(spark, sf, shared_folder(spark, "restart"))
     retention, newest = Retention(events_hours=250, metrics_days=20), _as_of(spark, sf)
-    for days, until in ((4, "archived"), (2, "staged"), (1, "dropped"), (0, "done")):
+    for days, until in ((4, "archived"), (1, "staged"), (0, "done")):
         rt.retention_job(spark, *paths, newest - F.make_dt_interval(days=F.lit(days)), retention, until=until)
     places = {"archive": rt.read_archive(spark, paths[2]), "table": spark.read.parquet(paths[1])}
     columns = ["camera_id", "window_start", "lane_id", "vehicle_count", "congestion_level"]
@@ -706,6 +709,16 @@ def neighbour_means(spark, sf):
     return _rounded(means.select("t_idx", "node", *names), *names)
 
 
+CHEBYSHEV = ["vehicle_count", "congestion_score"]
+
+
+@query
+def chebyshev_features(spark, sf):
+    dense, edges = _stored(_dense(spark, sf), "dense"), _stored(_event_edges(spark, sf), "edges")
+    names = [f"{c}_cheb{k}" for k in (1, 2) for c in CHEBYSHEV]
+    return _rounded(gr.chebyshev_features(dense, edges, CHEBYSHEV, 3).select("t_idx", "node", *names), *names)
+
+
 @query
 def sensor_import(spark, sf):
     return _text(sn.import_sensor_series(tb.sensor_readings(spark, sf), tb.sensor_mapping(spark, sf)))
@@ -844,6 +857,30 @@ def stream_detections_to_alerts(spark, sf):
     return sal.current_alerts(changes)
 
 
+def _late_tables(spark, sf) -> str:
+    """The tables that a stream leaves whose first batch lacks every fifth detection, which comes with the second."""
+    folder, rows = shared_folder(spark, "late"), tb.raw_events(spark, sf)
+    late = F.col("frame_id") % 5 == 0
+    registry = tb.camera_registry(spark, sf)
+    for part in (~late, late):
+        rows.filter(part).write.mode("append").parquet(f"{folder}/events")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/events")
+        slt.stream_late_windows(stream, registry, folder, f"{folder}/checkpoint", 40, None, WINDOW, SCORING).awaitTermination()
+    return folder
+
+
+@query
+def stream_late_windows(spark, sf):
+    """Windows that late detections have opened again."""
+    return _text(slt.read_late_metrics(spark, _late_tables(spark, sf)))
+
+
+@query
+def stream_late_alerts(spark, sf):
+    """Alerts after what late detections have retracted."""
+    return slt.read_late_alerts(spark, _late_tables(spark, sf))
+
+
 @query
 def stream_alerts_takeover(spark, sf):
     """A stream with a new checkpoint that goes on from the alerts table of the windows before it."""
@@ -870,6 +907,67 @@ def stream_upsert(spark, sf):
     return _text(sup.read_upserted(spark, f"{folder}/table").drop("date"))
 
 
+@query
+def sketched_vehicles(spark, sf):
+    """Distinct vehicles per camera and day, and of all cameras, from merged sketches of six hours, beside exact counts.
+
+    The sketches are stored first, so that merging them reads no detections. ``within`` says that the estimate is
+    within four standard errors of the exact count.
+    """
+    events = tb.raw_events(spark, sf)
+    wide = _stored(sk.window_sketches(events, WINDOW), "sketches").filter("lane_id IS NULL")
+    parts = [sk.sketched_metrics(sk.merge_sketches(wide, DAY, keys), SCORING) for keys in (("camera_id", "lane_id"), ())]
+    estimates = parts[0].unionByName(parts[1]).select("camera_id", "window_start", "vehicle_count")
+    per_day = events.select("camera_id", "vehicle_id", F.date_trunc("day", "ts").alias("day"))
+    alone = per_day.groupBy("day", "camera_id").agg(F.count_distinct("vehicle_id").alias("vehicles"))
+    exact = alone.unionByName(per_day.groupBy("day").agg(F.lit(None).cast("string").alias("camera_id"), F.count_distinct("vehicle_id").alias("vehicles")))
+    same = (F.col("window_start") == F.col("day")) & estimates["camera_id"].eqNullSafe(exact["camera_id"])
+    off = F.abs(F.col("vehicle_count") - F.col("vehicles"))
+    joined = estimates.join(exact, same, "full_outer")
+    return joined.select(
+        exact["camera_id"], "day", "vehicles", (off <= F.ceil(4 * sk.standard_error() * F.col("vehicles"))).alias("within")
+    )
+
+
+def _hours(spark, sf) -> DataFrame:
+    """The roll-up that a stream of windows, and of later figures for some of them, has left."""
+    folder = shared_folder(spark, "hours")
+    metrics = _metrics_table(spark, sf)
+    for n, rows in enumerate((metrics, _recount(metrics))):
+        rows.write.parquet(f"{folder}/in/{n}")
+        stream = spark.readStream.schema(metrics.schema).parquet(f"{folder}/in/*")
+        sup.upsert_stream_and_hours(stream, f"{folder}/table", f"{folder}/hours", f"{folder}/checkpoint", every=None).awaitTermination()
+    sup.compact_upserts(spark, f"{folder}/hours", RANGE_B[1].date(), sup.HOURS)
+    return sup.read_hours(spark, f"{folder}/hours")
+
+
+@query
+def rollup_hours(spark, sf):
+    hours = _hours(spark, sf)
+    return hours.select(*ru.KEY, *[F.col(c).cast("double").alias(c) for c in ("score_sum", "speed_sum")], *[c for c in ru.SHARES if c not in ("score_sum", "speed_sum")])
+
+
+@query
+def rollup_summaries(spark, sf):
+    """What the roll-up says of both ranges, and its incidents of the first."""
+    hours = _stored(_hours(spark, sf), "hours")
+    both = ru.compare_ranges(hours, RANGE_A, RANGE_B)
+    counts = ru.incident_summary(hours, *RANGE_A)
+    row = both.select("*", *[counts.select(c).scalar().alias(f"incidents_{c}") for c in counts.columns])
+    return _rounded(row, *[f.name for f in row.schema if isinstance(f.dataType, T.DoubleType)])
+
+
+@query
+def rollup_top_segments(spark, sf):
+    top = ru.top_segments(_hours(spark, sf), tb.camera_registry(spark, sf), *RANGE_B)
+    return _rounded(top, "average_congestion", "average_queue_length")
+
+
+@query
+def rollup_trends(spark, sf):
+    return _rounded(ru.hourly_trends(_hours(spark, sf), *RANGE_A), "average_congestion", "average_speed_kmh")
+
+
 @query
 def stream_snapshots(spark, sf):
     """What subscribers get of the newest window of a dated metrics table."""

@@ -20,7 +20,7 @@ def with_segment(metrics: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def _share(total: str | Column, n: str | Column) -> Column:
+def share(total: str | Column, n: str | Column) -> Column:
     total, n = (F.col(c) if isinstance(c, str) else c for c in (total, n))
     return F.coalesce(F.try_divide(total, n), F.lit(0.0))
 
@@ -42,17 +42,17 @@ def _hourly_totals(rows: DataFrame, ranges: dict[str, Column]) -> DataFrame:
     return rows.groupBy(F.hour("window_start").alias("hour")).agg(*aggregates)
 
 
-def _summaries(hourly: DataFrame, names: list[str]) -> DataFrame:
+def summaries(hourly: DataFrame, names: list[str]) -> DataFrame:
     """One row with a summary struct per name. Of equally congested hours the earliest is the peak."""
     structs = []
     for name in names:
-        mean = _share(f"{name}_score_sum", f"{name}_score_n")
+        mean = share(f"{name}_score_sum", f"{name}_score_n")
         rank = F.when(F.col(f"{name}_rows") > 0, F.struct(F.round(mean, 9), -F.col("hour")))
         structs.append(
             F.struct(
-                _share(F.sum(f"{name}_score_sum"), F.sum(f"{name}_score_n")).alias("average_congestion"),
+                share(F.sum(f"{name}_score_sum"), F.sum(f"{name}_score_n")).alias("average_congestion"),
                 F.coalesce(F.sum(f"{name}_vehicles"), F.lit(0)).alias("vehicle_count"),
-                _share(F.sum(f"{name}_speed_sum"), F.sum(f"{name}_speed_n")).alias("average_speed_kmh"),
+                share(F.sum(f"{name}_speed_sum"), F.sum(f"{name}_speed_n")).alias("average_speed_kmh"),
                 F.coalesce(F.sum(f"{name}_incidents"), F.lit(0)).alias("incident_count"),
                 F.max_by("hour", rank).alias("peak_hour"),
             ).alias(name)
@@ -66,7 +66,7 @@ def range_summary(
     """One row of totals and the hour of day with the highest mean score; zeros when nothing happened."""
     rows = in_range(camera_wide(metrics), start, end, as_of)
     hourly = _hourly_totals(rows, {"all": F.lit(True)})
-    return _summaries(hourly, ["all"]).select("all.*")
+    return summaries(hourly, ["all"]).select("all.*")
 
 
 def peak_hour(metrics: DataFrame, start: Moment | None, end: Moment | None, as_of: Moment | None = None) -> DataFrame:
@@ -80,7 +80,7 @@ def compare_ranges(
     """Both summaries and B minus A, from a single scan; the ranges may overlap."""
     in_a, in_b = (between(F.col("window_start"), *bounds) for bounds in (range_a, range_b))
     rows = camera_wide(metrics).filter(in_a | in_b)
-    both = _summaries(_hourly_totals(rows, {"a": in_a, "b": in_b}), ["a", "b"])
+    both = summaries(_hourly_totals(rows, {"a": in_a, "b": in_b}), ["a", "b"])
     deltas = {
         "congestion_delta": "average_congestion",
         "vehicle_count_delta": "vehicle_count",
@@ -150,9 +150,9 @@ def top_segments(
     )
     ranked = per_segment.select(
         "segment_key",
-        _share("_score_sum", "_score_n").alias("average_congestion"),
+        share("_score_sum", "_score_n").alias("average_congestion"),
         "severe_minutes",
-        _share("_queue_sum", "_queue_n").alias("average_queue_length"),
+        share("_queue_sum", "_queue_n").alias("average_queue_length"),
         "incident_count",
     )
     # Equal means may differ by rounding noise of a distributed sum, which must not decide.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,6 +23,9 @@ FEATURES = (
     "dow_cos",
 )
 
+#: Rows of a tile of the dense grid, and partitions that the tiles are dealt to at most.
+TILE_ROWS, MOST_PARTITIONS = 1 << 18, 10_000
+
 
 def _cycle(position: Column, length: int) -> Column:
     return F.lit(2 * PI) * position / F.lit(length)
@@ -66,15 +71,27 @@ def recent_input(df: DataFrame, nodes: DataFrame, t_in: int) -> DataFrame:
     return dense_signal(recent, nodes)
 
 
-def dense_signal(df: DataFrame, nodes: DataFrame) -> DataFrame:
+def dense_signal(df: DataFrame, nodes: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     """one row per (time, node), zero where a lane has no row.
 
-    Each time is expanded by the node numbers 0..n-1, which the graph already assigned without gaps, and the values
+    The grid is cut into tiles, a run of times by a run of the node numbers 0..n-1 that the graph has assigned without
+    gaps, and dealt out by tile before it is expanded: no task holds a date, however many nodes there are. The values
     are attached by an equi-join on (time, node).
     """
-    count = nodes.agg(F.count(F.lit(1)).alias("n")).scalar()
     times = dense_index(df.select("window_start").distinct(), ["window_start"], F.to_date("window_start"), "t_idx")
-    grid = times.filter(count > 0).withColumn("node", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    count = nodes.count()
+    side = max(1, math.isqrt(tile_rows))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((count - 1) // side).cast("long"))).alias("_block")
+    tiles = times.select("t_idx", "window_start", F.floor(F.col("t_idx") / side).alias("_run"), blocks) if count else None
+    if tiles is None:
+        grid = times.select("t_idx", "window_start", F.lit(None).cast("long").alias("node")).filter(F.lit(False))
+    else:
+        # As many partitions as there are tiles, up to a bound: by size alone, these small rows would stay together.
+        amount = -(-times.count() // side) * (-(-count // side))
+        dealt = tiles.repartition(max(1, min(amount, MOST_PARTITIONS)), "_run", "_block")
+        first = F.col("_block") * side
+        node = F.explode(F.sequence(first, F.least(first + side, F.lit(count)) - 1)).alias("node")
+        grid = dealt.select("t_idx", "window_start", node)
     values = align_to_graph(df, nodes).drop("camera_id", "lane_id")
     filled = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in FEATURES]
     idx = F.coalesce("congestion_level_idx", F.lit(0))

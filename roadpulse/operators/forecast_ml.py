@@ -2,20 +2,23 @@
 
 Three estimators share one feature vector: a linear regression for the count, a binomial logistic regression for the
 congestion probability and a multinomial one for the level. Every step has weights of its own for the whole history
-(step x history interactions), as what a lane will do next depends on how it got where it is.
+(step x history interactions, as sparse vectors), as what a lane will do next depends on how it got where it is.
+
+The regression minimises squared errors; a count that is to be near on average lies nearer to the last value and to a whole
+number of vehicles. How much is chosen on rows with known outcomes (``tune_count``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import Interaction, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -30,6 +33,7 @@ MEASURED = ("vehicle_count", "avg_speed_kmh", "stopped_ratio", "congestion_score
 CYCLES = tuple(c for c in FEATURES if c not in MEASURED)
 PARTS = ("count", "prob", "level")
 LEVELS_CODED = 3
+RULE = "last_at int, unit double, share double, whole boolean"
 
 
 def _with_history(dense: DataFrame, edges: DataFrame, window: ForecastWindow, ahead: int) -> DataFrame:
@@ -105,40 +109,66 @@ def split_by_time(
     )
 
 
+@dataclass(frozen=True)
+class CountRule:
+    """How a count follows from the regression and from the last value: a share of the one, the rest of the other, and
+    whether it is a whole number of vehicles. ``last_at`` is the place of the last count in the history, ``unit`` one vehicle."""
+
+    last_at: int
+    unit: float
+    share: float = 1.0
+    whole: bool = False
+
+    def column(self, predicted: Column, history: Column) -> Column:
+        mixed = self.share * predicted + (1 - self.share) * F.get(history, F.lit(self.last_at))
+        return F.greatest(F.round(mixed / self.unit) * self.unit if self.whole else mixed, F.lit(0.0))
+
+
+#: The rules that ``tune_count`` chooses from.
+SHARES, WHOLE = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), (False, True)
+
+
 @dataclass
 class Forecaster:
-    """L2: the three fitted pipelines."""
+    """L2: the three fitted pipelines, and how counts follow from the first."""
 
     count: PipelineModel
     prob: PipelineModel
     level: PipelineModel
+    rule: CountRule
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """Add ``count_norm``, ``congestion_prob`` and ``level_scores`` to rows with ``history`` and ``step``."""
-        made = ("features", "step_code")
-        scored = self.count.transform(_by_step(rows, self.count.stages[0].categorySizes[0])).drop(*made)
+        made = ("features", "step_code", "by_step")
+        scored = self.count.transform(rows).drop(*made)
         scored = self.prob.transform(scored).drop(*made)
         scored = self.level.transform(scored)
         return scored.withColumns(
             {
-                "count_norm": F.greatest("count_out", F.lit(0.0)),
+                "count_norm": self.rule.column(F.col("count_out"), vector_to_array("history")),
                 "congestion_prob": F.get(vector_to_array("prob_out"), F.lit(1)),
                 "level_scores": vector_to_array("level_out"),
             }
-        ).drop(*made, "by_step", *[f"{p}_{x}" for p in PARTS for x in ("out", "raw", "pick")])
+        ).drop(*made, *[f"{p}_{x}" for p in PARTS for x in ("out", "raw", "pick")])
 
 
-def _by_step(rows: DataFrame, t_out: int) -> DataFrame:
-    """Add the history in the place of its step, with zeros in the places of the others."""
-    history = vector_to_array("history")
-    blank = F.transform(history, lambda _: F.lit(0.0))
-    places = F.transform(F.sequence(F.lit(0), F.lit(t_out - 1)), lambda k: F.when(k == F.col("step"), history).otherwise(blank))
-    return rows.withColumn("by_step", array_to_vector(F.flatten(places)))
+def tune_count(count: PipelineModel, rows: DataFrame, window: ForecastWindow) -> CountRule:
+    """The rule with the least mean absolute error on ``rows``, among those whose squared error is below repeating the last value's."""
+    plain = CountRule(len(MEASURED) * (window.t_in - 1), 1.0 / window.vehicle_count_max)
+    rules = [replace(plain, share=share, whole=whole) for share in SHARES for whole in WHOLE]
+    scored = count.transform(rows).select("count_out", vector_to_array("history").alias("history"), "count")
+    off = [rule.column(F.col("count_out"), F.col("history")) - F.col("count") for rule in (replace(plain, share=0.0), *rules)]
+    row = scored.agg(*[f(F.abs(x)).alias(f"{n}{i}") for i, x in enumerate(off) for n, f in (("a", F.avg), ("s", lambda e: F.avg(e * e)))]).first()
+    if row["a0"] is None:
+        return plain
+    sound = [i for i in range(1, len(off)) if row[f"s{i}"] < row["s0"]]
+    return rules[min(sound, key=lambda i: row[f"a{i}"]) - 1] if sound else plain
 
 
 def _stages(window: ForecastWindow) -> list:
     code = OneHotEncoder(inputCols=["step"], outputCols=["step_code"], dropLast=window.t_out > 1, handleInvalid="keep")
-    return [code, VectorAssembler(inputCols=["history", "step_code", "by_step"], outputCol="features")]
+    by_step = Interaction(inputCols=["step_code", "history"], outputCol="by_step")
+    return [code, by_step, VectorAssembler(inputCols=["history", "step_code", "by_step"], outputCol="features")]
 
 
 def _estimators(reg: float, iterations: int) -> dict:
@@ -171,11 +201,11 @@ def fit_forecaster(
     table: DataFrame, window: ForecastWindow = ForecastWindow(), reg: float = 1e-3, iterations: int = 25
 ) -> Forecaster:
     """L2."""
-    fits, table = {}, _by_step(table, window.t_out)
+    fits = {}
     for part, estimator in _estimators(reg, iterations).items():
         rows = _outcomes(table) if part == "prob" else table
         fits[part] = Pipeline(stages=[*_stages(window), estimator]).fit(rows)
-    return Forecaster(**fits)
+    return Forecaster(**fits, rule=tune_count(fits["count"], table, window))
 
 
 def select_model(
@@ -185,7 +215,8 @@ def select_model(
     regs: tuple[float, ...] = (1e-4, 1e-2),
     iterations: int = 25,
 ) -> Forecaster:
-    """L4: per target, the regularisation with the lowest loss on the given validation rows (see ``split_by_time``)."""
+    """L4: per target, the regularisation with the lowest loss on the given validation rows (see ``split_by_time``), and the
+    rule for counts that does best on them."""
     evaluators = {
         "count": RegressionEvaluator(labelCol="count", predictionCol="count_out", metricName="mse"),
         "prob": MulticlassClassificationEvaluator(
@@ -196,7 +227,7 @@ def select_model(
             labelCol="level", probabilityCol="level_out", predictionCol="level_pick", metricName="logLoss"
         ),
     }
-    fits, train, validation = {}, _by_step(train, window.t_out), _by_step(validation, window.t_out)
+    fits = {}
     for part in PARTS:
         rows, held = (_outcomes(t) if part == "prob" else t for t in (train, validation))
         tried = []
@@ -204,7 +235,7 @@ def select_model(
             model = Pipeline(stages=[*_stages(window), _estimators(reg, iterations)[part]]).fit(rows)
             tried.append((evaluators[part].evaluate(model.transform(held)), model))
         fits[part] = min(tried, key=lambda x: x[0])[1]
-    return Forecaster(**fits)
+    return Forecaster(**fits, rule=tune_count(fits["count"], validation, window))
 
 
 def persistence(table: DataFrame, window: ForecastWindow = ForecastWindow()) -> DataFrame:
@@ -261,8 +292,12 @@ def save_model(model: Forecaster, path: str) -> None:
     """L7."""
     for part in PARTS:
         getattr(model, part).write().overwrite().save(f"{path}/{part}")
+    rule = model.rule
+    row = [(rule.last_at, rule.unit, rule.share, rule.whole)]
+    SparkSession.active().createDataFrame(row, RULE).coalesce(1).write.mode("overwrite").json(f"{path}/rule")
 
 
 def load_model(path: str) -> Forecaster:
     """L7."""
-    return Forecaster(**{part: PipelineModel.load(f"{path}/{part}") for part in PARTS})
+    rule = CountRule(*SparkSession.active().read.schema(RULE).json(f"{path}/rule").first())
+    return Forecaster(**{part: PipelineModel.load(f"{path}/{part}") for part in PARTS}, rule=rule)

@@ -82,3 +82,41 @@ def neighbour_means(signal: DataFrame, edges: DataFrame, columns: list[str], hop
         named = current.select("t_idx", "node", *[F.col(c).alias(f"{c}_hop{hop}") for c in columns])
         result = result.join(named, ["t_idx", "node"], "left")
     return result
+
+
+def chebyshev_features(signal: DataFrame, edges: DataFrame, columns: list[str], order: int = 3, largest: float = 2.0) -> DataFrame:
+    """H3, L1: Chebyshev polynomials 1 to ``order - 1`` of the scaled graph Laplacian, applied to each time's values.
+
+    With the normalised adjacency A (1 / sqrt(deg * deg) along edges, loops left out) and the largest eigenvalue taken
+    as ``largest``, the scaled Laplacian is S = (2 / largest) (1 - A) - 1, and T1 = S x, Tk = 2 S T(k-1) - T(k-2). A product
+    with A sends values along edges and adds up what arrives, so that work grows with edges times order and no
+    matrix is formed. ``signal`` has a row for every (t_idx, node); a node without neighbours receives nothing.
+    """
+    links = edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+    degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("_degree"))
+    far = degrees.select(F.col("src").alias("dst"), F.col("_degree").alias("_far"))
+    weight = 1.0 / F.sqrt(F.col("_degree") * F.col("_far"))
+    weighted = links.join(degrees, "src").join(far, "dst").select("src", "dst", weight.alias("_weight"))
+    before, last = {c: f"_t0_{c}" for c in columns}, {c: f"_t1_{c}" for c in columns}
+    keys = ["t_idx", "node"]
+
+    def scaled(rows: DataFrame, names: list[str]) -> DataFrame:
+        """(t_idx, node, _s_<name>): S times each of the columns."""
+        sent = rows.join(weighted, rows["node"] == weighted["src"])
+        arrived = sent.groupBy("t_idx", F.col("dst").alias("node")).agg(*[F.sum(F.col(c) * F.col("_weight")).alias(f"_a_{c}") for c in names])
+        joined = rows.select(*keys, *names).join(arrived, keys, "left")
+        value = lambda c: F.lit(2 / largest - 1) * F.col(c) - F.lit(2 / largest) * F.coalesce(f"_a_{c}", F.lit(0.0))
+        return joined.select(*keys, *[value(c).alias(f"_s_{c}") for c in names])
+
+    rows = signal.select(*keys, *[F.col(c).alias(before[c]) for c in columns])
+    result = signal
+    for k in range(1, order):
+        source = before if k == 1 else last
+        product = scaled(rows, [source[c] for c in columns])
+        joined = rows.join(product, keys)
+        new = {c: F.col(f"_s_{source[c]}") if k == 1 else 2 * F.col(f"_s_{last[c]}") - F.col(before[c]) for c in columns}
+        kept = {c: F.col(before[c] if k == 1 else last[c]) for c in columns}
+        rows = joined.select(*keys, *[kept[c].alias(before[c]) for c in columns], *[new[c].alias(last[c]) for c in columns])
+        named = rows.select(*keys, *[F.col(last[c]).alias(f"{c}_cheb{k}") for c in columns])
+        result = result.join(named, keys, "left")
+    return result

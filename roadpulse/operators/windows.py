@@ -23,7 +23,7 @@ METRIC_COLUMNS = (
 )
 
 
-def _grains(lane_id: Column) -> Column:
+def grains(lane_id: Column) -> Column:
     """Each detection counts camera-wide (NULL lane) and, if it has a lane, for that lane too."""
     whole = F.lit(None).cast("int")
     return F.when(lane_id.isNull(), F.array(whole)).otherwise(F.array(whole, lane_id))
@@ -41,24 +41,32 @@ def window_rows(events: DataFrame, seconds: int = WINDOW_SECONDS, scoring: Scori
     vehicle; the second adds vehicles up. Distinct counts thereby become plain counts, no set of vehicles is ever
     held in memory, and both aggregations combine on the map side.
     """
-    class_counts = [F.count_if(F.col("vehicle_class") == name).alias(f"_n_{name}") for name in VEHICLE_CLASSES]
-    per_vehicle = (
+    return add_vehicles(vehicle_rows(events, seconds), scoring)
+
+
+def vehicle_rows(events: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """What each vehicle adds to a (window, camera, lane) of either grain: sums, which may be added up further."""
+    return (
         events.select(
             F.window("ts", f"{seconds} seconds").alias("window"),
             "camera_id",
             "vehicle_id",
             "vehicle_class",
             "speed_kmh",
-            F.explode(_grains(F.col("lane_id"))).alias("lane_id"),
+            F.explode(grains(F.col("lane_id"))).alias("lane_id"),
         )
         .groupBy("window", "camera_id", "lane_id", "vehicle_id")
         .agg(
-            *class_counts,
+            *class_counts(),
             F.sum("speed_kmh").alias("_speed_sum"),
             F.count("speed_kmh").alias("_speed_n"),
             F.count_if(F.col("speed_kmh") < STOPPED_SPEED_KMH).alias("_stopped_n"),
         )
     )
+
+
+def add_vehicles(per_vehicle: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
+    """Metrics, with ``window``, from one row per (window, camera, lane, vehicle)."""
     per_window = per_vehicle.groupBy("window", "camera_id", "lane_id").agg(
         F.count(F.lit(1)).alias("vehicle_count"),
         *[F.sum(f"_n_{name}").alias(f"_n_{name}") for name in VEHICLE_CLASSES],
@@ -76,7 +84,7 @@ def window_rows(events: DataFrame, seconds: int = WINDOW_SECONDS, scoring: Scori
         F.col("window.end").alias("window_end"),
         "lane_id",
         "vehicle_count",
-        _class_map().alias("counts_by_class"),
+        class_map().alias("counts_by_class"),
         F.coalesce(round_stable(mean_speed, 2), F.lit(0.0)).alias("avg_speed_kmh"),
         F.coalesce(round_stable(stopped, 4), F.lit(0.0)).alias("stopped_ratio"),
         "queue_length",
@@ -84,7 +92,13 @@ def window_rows(events: DataFrame, seconds: int = WINDOW_SECONDS, scoring: Scori
     return classify(measured, scoring)
 
 
-def _class_map() -> Column:
+def class_counts() -> list[Column]:
+    """Aggregates: detections of each class."""
+    return [F.count_if(F.col("vehicle_class") == name).alias(f"_n_{name}") for name in VEHICLE_CLASSES]
+
+
+def class_map() -> Column:
+    """The classes with detections, from the columns of ``class_counts``."""
     names = F.array(*[F.lit(name) for name in VEHICLE_CLASSES])
     counts = F.array(*[F.col(f"_n_{name}") for name in VEHICLE_CLASSES])
     return F.map_filter(F.map_from_arrays(names, counts), lambda _, n: n > 0)

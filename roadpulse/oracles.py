@@ -121,8 +121,8 @@ def range_b(column: str = "window_start") -> str:
 LAST_DAY = f"window_start >= {AS_OF} - INTERVAL 24 HOUR AND window_start <= {AS_OF}"
 
 
-def summary(where: str) -> str:
-    rows = f"m WHERE lane_id IS NULL AND {where}"
+def summary(where: str, table: str = "m") -> str:
+    rows = f"{table} WHERE lane_id IS NULL AND {where}"
     return f"""
 SELECT coalesce({r('avg(congestion_score)', 6)}, 0e0) AS average_congestion,
   CAST(coalesce(sum(vehicle_count), 0) AS BIGINT) AS vehicle_count,
@@ -259,6 +259,19 @@ hop1 AS (SELECT t_idx, e.dst AS node, avg(vehicle_count) AS vehicle_count, avg(c
 hop2 AS (SELECT t_idx, e.dst AS node, avg(vehicle_count) AS vehicle_count, avg(congestion_score) AS congestion_score
   FROM hop1 d JOIN edges e ON e.src = d.node GROUP BY 1, 2)"""
 
+#: The scaled Laplacian as a dense matrix, and Chebyshev polynomials 1 and 2 of it.
+CHEBYSHEV = """
+adjacent AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
+degree AS (SELECT src AS node, count(*) AS d FROM adjacent GROUP BY 1),
+lap AS (
+  SELECT a.node AS i, b.node AS j,
+    CASE WHEN e.src IS NULL THEN 0e0 ELSE -1e0 / sqrt(CAST(p.d AS DOUBLE) * q.d) END AS v
+  FROM nodes a CROSS JOIN nodes b LEFT JOIN adjacent e ON e.src = a.node AND e.dst = b.node
+  LEFT JOIN degree p ON p.node = a.node LEFT JOIN degree q ON q.node = b.node),
+squared AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM lap a JOIN lap b ON b.i = a.j GROUP BY 1, 2),
+poly AS (SELECT l.i, l.j, l.v AS t1, 2 * s.v - (CASE WHEN l.i = l.j THEN 1e0 ELSE 0e0 END) AS t2
+  FROM lap l JOIN squared s ON s.i = l.i AND s.j = l.j)"""
+
 VOLUME = """
 vol AS (
   SELECT 'cam_' || l_suppkey AS camera_id, l_shipdate AS ts, 'veh_' || l_partkey AS vehicle_id,
@@ -362,6 +375,19 @@ METRIC_NAMES = (
     "camera_id, window_start, window_end, lane_id, vehicle_count, counts_by_class, avg_speed_kmh, stopped_ratio, "
     "queue_length, congestion_level, congestion_score"
 )
+#: The metrics after the upsert of later figures.
+UPSERTED = """
+up AS (
+  SELECT * REPLACE (CASE WHEN queue_length > 0 THEN vehicle_count + 100 ELSE vehicle_count END AS vehicle_count) FROM m
+  UNION ALL
+  SELECT * REPLACE (vehicle_count + 100 AS vehicle_count, window_start + INTERVAL 400 DAY AS window_start,
+    window_end + INTERVAL 400 DAY AS window_end) FROM m WHERE queue_length > 0)"""
+
+
+def half_open(start: str, end: str) -> str:
+    return f"window_start >= TIMESTAMP '2024-{start}' AND window_start < TIMESTAMP '2024-{end}'"
+
+
 CLOSED = "mc AS (SELECT * FROM m WHERE window_end <= (SELECT max(ts) FROM ev) - INTERVAL 1 SECOND)"
 
 FEATURE_NAMES = (
@@ -710,6 +736,16 @@ SELECT src, dst, CAST(min(hops) AS INTEGER) AS hops FROM (
         *DENSE_CTES,
         EVENT_EDGES,
     ),
+    "chebyshev_features": with_base(
+        "SELECT x.t_idx, p.i AS node, "
+        + ", ".join(
+            f"{r(f'sum(p.t{k} * x.{c})', 6)} AS {c}_cheb{k}" for k in (1, 2) for c in ("vehicle_count", "congestion_score")
+        )
+        + " FROM poly p JOIN dense x ON x.node = p.j GROUP BY 1, 2",
+        *DENSE_CTES,
+        EVENT_EDGES,
+        CHEBYSHEV,
+    ),
     "sensor_import": "WITH " + SENSORS + f""",
 raw AS (
   SELECT camera_id, l_shipdate AS window_start, l_shipdate + INTERVAL 300 SECOND AS window_end, lane_id,
@@ -778,6 +814,49 @@ WHERE s.t_idx >= 11 AND s.t_idx <= (SELECT max(t_idx) FROM dense) - 6""",
         f"(SELECT count(*) FROM ev WHERE ts >= {AS_OF} - INTERVAL 250 HOUR) AS events_left, "
         f"(SELECT count(*) FROM m WHERE window_start >= {AS_OF} - INTERVAL 20 DAY) AS metrics_left"
     ),
+    "sketched_vehicles": with_events(
+        "SELECT camera_id, date_trunc('day', ts)::TIMESTAMP AS day, count(DISTINCT vehicle_id) AS vehicles, TRUE AS within FROM ev GROUP BY 1, 2 "
+        "UNION ALL SELECT NULL, date_trunc('day', ts)::TIMESTAMP, count(DISTINCT vehicle_id), TRUE FROM ev GROUP BY 2"
+    ),
+    "rollup_hours": with_base(
+        "SELECT camera_id, date_trunc('hour', window_start)::TIMESTAMP AS hour_start, "
+        "CAST(sum(CAST(congestion_score AS DECIMAL(28,4))) AS DOUBLE) AS score_sum, count(congestion_score) AS score_n, "
+        "CAST(sum(CAST(avg_speed_kmh AS DECIMAL(28,2))) AS DOUBLE) AS speed_sum, count(avg_speed_kmh) AS speed_n, "
+        "CAST(sum(vehicle_count) AS BIGINT) AS vehicles, count(*) FILTER (congestion_level = 'HIGH') AS high, "
+        "count(*) FILTER (congestion_level = 'SEVERE') AS severe, CAST(sum(queue_length) AS BIGINT) AS queue_sum, "
+        "count(queue_length) AS queue_n, count(*) AS windows FROM up WHERE lane_id IS NULL GROUP BY 1, 2",
+        UPSERTED,
+    ),
+    "rollup_summaries": with_base(
+        "SELECT "
+        + ", ".join(
+            f"{s}.{f} AS {s}_{f}" for s in ("a", "b")
+            for f in ("average_congestion", "vehicle_count", "average_speed_kmh", "incident_count", "peak_hour")
+        )
+        + ", i.average_congestion AS incidents_average_congestion, i.total AS incidents_total_incidents, i.high AS incidents_high, "
+        f"i.critical AS incidents_critical FROM ({summary(half_open('01-02', '01-10'), 'up')}) a, "
+        f"({summary(half_open('01-08', '01-20'), 'up')}) b, "
+        f"(SELECT {r('avg(congestion_score)', 6)} AS average_congestion, count(*) FILTER (congestion_level IN ('HIGH', 'SEVERE')) AS total, "
+        "count(*) FILTER (congestion_level = 'HIGH') AS high, count(*) FILTER (congestion_level = 'SEVERE') AS critical "
+        f"FROM up WHERE lane_id IS NULL AND {half_open('01-02', '01-10')}) i",
+        UPSERTED,
+    ),
+    "rollup_top_segments": with_base(
+        f"SELECT coalesce(road_segment, up.camera_id) AS segment_key, {r('avg(congestion_score)', 6)} AS "
+        "average_congestion, CAST(5 * count(*) FILTER (congestion_level = 'SEVERE') AS BIGINT) AS severe_minutes, "
+        f"{r('avg(queue_length)', 6)} AS average_queue_length, "
+        "count(*) FILTER (congestion_level IN ('HIGH', 'SEVERE')) AS incident_count "
+        f"FROM up LEFT JOIN cameras c ON c.camera_id = up.camera_id WHERE lane_id IS NULL AND {half_open('01-08', '01-20')} "
+        "GROUP BY 1 ORDER BY round(avg(congestion_score), 9) DESC, severe_minutes DESC, 1 LIMIT 10",
+        UPSERTED,
+        CAMERAS,
+    ),
+    "rollup_trends": with_base(
+        f"SELECT CAST(hour(window_start) AS INTEGER) AS hour, {r('avg(congestion_score)', 6)} AS average_congestion, "
+        f"{r('avg(avg_speed_kmh)', 6)} AS average_speed_kmh, CAST(sum(vehicle_count) AS BIGINT) AS vehicle_count "
+        f"FROM up WHERE lane_id IS NULL AND {half_open('01-02', '01-10')} GROUP BY 1",
+        UPSERTED,
+    ),
     "retention_restart": with_base(
         f"SELECT CASE WHEN window_start < {AS_OF} - INTERVAL 20 DAY THEN 'archive' ELSE 'table' END AS place, camera_id, "
         "window_start, lane_id, vehicle_count, congestion_level FROM m"
@@ -787,6 +866,8 @@ WHERE s.t_idx >= 11 AND s.t_idx <= (SELECT max(t_idx) FROM dense) - 6""",
         "WHEN k = 96 THEN 'not_an_object' WHEN k = 97 THEN 'bad_frame_id' WHEN k = 99 THEN 'confidence_out_of_range' "
         "WHEN vehicle_class = 'unknown' THEN 'unknown_class' END AS reject_reason FROM det) GROUP BY 1"
     ),
+    "stream_late_windows": with_base("SELECT * FROM m"),
+    "stream_late_alerts": with_base("SELECT * FROM alerts", CAMERAS, ALERTS.format(metrics="m")),
     "stream_alerts_takeover": with_base(
         "SELECT * FROM alerts",
         "passed AS (SELECT * FROM m WHERE window_start <= (SELECT max(window_start) FROM m) - INTERVAL 1 SECOND)",

@@ -1,4 +1,4 @@
-"""B2: a table of metrics that a stream updates, with versions that readers can hold on to.
+"""B2: tables that a stream updates, with versions that readers can hold on to.
 
 Every batch writes a folder of its own, compaction too, and none is ever written twice. Which folders make up the table is
 said by a manifest; each change makes the next version of it, and only one writer can make a given version. A reader
@@ -7,13 +7,18 @@ versions alone refer to.
 
 For each date the manifest names the folder with the folded rows, the batch up to which they are folded, and later batches.
 A batch that Spark replays after it was folded changes nothing, as its rows are in the fold.
+
+How rows of several batches make one is the table's kind: of metrics the newest batch wins, of shares (E8-E13) all add up.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from roadpulse.operators.maintenance import METRIC_KEY
+from roadpulse.operators.rollups import SHARES, add_shares, share_changes, share_type
 from roadpulse.operators.windows import METRIC_COLUMNS
 from roadpulse.plans.journal import Journal, Store
 from roadpulse.schemas import METRIC
@@ -29,6 +35,31 @@ from roadpulse.streaming.sinks import start
 KEPT_VERSIONS = 20
 
 
+@dataclass(frozen=True)
+class Kind:
+    """What a table holds: its columns, the time that dates a row, and how rows (with date and batch) of a key make one."""
+
+    schema: T.StructType
+    dated_by: str
+    fold: Callable[[DataFrame], DataFrame]
+
+
+def _newest(log: DataFrame) -> DataFrame:
+    """The newest batch of each key wins. Key and date are grouping columns, so that filters on them reach the scan."""
+    others = [c for c in METRIC_COLUMNS if c not in METRIC_KEY]
+    newest = F.max_by(F.struct("batch", *others), "batch").alias("row")
+    return log.groupBy(*METRIC_KEY, "date").agg(newest).select(*METRIC_KEY, "date", "row.*")
+
+
+METRICS = Kind(METRIC, "window_start", _newest)
+_SHARE = [T.StructField(name, share_type(name)) for name in SHARES]
+HOURS = Kind(
+    T.StructType([T.StructField("camera_id", T.StringType()), T.StructField("hour_start", T.TimestampType()), *_SHARE]),
+    "hour_start",
+    lambda log: add_shares(log, "date").withColumn("batch", F.lit(-1).cast("long")),
+)
+
+
 def _manifest(spark: SparkSession, path: str) -> tuple[Journal, int, dict]:
     """The journal of versions, the newest version and what it says: per date ``fold``, ``upto`` and ``batches``."""
     log = Journal(spark, f"{path}/manifest")
@@ -60,9 +91,11 @@ def _write(rows: DataFrame, path: str, name: str) -> tuple[str, list[str]]:
     return part, sorted(n.removeprefix("date=") for n in found if n.startswith("date="))
 
 
-def log_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+def log_batch(rows: DataFrame, path: str, batch_id: int, kind: Kind = METRICS) -> None:
     """Write one batch and make it part of the table. A batch that comes again takes the place of its first coming."""
-    dated = rows.select(*METRIC_COLUMNS, F.to_date("window_start").alias("date"), F.lit(batch_id).cast("long").alias("batch"))
+    dated = rows.select(
+        *kind.schema.fieldNames(), F.to_date(kind.dated_by).alias("date"), F.lit(batch_id).cast("long").alias("batch")
+    )
     part, days = _write(dated, path, f"batch{batch_id}")
     if not days:
         return
@@ -85,6 +118,39 @@ def upsert_stream(metrics: DataFrame, path: str, checkpoint: str, every: str | N
     return start(writer.option("checkpointLocation", checkpoint), every)
 
 
+def log_batch_and_hours(rows: DataFrame, path: str, hours_path: str, batch_id: int) -> None:
+    """Take a batch (one row per key) into the table of metrics and its difference into the table of hours.
+
+    The difference is to the rows that the batch replaces, which are looked up in the dates of the batch only. It is
+    committed before the batch is. A batch that comes again finds out whether it is in the table of metrics: if so its
+    difference was committed whole, if not it is worked out again, from the same rows, and takes the place of the first.
+    """
+    spark = rows.sparkSession
+    log, _, dates = _manifest(spark, path)
+    if not any(e["upto"] >= batch_id or str(batch_id) in e["batches"] for e in dates.values()):
+        rows = rows.select(*METRIC_COLUMNS).persist()
+        days = [str(r["date"]) for r in rows.select(F.to_date("window_start").alias("date")).distinct().collect()]
+        touched = _newest(_log(spark, path, {d: e for d, e in dates.items() if d in days}))
+        keys = rows.select(*[F.col(c).alias(f"_{c}") for c in METRIC_KEY])
+        replaced = touched.join(keys, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in METRIC_KEY]), "left_semi")
+        log_batch(share_changes(replaced, rows), hours_path, batch_id, HOURS)
+        log_batch(rows, path, batch_id)
+        rows.unpersist()
+
+
+def upsert_stream_and_hours(
+    metrics: DataFrame, path: str, hours_path: str, checkpoint: str, every: str | None = "5 seconds"
+) -> StreamingQuery:
+    """``upsert_stream`` that keeps the roll-up of ``operators.rollups`` beside the table."""
+    writer = metrics.writeStream.foreachBatch(lambda rows, batch_id: log_batch_and_hours(rows, path, hours_path, batch_id))
+    return start(writer.option("checkpointLocation", checkpoint), every)
+
+
+def read_hours(spark: SparkSession, hours_path: str) -> DataFrame:
+    """The roll-up as it is now; hours that hold no windows any more are left out."""
+    return read_upserted(spark, hours_path, kind=HOURS).drop("date").filter("windows > 0")
+
+
 def _parts(dates: dict) -> list[str]:
     return [
         f"part={part}/date={day}"
@@ -93,33 +159,37 @@ def _parts(dates: dict) -> list[str]:
     ]
 
 
-def _log(spark: SparkSession, path: str, dates: dict) -> DataFrame:
+def _log(spark: SparkSession, path: str, dates: dict, kind: Kind = METRICS) -> DataFrame:
     """All rows behind some dates of a version, with ``date`` and ``batch``."""
     if not dates:
-        schema = T.StructType([*METRIC.fields, T.StructField("date", T.DateType()), T.StructField("batch", T.LongType())])
+        schema = T.StructType([*kind.schema.fields, T.StructField("date", T.DateType()), T.StructField("batch", T.LongType())])
         return spark.createDataFrame([], schema)
     places = [f"{path}/data/{p}" for p in _parts(dates)]
     return spark.read.option("basePath", f"{path}/data").parquet(*places).drop("part")
 
 
-def _newest(log: DataFrame) -> DataFrame:
-    """The newest batch of each key wins. Key and date are grouping columns, so that filters on them reach the scan."""
-    others = [c for c in METRIC_COLUMNS if c not in METRIC_KEY]
-    newest = F.max_by(F.struct("batch", *others), "batch").alias("row")
-    return log.groupBy(*METRIC_KEY, "date").agg(newest).select(*METRIC_KEY, "date", "row.*")
-
-
-def read_upserted(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """B2: the table of metrics with its ``date``, as the newest version has it, or an earlier one that is still kept.
+def read_upserted(spark: SparkSession, path: str, version: int | None = None, kind: Kind = METRICS) -> DataFrame:
+    """B2: the table with its ``date``, as the newest version has it, or an earlier one that is still kept.
 
     A filter on ``date`` prunes folders, one on the key is pushed into the files.
     """
     log, _, dates = _manifest(spark, path)
     dates = dates if version is None else log.get(f"v-{version:012}")
-    return _newest(_log(spark, path, dates)).select(*METRIC_COLUMNS, "date")
+    return kind.fold(_log(spark, path, dates, kind)).select(*kind.schema.fieldNames(), "date")
+
+
+def dates_of(spark: SparkSession, path: str) -> list[str]:
+    """B2: the dates that the table has rows of, from its manifest alone."""
+    return sorted(_manifest(spark, path)[2])
+
+
+def read_dates(spark: SparkSession, path: str, days: list[str], kind: Kind = METRICS) -> DataFrame:
+    """B2: the rows of some dates, without a look at others."""
+    dates = {d: e for d, e in _manifest(spark, path)[2].items() if d in set(days)}
+    return kind.fold(_log(spark, path, dates, kind)).select(*kind.schema.fieldNames(), "date")
 
 
-def compact_upserts(spark: SparkSession, path: str, before: date) -> int:
+def compact_upserts(spark: SparkSession, path: str, before: date, kind: Kind = METRICS) -> int:
     """B2: fold the batches of each date before ``before``; the number of folders that readers need no longer.
 
     The folds are a version of their own. Stopped before that, the job has changed nothing and can run again; batches
@@ -129,7 +199,7 @@ def compact_upserts(spark: SparkSession, path: str, before: date) -> int:
     old = {d: e for d, e in dates.items() if d < before.isoformat() and len(_parts({d: e})) > 1}
     if not old:
         return 0
-    part, _ = _write(_newest(_log(spark, path, old)), path, "fold")
+    part, _ = _write(kind.fold(_log(spark, path, old, kind)), path, "fold")
     gone = 0
 
     def fold(now: dict) -> dict:
