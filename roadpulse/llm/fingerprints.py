@@ -2,8 +2,9 @@
 
 A text's paragraphs are its lines, cut after sentence ends; each different one is a 64-bit digest. One of over LONG
 characters is cut after every word whose hash is 0 modulo CUT, and a word of over LONG characters after every character
-whose hash with the one before is. All cuts depend on the text around them alone, not on its length, so that an
-insertion moves none.
+whose hash with the one before is. A text of under SHORT characters, which has few paragraphs, has a smaller LONG and
+CUT: cutting all texts as finely would quadruple the digests and with them the cost. All cuts depend on the text around
+them alone, so that an insertion moves none.
 A sketch has 3 regions of CELLS / 3 cells; a digest goes to one cell of each region, where a count, the exclusive-or of
 the digests and that of their checks are kept. The fingerprint is the number of digests and one such sketch.
 
@@ -43,7 +44,8 @@ ATTEMPTS = 3
 SLICES = 4
 #: A paragraph ends at a line break, or after a sentence end that white space follows.
 PARAGRAPH_END = r"\n|(?<=[.!?])[ \t]+|(?<=[。！？])"
-LONG, CUT = 80, 2
+LONG, CUT = 240, 16
+SHORT, SHORT_LONG, SHORT_CUT = 480, 80, 2
 
 
 def _let(value: Column, body) -> Column:
@@ -51,23 +53,27 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _cut(parts: Column, hashed, glue: str) -> Column:
-    """``parts`` as one text with a line break after those whose ``hashed(part, place)`` is 0 modulo CUT."""
-    ended = lambda x, i: F.concat(x, F.when(F.pmod(hashed(x, i), F.lit(CUT)) == 0, "\n").otherwise(glue))
+def _cut(parts: Column, hashed, cut: int, glue: str) -> Column:
+    """``parts`` as one text with a line break after those whose ``hashed(part, place)`` is 0 modulo ``cut``."""
+    ended = lambda x, i: F.concat(x, F.when(F.pmod(hashed(x, i), F.lit(cut)) == 0, "\n").otherwise(glue))
     return F.array_join(F.transform(parts, ended), "")
 
 
-def _cut_word(word: Column) -> Column:
-    return _let(F.split(word, ""), lambda chars: _cut(chars, lambda c, i: F.xxhash64(F.get(chars, i - 1), c), ""))
+def _cut_word(word: Column, cut: int) -> Column:
+    return _let(F.split(word, ""), lambda chars: _cut(chars, lambda c, i: F.xxhash64(F.get(chars, i - 1), c), cut, ""))
 
 
-def _cut_sentence(sentence: Column) -> Column:
-    words = F.transform(F.split(sentence, r"[ \t]+"), lambda w: F.when(F.length(w) > LONG, _cut_word(w)).otherwise(w))
-    return _cut(words, lambda w, i: F.xxhash64(w), " ")
+def _cut_sentence(sentence: Column, long: int, cut: int) -> Column:
+    words = F.transform(F.split(sentence, r"[ \t]+"), lambda w: F.when(F.length(w) > long, _cut_word(w, cut)).otherwise(w))
+    return _cut(words, lambda w, i: F.xxhash64(w), cut, " ")
 
 
 def paragraphs(text: Column) -> Column:
-    cut = F.transform(F.split(text, PARAGRAPH_END), lambda p: F.when(F.length(p) > LONG, _cut_sentence(p)).otherwise(p))
+    whole = F.split(text, PARAGRAPH_END)
+    parts = lambda long, cut: F.transform(
+        whole, lambda p: F.when(F.length(p) > long, _cut_sentence(p, long, cut)).otherwise(p)
+    )
+    cut = F.when(F.length(text) < SHORT, parts(SHORT_LONG, SHORT_CUT)).otherwise(parts(LONG, CUT))
     return F.filter(F.split(F.concat(F.array_join(cut, "\n"), F.lit("\n")), " ?\n"), lambda p: p != "")
 
 
@@ -181,25 +187,25 @@ def _added(outcomes: Column) -> Column:
 
 
 def hands(a: Column, b: Column) -> Column:
-    """The digests of both in structs (a, b) of about LOAD digests with one remainder.
+    """The digests of both in structs (a, b) of about LOAD digests with one remainder; remainders without any are left out.
 
-    They are hashed once and dealt in two steps, to about sqrt(parts) groups of remainders and then within each.
+    They are hashed and sorted once, and cut where the remainder changes.
     """
     parts = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / F.lit(float(LOAD))).cast("int"))
-    wide = F.ceil(F.sqrt(parts)).cast("int")
     mark = lambda d, of: F.struct(F.pmod(F.xxhash64(d, F.lit(1)), parts).cast("int").alias("p"), F.lit(of).alias("of"), d.alias("d"))
-    marks = F.concat(F.transform(a, lambda d: mark(d, 0)), F.transform(b, lambda d: mark(d, 1)))
-    own = lambda group, p, of: F.transform(
-        F.filter(group, lambda m: (m["p"] == p) & (m["of"] == of)), lambda m: m["d"]
-    )
-    groups = _let(marks, lambda every: F.transform(
-        F.sequence(F.lit(0), F.floor((parts - 1) / wide).cast("int")), lambda g: F.struct(
-            g.alias("g"), F.filter(every, lambda m: F.floor(m["p"] / wide) == g).alias("marks")
-    )))
-    return F.flatten(F.transform(groups, lambda x: F.transform(
-        F.sequence(x["g"] * wide, F.least((x["g"] + 1) * wide, parts) - 1),
-        lambda p: F.struct(own(x["marks"], p, 0).alias("a"), own(x["marks"], p, 1).alias("b")),
-    )))
+    marks = F.array_sort(F.concat(F.transform(a, lambda d: mark(d, 0)), F.transform(b, lambda d: mark(d, 1))))
+    own = lambda hand, of: F.transform(F.filter(hand, lambda m: m["of"] == of), lambda m: m["d"])
+
+    def cut(every: Column) -> Column:
+        first = lambda m, i: F.when((i == 0) | (F.get(every, i - 1)["p"] != m["p"]), i)
+        starts = F.array_append(F.array_compact(F.transform(every, first)), F.size(every))
+        return _let(starts, lambda at: F.transform(
+            F.slice(at, F.lit(1), F.size(at) - 1), lambda s, k: _let(
+                F.slice(every, s + 1, F.get(at, k + 1) - s), lambda hand: F.struct(own(hand, 0).alias("a"), own(hand, 1).alias("b"))
+            )
+        ))
+
+    return _let(marks, cut)
 
 
 def _solved(a: Column, b: Column, seed: Column) -> Column:
