@@ -619,6 +619,19 @@ def lane_detail(spark, sf):
     )
 
 
+@query
+def lane_report(spark, sf):
+    """Everything about one lane, with the first five steps of each of its forecasts."""
+    detail = ep.lane_detail(_stored(_lane_series(spark, sf), "series"), "cam_0", 1, EPISODE, 5)
+    return detail.select(
+        *ep.SERIES, "congestion_start", "congestion_end", "peak_congestion_probability", "current_congestion_level", "next_5min_avg_count",
+        _whole_text(F.col("predicted_vehicle_counts")).alias("counts"),
+        _whole_text(F.col("congestion_probabilities")).alias("probabilities"),
+        F.array_join("congestion_levels", ",").alias("levels"),
+        F.size("forecast_timestamps").alias("steps"),
+    )
+
+
 @query
 def camera_forecast(spark, sf):
     return ep.camera_forecast(_lane_series(spark, sf), 12)

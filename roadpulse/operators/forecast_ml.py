@@ -15,7 +15,7 @@ from dataclasses import dataclass, replace
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Interaction, OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import Interaction, OneHotEncoder, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,7 +139,7 @@ class Forecaster:
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """Add ``count_norm``, ``congestion_prob`` and ``level_scores`` to rows with ``history`` and ``step``."""
-        made = ("features", "step_code", "by_step")
+        made = ("features", "step_code", "named", "by_step")
         scored = self.count.transform(rows).drop(*made)
         scored = self.prob.transform(scored).drop(*made)
         scored = self.level.transform(scored)
@@ -167,8 +167,11 @@ def tune_count(count: PipelineModel, rows: DataFrame, window: ForecastWindow) ->
 
 def _stages(window: ForecastWindow) -> list:
     code = OneHotEncoder(inputCols=["step"], outputCols=["step_code"], dropLast=window.t_out > 1, handleInvalid="keep")
-    by_step = Interaction(inputCols=["step_code", "history"], outputCol="by_step")
-    return [code, by_step, VectorAssembler(inputCols=["history", "step_code", "by_step"], outputCol="features")]
+    size = len(MEASURED) * (window.t_in + window.hops) + len(CYCLES) + LEVELS_CODED
+    hint = VectorSizeHint(inputCol="history", size=size, handleInvalid="optimistic")
+    named = VectorAssembler(inputCols=["history"], outputCol="named")  # interactions need attributes
+    by_step = Interaction(inputCols=["step_code", "named"], outputCol="by_step")
+    return [code, hint, named, by_step, VectorAssembler(inputCols=["named", "step_code", "by_step"], outputCol="features")]
 
 
 def _estimators(reg: float, iterations: int) -> dict:

@@ -687,6 +687,16 @@ state AS (SELECT camera_id,
         "string_agg(congestion_level, ',' ORDER BY step) AS levels, CAST(count(*) AS INTEGER) AS steps "
         "FROM epi e JOIN series s USING (camera_id, lane_id, origin) GROUP BY 1, 2, 3, 4"
     ),
+    "lane_report": with_series(
+        "SELECT e.camera_id, e.lane_id, e.origin, congestion_start, congestion_end, "
+        "peak_probability AS peak_congestion_probability, arg_min(congestion_level, step) AS current_congestion_level, "
+        f"{r('avg(vehicle_count) FILTER (step < 60)', 2)} AS next_5min_avg_count, "
+        "array_to_string(list(CAST(CAST(vehicle_count * 10000 AS BIGINT) AS VARCHAR) ORDER BY step)[1:5], ',') AS counts, "
+        "array_to_string(list(CAST(CAST(round(p * 10000) AS BIGINT) AS VARCHAR) ORDER BY step)[1:5], ',') AS probabilities, "
+        "array_to_string(list(congestion_level ORDER BY step)[1:5], ',') AS levels, CAST(least(count(*), 5) AS INTEGER) AS steps "
+        "FROM epi e JOIN series s USING (camera_id, lane_id, origin) WHERE e.camera_id = 'cam_0' AND e.lane_id = 1 "
+        "GROUP BY 1, 2, 3, 4, 5, 6"
+    ),
     "camera_forecast": with_series(
         "SELECT camera_id, origin, step + 1 AS step, origin + to_hours(step + 1) AS predicted_at, "
         f"{r('avg(p)', 4)} AS congestion_score, {level('round(avg(p), 9)')} AS congestion_level "

@@ -49,11 +49,10 @@ def test_k1_archives_first_and_drops_what_has_expired(spark, tmp_path):
     assert rt.read_archive(spark, paths[2]).select("camera_id", "date").distinct().count() == 2
 
 
-STEPS = ("plan", "archived", "kept", "staged", "dropped", "done")
+STOPS = [("plan", True), ("archived", False), ("archived", True), ("kept", False), ("staged", False), ("dropped", False), ("dropped", True), ("done", False)]
 
 
-@pytest.mark.parametrize("step", STEPS)
-@pytest.mark.parametrize("noted", [False, True])
+@pytest.mark.parametrize(("step", "noted"), STOPS)
 def test_k1_stopped_at_a_step_and_run_again_later(spark, tmp_path, monkeypatch, step, noted):
     """Stopped just before or after a step is noted, then run with a later ``as_of``: as if it had run undisturbed."""
     paths, calm = _tables(spark, tmp_path / "x"), _tables(spark, tmp_path / "y")
@@ -82,7 +81,7 @@ def test_k1_stopped_at_a_step_and_run_again_later(spark, tmp_path, monkeypatch,
     assert sum(n for (place, *_), n in got.items() if place != "event") == 2 * len(DAYS) + 1
 
 
-@pytest.mark.parametrize(("method", "call"), [("rename", 1), ("rename", 2), ("delete", 2), ("delete", 4), ("rename", 4)])
+@pytest.mark.parametrize(("method", "call"), [("rename", 1), ("delete", 4), ("rename", 4)])
 def test_k1_stopped_within_a_step(spark, tmp_path, monkeypatch, method, call):
     """Stopped between two file operations of a step, twice in a row at the same place."""
     paths, calm = _tables(spark, tmp_path / "x"), _tables(spark, tmp_path / "y")
