@@ -1,4 +1,4 @@
-"""Speed fallback on a stream, with each vehicle's last position in a slice of time as keyed state."""
+"""Speed fallback on a stream, with the last positions of a bucket of vehicles in a slice of time as keyed state."""
 
 from __future__ import annotations
 
@@ -23,10 +23,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class SpeedState(StatefulProcessor):
-    """The last sighting of a vehicle within a slice of time, which begins with copies of the sightings just before it.
+    """The last sightings of a bucket of vehicles within a slice of time, which begins with copies of those just before it.
 
-    Rows of one batch arrive in any order and are sorted by time first; copies only serve as sightings. Times are
-    whole microseconds in state and on the way to it, so that no zone can move them.
+    A batch costs a bucket one read and one write of state, however many vehicles it has. Rows of one batch arrive in any
+    order and are sorted by vehicle and time first; copies only serve as sightings. Times are whole microseconds in state
+    and on the way to it, so that no zone can move them.
     """
 
     def __init__(self, ttl_seconds: int) -> None:
@@ -34,28 +35,46 @@ class SpeedState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._last = handle.getValueState("last", "x double, y double, at bigint")
+        self._last = handle.getListState("last", "vehicle_id string, x double, y double, at bigint")
+
+    def _held(self) -> pd.DataFrame:
+        rows = [tuple(row) for row in self._last.get()] if self._last.exists() else []
+        return pd.DataFrame(rows, columns=["vehicle_id", "x", "y", "at"]).astype({"x": float, "y": float, "at": "int64"})
+
+    def _hold(self, last: pd.DataFrame) -> None:
+        columns = [last[c].tolist() for c in ("vehicle_id", "x", "y", "at")]
+        if len(last):
+            self._last.put([(v if isinstance(v, str) else None, x, y, at) for v, x, y, at in zip(*columns, strict=True)])
+        else:
+            self._last.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).sort_values(["at_micros", "frame_id"], ignore_index=True)
+        seen, held = pd.concat(list(rows), ignore_index=True), self._held()
+        codes, _ = pd.factorize(pd.concat([held["vehicle_id"], seen["vehicle_id"]]), use_na_sentinel=False)
+        held.index, seen["_code"] = codes[: len(held)], codes[len(held) :]
+        seen = seen.sort_values(["_code", "at_micros", "frame_id"], ignore_index=True)
         x, y, at = seen["centroid_x"].shift(), seen["centroid_y"].shift(), seen["at_micros"].shift()
-        before = None
-        if self._last.exists():
-            x[0], y[0], before = self._last.get()
-            at[0] = before
+        first = ~seen["_code"].duplicated()
+        before = held.reindex(seen.loc[first, "_code"])  # NaN for a vehicle that is not held
+        for column, name in ((x, "x"), (y, "y"), (at, "at")):
+            column[first] = before[name].to_numpy()
         elapsed = seen["at_micros"] - at
         metres = np.hypot(seen["centroid_x"] - x, seen["centroid_y"] - y) * seen["meters_per_pixel"]
         speed = (metres / (elapsed / MICROS) * 3.6).where((elapsed > 0) & (elapsed <= self._ttl))
         seen["speed_kmh"] = seen["speed_kmh"].fillna(speed)
-        newest = seen.iloc[-1]
-        if before is None or newest["at_micros"] >= before:
-            self._last.update((float(newest["centroid_x"]), float(newest["centroid_y"]), int(newest["at_micros"])))
-            self._handle.registerTimer((int(newest["at_micros"]) + self._ttl) // 1000 + 1)
-        yield seen.loc[~seen["is_copy"]].drop(columns=["meters_per_pixel", "is_copy", "slice_start"])
+        newest = seen[~seen["_code"].duplicated(keep="last")].set_index("_code")
+        newest = newest.rename(columns={"centroid_x": "x", "centroid_y": "y", "at_micros": "at"})[list(held.columns)]
+        # Of equal times the later batch's sighting stays.
+        both = pd.concat([held, newest.dropna(subset="at")]).sort_values("at", kind="stable")
+        both = both[~both.index.duplicated(keep="last")].astype({"at": "int64"})
+        self._hold(both[both["at"] + self._ttl >= timerValues.getCurrentWatermarkInMs() * 1000])
+        if len(both):
+            self._handle.registerTimer((int(both["at"].max()) + self._ttl) // 1000 + 1)
+        yield seen.loc[~seen["is_copy"]].drop(columns=["_code", "meters_per_pixel", "is_copy", "slice_start", "bucket"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self._last.exists() and self._last.get()[2] + self._ttl < expiredTimerInfo.getExpiryTimeInMs() * 1000:
-            self._last.clear()
+        held = self._held()
+        self._hold(held[held["at"] + self._ttl >= expiredTimerInfo.getExpiryTimeInMs() * 1000])
         return iter(())
 
 
@@ -65,12 +84,15 @@ def stream_fill_speed(
     config: SpeedFallback = SpeedFallback(),
     lateness_seconds: int = LATENESS_SECONDS,
     slices_per_ttl: int = 20,
+    buckets: int = 64,
 ) -> DataFrame:
     """``fill_speed`` for a stream of raw events. State is dropped once the watermark passes its TTL.
 
-    State is kept per vehicle and slice of many TTLs; sightings of the last TTL of a slice are copied into the next
-    one, which needs no others. So a vehicle id that owns a third of a backlog spreads over as many tasks as it
-    has slices. A sighting that comes in a later batch than a newer one doesn't replace it.
+    State is kept per slice of many TTLs and bucket of vehicles (by the hash of their id); sightings of the last TTL of a
+    slice are copied into the next one, which needs no others. So a vehicle id that owns a third of a backlog spreads over
+    as many tasks as it has slices, and what a batch costs follows its rows, not the number of its vehicles. A task holds
+    the rows that one bucket of a slice has in a batch. A sighting that comes in a later batch than a newer one doesn't
+    replace it.
     """
     columns, ttl = events.columns, config.ttl_seconds * MICROS
     scaled, px_to_m = with_scale(events, calibration, config.pixel_to_meter)
@@ -78,8 +100,9 @@ def stream_fill_speed(
     placed = overlap(scaled, F.unix_micros("ts"), ttl * slices_per_ttl, before=ttl)
     # Workers get the columns by name, but for names that begin with an underscore.
     rows = placed.withColumnsRenamed({SLICE: "slice_start", COPY: "is_copy"}).withColumn("at_micros", F.unix_micros("ts")).drop("ts")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("vehicle_id"), F.lit(buckets)))
     fields = [T.StructField(f.name, f.dataType) for f in events.schema if f.name != "ts"]
-    filled = rows.groupBy("vehicle_id", "slice_start").transformWithStateInPandas(
+    filled = rows.groupBy("bucket", "slice_start").transformWithStateInPandas(
         SpeedState(config.ttl_seconds),
         outputStructType=T.StructType([*fields, T.StructField("at_micros", T.LongType())]),
         outputMode="append",

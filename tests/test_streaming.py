@@ -102,6 +102,20 @@ def test_j3_slices_hand_on_the_border_sighting(spark, tmp_path):
     assert all(got[k][1] == (None if want[k][1] is None else pytest.approx(want[k][1])) for k in want)
 
 
+def test_j3_state_is_kept_per_bucket_not_per_vehicle(spark, tmp_path):
+    """Many vehicles, one of them without an id, in two batches: right speeds, and state calls that don't follow their number."""
+    rows = [event(i // 20, None if i % 150 == 7 else f"v{i % 150}", frame=i, x=i * 7.0 % 97, y=i * 3.0 % 89) for i in range(600)]
+    _files(spark, f"{tmp_path}/in", rows, 2)
+    filled = ssp.stream_fill_speed(_stream(spark, f"{tmp_path}/in"), None, SpeedFallback(ttl_seconds=30))
+    query = ssk.write_raw(filled, f"{tmp_path}/t", f"{tmp_path}/c", every=None)
+    query.awaitTermination()
+    got = {r.frame_id: r.speed_kmh for r in spark.read.parquet(f"{tmp_path}/t").collect()}
+    want = {r.frame_id: r.speed_kmh for r in fill_speed(events(spark, rows), None, SpeedFallback(ttl_seconds=30)).collect()}
+    assert got == {k: None if v is None else pytest.approx(v) for k, v in want.items()} and sum(v is not None for v in want.values()) == 450
+    timers = [p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(timers) == 2 and 0 < max(timers) <= 64
+
+
 def test_j3_across_a_clock_change(spark, tmp_path):
     """Two sightings in two batches in the hour that New York skips; the time-zone test runs this under its clocks."""
     for n, second in enumerate((0, 5)):
