@@ -97,3 +97,8 @@ def test_a1_reads_a_folder_of_texts(spark, tmp_path):
     stats = [r for r in stream_stats(query).collect() if r.input_rows]
     assert stats[0].input_rows == 3
     assert '"accepted": 1' in stats[0].observed and '"rejected": 2' in stats[0].observed
+
+
+def test_parsing_runs_compiled(spark):
+    """No stage of the parsing may have methods that the JVM leaves interpreted: those beyond its limit go without whole-stage code."""
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
