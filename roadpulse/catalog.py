@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -800,12 +798,10 @@ def _drain(stream: DataFrame, folder: str) -> DataFrame:
 
 def _arriving(spark, sf, folder: str, arrivals: list[datetime] = ARRIVALS):
     """The detections as a stream that grows by some days at a time; a step of the loop for each growth."""
-    rows = tb.raw_events(spark, sf)
     stream = None
     for begin, end in zip(arrivals, [*arrivals[1:], None], strict=True):
-        days = [] if begin is arrivals[0] else [F.col("ts") >= pj.moment(begin)]
-        days += [] if end is None else [F.col("ts") < pj.moment(end)]
-        rows.filter(reduce(and_, days)).write.mode("append").parquet(f"{folder}/events")
+        rows = tb.raw_events(spark, sf, None if begin is arrivals[0] else begin, end)
+        rows.write.mode("append").parquet(f"{folder}/events")
         stream = stream or spark.readStream.schema(rows.schema).parquet(f"{folder}/events")
         yield stream
 

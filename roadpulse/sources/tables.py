@@ -56,10 +56,16 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
+def _with_k(events: DataFrame) -> DataFrame:
+    """Add the number in the properties. It leaves through a generator, so that no filter on what follows from it is pushed
+    below, where the optimizer would parse the properties again for every use."""
+    return events.select("*", F.explode(F.array(_k())).alias("_k"))
+
+
 def detections(events: DataFrame) -> DataFrame:
     """Typed detections, including those that validation refuses."""
-    fields = _detection_fields(_k())
-    return events.select(*[expr.alias(name) for name, expr in fields.items()])
+    fields = _detection_fields(F.col("_k"))
+    return _with_k(events).select(*[expr.alias(name) for name, expr in fields.items()])
 
 
 def detection_messages(events: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from roadpulse.sources import tables as tb
 from tests.oracle_check import compare, connect
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -28,3 +29,9 @@ def test_every_sql_belongs_to_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_properties_are_parsed_once(spark):
+    """Neither filters nor fields derived from the number in the properties may parse them again."""
+    plan = tb.raw_events(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("get_json_object") == 1
