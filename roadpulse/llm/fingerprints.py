@@ -15,7 +15,8 @@ the digests are dealt out to sketches of about LOAD digests each. Where one of t
 out again to twice as many sketches, with other hashes. After ATTEMPTS such failures its digests are compared
 themselves. The likeness is (shared digests) / (all digests of both).
 
-Everything is built-in column functions in one row; no row grows other than with its own text.
+Digests, fingerprints and their first comparison are built-in column functions; the larger sketches of a batch of rows are
+filled and peeled together with numpy. No row grows other than with its own text.
 
 The next document is found without a global order: documents are dealt to slices of ids at approximate quantiles, and
 each slice also gets the first document of the next. Texts are shuffled once.
@@ -26,8 +27,9 @@ likeness 1. Rows with one id follow each other in the order of their texts. A NU
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -40,6 +42,8 @@ CELLS = 3 * REGION
 #: Digests that a sketch is expected to recover.
 LOAD = 10
 ATTEMPTS = 3
+#: Digests whose larger sketches are made at once: a bound to memory of about 60 bytes each.
+BLOCK = 1 << 18
 #: Slices for each shuffle partition; that many ids at most reach the driver.
 SLICES = 4
 #: A paragraph ends at a line break, or after a sentence end that white space follows.
@@ -164,72 +168,133 @@ def _outcome(peeled: Column) -> Column:
     return F.struct((~left).alias("done"), peeled["plus"].alias("plus"), peeled["minus"].alias("minus"))
 
 
-def _difference(a: Column, b: Column, seed: Column) -> Column:
-    """The difference from one sketch of each; they are subtracted while they are added up."""
-    signed = lambda digest_array, sign: F.transform(digest_array, lambda d: _entry(d, F.lit(sign), seed))
-    cells = _let(F.concat(signed(a, 1), signed(b, -1)), _cells)
-    return _let(peel(cells, seed), _outcome)
-
-
-def _dealt(a: Column, b: Column, parts: Column, seed: Column) -> Column:
-    """The difference from ``parts`` sketches, each of the digests with one remainder."""
-    own = lambda digest_array, p: F.filter(digest_array, lambda d: F.pmod(F.xxhash64(d, seed), parts) == p)
-    each = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: _difference(own(a, p), own(b, p), seed))
-    return _let(each, _added)
-
-
-def _added(outcomes: Column) -> Column:
-    return F.struct(
-        F.forall(outcomes, lambda o: o["done"]).alias("done"),
-        F.aggregate(outcomes, F.lit(0), lambda s, o: s + o["plus"]).alias("plus"),
-        F.aggregate(outcomes, F.lit(0), lambda s, o: s + o["minus"]).alias("minus"),
-    )
+def _mixed(x: np.ndarray, k) -> np.ndarray:
+    """A 64-bit hash of each digest (the finaliser of splitmix64); ``k``, one or one each, says which."""
+    h = x + np.asarray(k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def hands(a: Column, b: Column) -> Column:
-    """The digests of both in structs (a, b) of about LOAD digests with one remainder; remainders without any are left out.
+def _differences(x: np.ndarray, sign: np.ndarray, of: np.ndarray, n: int, seed: np.ndarray) -> tuple:
+    """(done, plus, minus) of each of ``n`` sketches, all filled and peeled at once; ``of`` is a digest's sketch.
 
-    They are hashed and sorted once, and cut where the remainder changes.
+    The digests of both sides are subtracted while they are added up.
     """
-    parts = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / F.lit(float(LOAD))).cast("int"))
-    mark = lambda d, of: F.struct(F.pmod(F.xxhash64(d, F.lit(1)), parts).cast("int").alias("p"), F.lit(of).alias("of"), d.alias("d"))
-    marks = F.array_sort(F.concat(F.transform(a, lambda d: mark(d, 0)), F.transform(b, lambda d: mark(d, 1))))
-    own = lambda hand, of: F.transform(F.filter(hand, lambda m: m["of"] == of), lambda m: m["d"])
-
-    def cut(every: Column) -> Column:
-        first = lambda m, i: F.when((i == 0) | (F.get(every, i - 1)["p"] != m["p"]), i)
-        starts = F.array_append(F.array_compact(F.transform(every, first)), F.size(every))
-        return _let(starts, lambda at: F.transform(
-            F.slice(at, F.lit(1), F.size(at) - 1), lambda s, k: _let(
-                F.slice(every, s + 1, F.get(at, k + 1) - s), lambda hand: F.struct(own(hand, 0).alias("a"), own(hand, 1).alias("b"))
-            )
-        ))
-
-    return _let(marks, cut)
-
-
-def _solved(a: Column, b: Column, seed: Column) -> Column:
-    """The difference of a few digests: from one sketch, from more of them, or by comparing the digests."""
-    exact = F.struct(F.lit(True).alias("done"), F.size(F.array_except(a, b)).alias("plus"), F.size(F.array_except(b, a)).alias("minus"))
-
-    def retry(state: Column, attempt: Column) -> Column:
-        larger = F.when(attempt > ATTEMPTS, exact).otherwise(
-            _dealt(a, b, F.pow(F.lit(2), attempt - 1).cast("int"), attempt)
-        )
-        return F.when(state["done"], state).otherwise(larger)
-
-    return F.aggregate(F.sequence(F.lit(2), F.lit(ATTEMPTS + 1)), _difference(a, b, seed), retry)
+    count, xs, checks = np.zeros((n, 3, REGION), np.int64), np.zeros((n, 3, REGION), np.uint64), np.zeros((n, 3, REGION), np.uint64)
+    plus, minus, idle = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+
+    def add(x, sign, of):
+        check = _mixed(x, 99)
+        for region in range(3):
+            at = of, region, (_mixed(x, 3 * seed[of] + region + 100) % np.uint64(REGION)).astype(np.int64)
+            np.add.at(count, at, sign)
+            np.bitwise_xor.at(xs, at, x)
+            np.bitwise_xor.at(checks, at, check)
+
+    add(x, sign, of)
+    for turn in range(PASSES):
+        region = turn % 3
+        of, cell = np.nonzero(np.abs(count[:, region]) == 1)
+        pure = checks[of, region, cell] == _mixed(xs[of, region, cell], 99)
+        of, cell = of[pure], cell[pure]
+        idle = 0 if len(of) else idle + 1
+        if idle == 3:
+            break
+        sign = count[of, region, cell]
+        plus += np.bincount(of[sign > 0], minlength=n)
+        minus += np.bincount(of[sign < 0], minlength=n)
+        add(xs[of, region, cell], -sign, of)
+    return ~((count != 0) | (xs != 0) | (checks != 0)).any(axis=(1, 2)), plus, minus
+
+
+def _solved(x: np.ndarray, sign: np.ndarray, of: np.ndarray, n: int, seed: np.ndarray, attempts: int) -> tuple:
+    """(done, plus, minus) of each of ``n`` hands: from one sketch, from more of them, or by comparing the digests.
+
+    The last happens after more than one attempt only; a single one is left as it is.
+    """
+    done, plus, minus = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    left = np.arange(n)
+    for attempt in range(attempts):
+        parts = 1 << attempt
+        part = of * parts + (_mixed(x, seed[of] + attempt) % np.uint64(parts)).astype(np.int64)
+        found = _differences(x, sign, part, len(left) * parts, np.repeat(seed + attempt, parts))
+        good, more, less = (f.reshape(-1, parts) for f in found)
+        good = good.all(axis=1)
+        done[left], plus[left], minus[left] = good, more.sum(axis=1), less.sum(axis=1)
+        mine, number = ~good[of], np.cumsum(~good) - 1
+        x, sign, of, left, seed = x[mine], sign[mine], number[of[mine]], left[~good], seed[~good]
+        if not len(left):
+            break
+    if attempts > 1 and len(left):
+        order = np.lexsort((x, of))
+        x, sign, of = x[order], sign[order], of[order]
+        twin = np.zeros(len(x) + 1, bool)
+        twin[1:-1] = (x[1:] == x[:-1]) & (of[1:] == of[:-1])
+        alone = ~(twin[1:] | twin[:-1])
+        done[left] = True
+        plus[left], minus[left] = (np.bincount(of[alone & (sign == s)], minlength=len(left)) for s in (1, -1))
+    return done, plus, minus
+
+
+def _blocks(sizes: np.ndarray):
+    """Runs of rows with about BLOCK digests, or one row with more."""
+    ends = np.cumsum(sizes)
+    begin = 0
+    while begin < len(sizes):
+        before = ends[begin] - sizes[begin]
+        end = max(begin + 1, int(np.searchsorted(ends, before + BLOCK, "right")))
+        yield begin, end
+        begin = end
+
+
+def _deal(attempts: int):
+    def deal(a: pa.Array, b: pa.Array, parts: pa.Array, seed: pa.Array) -> pa.Array:
+        lengths = [pc.fill_null(pc.list_value_length(side), 0).to_numpy(zero_copy_only=False).astype(np.int64) for side in (a, b)]
+        digest_arrays = [side.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for side in (a, b)]
+        starts = [np.concatenate([[0], np.cumsum(length)]) for length in lengths]
+        parts, seed = (pc.fill_null(v, 1).to_numpy(zero_copy_only=False).astype(np.int64) for v in (parts, seed))
+        made = []
+        for i, j in _blocks(lengths[0] + lengths[1]):
+            n = j - i
+            sides = [v[start[i] : start[j]] for v, start in zip(digest_arrays, starts)]
+            x = np.concatenate(sides)
+            sign = np.repeat(np.array([1, -1]), [len(side) for side in sides])
+            row = np.concatenate([np.repeat(np.arange(n), length[i:j]) for length in lengths])
+            hands, seeds = parts[i:j], seed[i:j]
+            first = np.cumsum(hands) - hands
+            of = first[row] + (_mixed(x, seeds[row] + 50) % hands[row].astype(np.uint64)).astype(np.int64)
+            solved = _solved(x, sign, of, int(hands.sum()), np.repeat(seeds, hands), attempts)
+            made.append([f.reduceat(v, first) for f, v in zip((np.logical_and, np.add, np.add), solved)])
+        done, plus, minus = (np.concatenate(v) for v in zip(*made)) if made else (np.zeros(0, bool), *[np.zeros(0, np.int64)] * 2)
+        return pa.StructArray.from_arrays([pa.array(done), pa.array(plus, pa.int32()), pa.array(minus, pa.int32())], ["done", "plus", "minus"])
+
+    return deal
+
+
+def _dealt(a: Column, b: Column, parts: Column, seed: Column, attempts: int = 1) -> Column:
+    """Struct (done, plus, minus): the difference from ``parts`` sketches, each of the digests with one remainder.
+
+    NULL digests are none. Sketches that fail are left, or with more ``attempts`` than one dealt out again.
+    """
+    return F.arrow_udf(_deal(attempts), "done boolean, plus int, minus int")(a, b, parts, seed)
 
 
 def first_outcome(sketch_a: Column, sketch_b: Column) -> Column:
     return _let(peel(subtract(sketch_a, sketch_b), F.lit(0)), _outcome)
 
 
-def likeness(a: Column, first: Column, dealt: Column) -> Column:
-    """Shared digests over all digests, from the fingerprints' sketches first, then from the ``hands``."""
-    larger = _let(F.transform(dealt, lambda h: _solved(h["a"], h["b"], F.lit(1))), _added)
+def larger(a: Column, b: Column, first: Column) -> Column:
+    """The difference from sketches of about LOAD digests, if the ``first`` failed."""
+    a, b = (F.when(~first["done"], side) for side in (a, b))
+    parts = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / F.lit(float(LOAD))).cast("int"))
+    return _dealt(a, b, parts, F.lit(1), ATTEMPTS)
+
+
+def likeness(a: Column, first: Column, second: Column) -> Column:
+    """Shared digests over all digests, from the fingerprints' sketches first, then from ``larger`` ones."""
     every = lambda o: F.size(a) + o["minus"]
-    return _let(F.when(first["done"], first).otherwise(larger), lambda o: F.when(every(o) == 0, 1.0).otherwise(
+    return _let(F.when(first["done"], first).otherwise(second), lambda o: F.when(every(o) == 0, 1.0).otherwise(
         (F.size(a) - o["plus"]).cast("double") / every(o)
     ))
 
@@ -301,8 +366,8 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("s_edited", sketch(F.col("d_edited"), F.lit(0)))
     others = ("edited", "next")
     rows = rows.withColumns({f"o_{c}": first_outcome(F.col("s_text"), F.col(f"s_{c}")) for c in others})
-    rows = rows.withColumns({f"h_{c}": F.when(~F.col(f"o_{c}.done"), hands(F.col("d_text"), F.col(f"d_{c}"))) for c in others})
-    like = lambda c: likeness(F.col("d_text"), F.col(f"o_{c}"), F.col(f"h_{c}"))
+    rows = rows.withColumns({f"l_{c}": larger(F.col("d_text"), F.col(f"d_{c}"), F.col(f"o_{c}")) for c in others})
+    like = lambda c: likeness(F.col("d_text"), F.col(f"o_{c}"), F.col(f"l_{c}"))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         encoded(F.col("d_text"), F.col("s_text")).alias("fingerprint"),
