@@ -686,15 +686,23 @@ def _volume_edges(spark, sf) -> DataFrame:
     return gr.lane_edges(gr.lane_nodes(lanes), lanes, tb.cross_links(spark, sf))
 
 
-def _event_edges(spark, sf) -> DataFrame:
-    lanes = tb.event_lanes(spark, sf)
+def _lane_graph(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the lanes in the detections, stored. The detections are read once for both."""
+    lanes = _stored(tb.event_lanes(spark, sf), "lanes")
+    nodes = _stored(gr.lane_nodes(lanes), "nodes")
     links = lanes.filter(F.col("lane_id") == 1).select(
         F.col("camera_id").alias("from_camera"),
         F.col("lane_id").alias("from_lane"),
         F.concat(F.lit("cam_"), F.col("camera_pos") + 1).alias("to_camera"),
         F.lit(1).alias("to_lane"),
     )
-    return gr.lane_edges(gr.lane_nodes(lanes), lanes, links)
+    return nodes, _stored(gr.lane_edges(nodes, lanes, links), "edges")
+
+
+def _signal(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The dense signal, and nodes and edges of its graph, stored."""
+    nodes, edges = _lane_graph(spark, sf)
+    return _stored(ft.dense_signal(_features(spark, sf), nodes), "dense"), nodes, edges
 
 
 @query
@@ -714,7 +722,7 @@ def khop_neighbours(spark, sf):
 
 @query
 def neighbour_means(spark, sf):
-    dense, edges = _stored(_dense(spark, sf), "dense"), _stored(_event_edges(spark, sf), "edges")
+    dense, _, edges = _signal(spark, sf)
     means = gr.neighbour_means(dense, edges, ["vehicle_count", "congestion_score"], 2)
     names = [f"{c}_hop{h}" for h in (1, 2) for c in ("vehicle_count", "congestion_score")]
     return _rounded(means.select("t_idx", "node", *names), *names)
@@ -725,7 +733,7 @@ CHEBYSHEV = ["vehicle_count", "congestion_score"]
 
 @query
 def chebyshev_features(spark, sf):
-    dense, edges = _stored(_dense(spark, sf), "dense"), _stored(_event_edges(spark, sf), "edges")
+    dense, _, edges = _signal(spark, sf)
     names = [f"{c}_cheb{k}" for k in (1, 2) for c in CHEBYSHEV]
     return _rounded(gr.chebyshev_features(dense, edges, CHEBYSHEV, 3).select("t_idx", "node", *names), *names)
 
@@ -746,7 +754,7 @@ def sensor_links(spark, sf):
 @query
 def training_table(spark, sf):
     values = F.col("history_values")
-    dense, edges = _stored(_dense(spark, sf), "dense"), _stored(_event_edges(spark, sf), "edges")
+    dense, _, edges = _signal(spark, sf)
     rows = ml.training_table(dense, edges, SHAPE).withColumn("history_values", ml.vector_to_array("history"))
     return rows.select(
         "node", "start", "step", round_stable(F.col("count"), 6).alias("count"), "prob", "level",
@@ -757,8 +765,7 @@ def training_table(spark, sf):
 
 def _forecast(spark, sf) -> DataFrame:
     """Every lane from the newest steps, by a model of all samples before them."""
-    nodes, edges = _nodes(spark, sf), _stored(_event_edges(spark, sf), "edges")
-    dense = _stored(ft.dense_signal(_features(spark, sf), nodes), "dense")
+    dense, nodes, edges = _signal(spark, sf)
     samples = _stored(ml.training_table(dense, edges, SHAPE), "samples")
     return ml.predict_lanes(ml.fit_forecaster(samples, SHAPE), dense, nodes, edges, SHAPE)
 
@@ -777,7 +784,7 @@ def ml_episodes(spark, sf):
 @query
 def ml_evaluation(spark, sf):
     """Errors on the newest tenth of the samples, which the chosen model has not seen, beside those of persistence."""
-    dense, edges = _stored(_dense(spark, sf), "dense"), _stored(_event_edges(spark, sf), "edges")
+    dense, _, edges = _signal(spark, sf)
     samples = _stored(ml.training_table(dense, edges, SHAPE), "samples")
     parts = ml.split_by_time(samples, validation=0.3, gap=SHAPE.t_in + SHAPE.t_out)
     train, validation, test = (_stored(part, "part") for part in parts)

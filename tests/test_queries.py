@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from roadpulse.sources import tables as tb
@@ -35,3 +36,22 @@ def test_properties_are_parsed_once(spark):
     """Neither filters nor fields derived from the number in the properties may parse them again."""
     plan = tb.raw_events(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("get_json_object") == 1
+
+
+def test_lane_graph_reads_the_detections_once(spark, monkeypatch):
+    """Nodes and edges come from one table of lanes, and the signal's metrics are the other use of the detections."""
+    seen = spark.sparkContext.accumulator(0)
+    found = tb.event_lanes(spark, SF).cache()
+
+    def counted(camera):
+        seen.add(1)
+        return camera
+
+    def lanes(spark, sf):
+        return found.withColumn("camera_id", F.udf(counted, "string").asNondeterministic()("camera_id"))
+
+    monkeypatch.setattr(tb, "event_lanes", lanes)
+    number = found.count()
+    assert entry.queries()["neighbour_means"](spark, SF).count() > 0
+    assert seen.value == number
+    found.unpersist()
