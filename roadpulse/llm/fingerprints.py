@@ -141,9 +141,11 @@ def peel(cells: Column, seed: Column) -> Column:
         taken = F.transform(pure, lambda c: _entry(c["x"], c["n"], seed))
 
         def without(found: Column) -> Column:
-            left = F.transform(state["cells"], lambda c, i: _let(_summed(found, i), lambda s: F.struct(
-                (c["n"] - s["n"]).alias("n"), c["x"].bitwiseXOR(s["x"]).alias("x"), c["c"].bitwiseXOR(s["c"]).alias("c")
-            )))
+            taken_out = lambda c, e: F.struct(
+                (c["n"] - e["n"]).alias("n"), c["x"].bitwiseXOR(e["x"]).alias("x"), c["c"].bitwiseXOR(e["c"]).alias("c")
+            )
+            mine = lambda i: F.filter(found, lambda e: F.get(e["at"], F.shiftright(i, REGION_BITS)) == i)
+            left = F.transform(state["cells"], lambda c, i: F.aggregate(mine(i), c, taken_out))
             plus = F.size(F.filter(found, lambda e: e["n"] == 1))
             none = F.size(found) == 0
             return F.struct(
@@ -193,7 +195,7 @@ def hands(a: Column, b: Column) -> Column:
     """
     parts = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / F.lit(float(LOAD))).cast("int"))
     mark = lambda d, of: F.struct(F.pmod(F.xxhash64(d, F.lit(1)), parts).cast("int").alias("p"), F.lit(of).alias("of"), d.alias("d"))
-    marks = F.array_sort(F.concat(F.transform(a, lambda d: mark(d, 0)), F.transform(b, lambda d: mark(d, 1))))
+    marks = F.sort_array(F.concat(F.transform(a, lambda d: mark(d, 0)), F.transform(b, lambda d: mark(d, 1))))
     own = lambda hand, of: F.transform(F.filter(hand, lambda m: m["of"] == of), lambda m: m["d"])
 
     def cut(every: Column) -> Column:
