@@ -137,13 +137,18 @@ def tokens_of(text: str) -> np.ndarray:
 _ZERO = tokens_of("0")[0]
 
 
-def joined_numbers(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Which tokens, given by their bytes' bounds, a dot alone parts from the next, both being numbers there."""
+def joined_numbers(data: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Which tokens, given by their bytes' bounds, a dot alone parts from the next, both being numbers there.
+
+    ``at`` tells where each text's tokens start, if there are several texts; no token is joined to one of the next text.
+    """
     out = np.zeros(len(first), bool)
     if len(first) > 1:
         digit = (data >= 48) & (data <= 57)
         after = np.minimum(last[:-1], len(data) - 1)
         out[:-1] = (first[1:] == last[:-1] + 1) & (data[after] == 46) & digit[last[:-1] - 1] & digit[first[1:]]
+    if at is not None:
+        out[at[at > 0] - 1] = False
     return out
 
 
@@ -189,9 +194,11 @@ class Index:
         """
 
         def whole(last: int) -> bool:
-            if last >= len(joined) or not joined[last]:
-                return True
-            return tokens[last + 1] == _ZERO and whole(last + 1)
+            while last < len(joined) and joined[last]:
+                last += 1
+                if tokens[last] != _ZERO:
+                    return False
+            return True
 
         places = {run[0]: np.flatnonzero(tokens[begin:end] == np.uint64(run[0])) + begin for run in self.decisive[t]}
         return all(
@@ -316,7 +323,7 @@ def _scanner(shared, least: float):
             rows = []
             for begin, end, data, starts in runs(batch.column(1)):
                 tokens, at, first, last = word_spans(data, starts, _BREAK)
-                joined = joined_numbers(data, first, last)
+                joined = joined_numbers(data, first, last, at)
                 by_text: dict[int, list] = {}
                 for place, t, p in index.hits(grams(tokens)):
                     text = int(np.searchsorted(at, place, "right")) - 1

@@ -224,6 +224,22 @@ def test_siblings_are_not_taken_for_each_other():
         assert list(matches_of(f"Some words before. {text} Some words behind.")[1]) == ([name] if name else []), text
 
 
+def test_a_version_at_the_end_of_a_text_stands_apart_from_the_next_text(documents):
+    apache, gpl = licenses.TEMPLATES["apache-2.0-line"], licenses.TEMPLATES["gpl-3.0-line"]
+    # A final "2.0." is followed by the next text's digits, a final "3" by its dot and digits.
+    texts = [apache, "7 and so on", "", gpl[:-1], ".5 of it", apache, "", "1", "words only", gpl, "2" + apache, apache]
+    docs = documents(list(enumerate(texts))).coalesce(1).sortWithinPartitions("doc_id")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(docs).collect()}
+    want = {0: "apache-2.0-line", 3: "gpl-3.0-line", 5: "apache-2.0-line", 9: "gpl-3.0-line", 10: "apache-2.0-line", 11: "apache-2.0-line"}
+    assert got == want
+
+
+def test_versions_of_many_numbers(documents):
+    text = licenses.TEMPLATES["apache-2.0-line"][:-1]
+    docs = documents([(1, text + ".0" * 5000 + "."), (2, text + ".0" * 5000 + ".1.")])
+    assert [(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs).collect()] == [(1, "apache-2.0-line")]
+
+
 def test_shared_runs_are_always_found():
     """Any GRAM + WINDOW - 1 tokens in a row share a fingerprint with their template."""
     index = licenses.Index(licenses.TEMPLATES)
