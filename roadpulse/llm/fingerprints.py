@@ -10,7 +10,7 @@ the digests and that of their checks are kept. The fingerprint is the number of
 
 To compare two versions, the cells of one are subtracted from the other's, which cancels what both share. A cell
 with one digest left (count 1 or -1, and the check fits) gives that digest away; it is taken out of its other cells,
-which frees more, region by region, until nothing is left. If that fails, both versions are sketched again, larger:
+which frees more, round by round, until nothing is left. If that fails, both versions are sketched again, larger:
 the digests are dealt out to sketches of about LOAD digests each. Where one of these fails, its own digests are dealt
 out again to twice as many sketches, with other hashes. After ATTEMPTS such failures its digests are compared
 themselves. The likeness is (shared digests) / (all digests of both).
@@ -34,8 +34,7 @@ from pyspark.sql import Window as W
 
 from roadpulse.llm.common import documents, stored
 
-REGION_BITS = 3
-REGION = 1 << REGION_BITS
+REGION = 8
 CELLS = 3 * REGION
 #: Digests that a sketch is expected to recover.
 LOAD = 10
@@ -44,6 +43,8 @@ ATTEMPTS = 3
 SLICES = 4
 #: A paragraph ends at a line break, or after a sentence end that white space follows.
 PARAGRAPH_END = r"\n|(?<=[.!?])[ \t]+|(?<=[。！？])"
+#: The same for texts without any of ``WIDE_ENDS``, tried at white space only.
+NARROW_END, WIDE_ENDS = r"\n|[ \t](?<=[.!?][ \t])[ \t]*", "。！？"
 LONG, CUT = 240, 16
 SHORT, SHORT_LONG, SHORT_CUT = 480, 80, 2
 
@@ -53,6 +54,11 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _if(condition: Column, then: Column, other: Column) -> Column:
+    """As ``when``, which looks its branches up in a list each time it runs."""
+    return F.call_function("if", condition, then, other)
+
+
 def _cut(parts: Column, hashed, cut: int, glue: str) -> Column:
     """``parts`` as one text with a line break after those whose ``hashed(part, place)`` is 0 modulo ``cut``."""
     ended = lambda x, i: F.concat(x, F.when(F.pmod(hashed(x, i), F.lit(cut)) == 0, "\n").otherwise(glue))
@@ -68,22 +74,27 @@ def _cut_sentence(sentence: Column, long: int, cut: int) -> Column:
     return _cut(words, lambda w, i: F.xxhash64(w), cut, " ")
 
 
+def _of_paragraphs(text: Column, made) -> Column:
+    """``made(paragraph)`` of each paragraph, NULL for blank ones; strings are not copied on the way."""
+    wide = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in WIDE_ENDS])
+    whole = F.when(wide, F.split(text, PARAGRAPH_END)).otherwise(F.split(text, NARROW_END))
+    some = lambda p: _if(p != "", made(p), F.lit(None))
+    # Cut or not, a paragraph loses one blank at its end.
+    bare = lambda p: _if(F.endswith(p, F.lit(" ")), F.left(p, F.length(p) - 1), p)
+    pieces = lambda p, long, cut: F.split(F.concat(_cut_sentence(p, long, cut), F.lit("\n")), " ?\n")
+    parts = lambda long, cut: F.transform(whole, lambda p: _if(
+        (F.octet_length(p) > long) & (F.length(p) > long), F.transform(pieces(p, long, cut), some), F.array(some(bare(p)))
+    ))
+    return F.array_compact(F.flatten(_if(F.length(text) < SHORT, parts(SHORT_LONG, SHORT_CUT), parts(LONG, CUT))))
+
+
 def paragraphs(text: Column) -> Column:
-    whole = F.split(text, PARAGRAPH_END)
-    parts = lambda long, cut: F.transform(
-        whole, lambda p: F.when(F.length(p) > long, _cut_sentence(p, long, cut)).otherwise(p)
-    )
-    cut = F.when(F.length(text) < SHORT, parts(SHORT_LONG, SHORT_CUT)).otherwise(parts(LONG, CUT))
-    return F.filter(F.split(F.concat(F.array_join(cut, "\n"), F.lit("\n")), " ?\n"), lambda p: p != "")
+    return _of_paragraphs(text, lambda p: p)
 
 
 def digests(text: Column) -> Column:
     """Different digests of a text's paragraphs."""
-    return F.array_distinct(F.transform(paragraphs(text), lambda p: F.xxhash64(p)))
-
-
-def _cell(digest: Column, region: int, seed: Column) -> Column:
-    return F.pmod(F.xxhash64(digest, F.lit(region), seed), F.lit(REGION)).cast("int")
+    return F.array_distinct(_of_paragraphs(text, F.xxhash64))
 
 
 def _check(digest: Column) -> Column:
@@ -91,32 +102,43 @@ def _check(digest: Column) -> Column:
 
 
 def _place(digest: Column, region: int, seed: Column) -> Column:
-    return F.lit(region * REGION) + _cell(digest, region, seed)
+    return F.lit(region * REGION) + F.pmod(F.xxhash64(digest, F.lit(region), seed), F.lit(REGION)).cast("int")
 
 
-def _entry(digest: Column, sign: Column, seed: Column) -> Column:
-    """A digest with its sign, check and three cells."""
-    places = F.array(*[_place(digest, r, seed) for r in range(3)])
-    return F.struct(sign.alias("n"), digest.alias("x"), _check(digest).alias("c"), places.alias("at"))
+def _places(digest: Column, seed: Column) -> Column:
+    """A digest's three cells as bits."""
+    bit = lambda r: F.call_function("shiftleft", F.lit(1), _place(digest, r, seed))
+    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
 
 
-def _summed(entries: Column, i: Column) -> Column:
-    """What the entries with cell ``i`` add to it. Each has one cell in a region."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
-    mine = F.filter(entries, lambda e: F.get(e["at"], F.shiftright(i, REGION_BITS)) == i)
-    return F.aggregate(mine, zero, lambda s, e: F.struct(
-        (s["n"] + e["n"]).alias("n"), s["x"].bitwiseXOR(e["x"]).alias("x"), s["c"].bitwiseXOR(e["c"]).alias("c")
-    ))
+def _entry(hand: Column, sign: Column, digest: Column, check: Column, places: Column) -> Column:
+    """A digest with the hand it is in, its sign and check, and the bits of its three cells; a cell has the same fields."""
+    return F.struct(hand.alias("p"), sign.alias("n"), digest.alias("x"), check.alias("c"), places.alias("at"))
+
+
+def _merged(cell: Column, entry: Column, sign: int) -> Column:
+    """A cell with an entry put in (``sign`` 1) or taken out (-1)."""
+    n = cell["n"] + entry["n"] if sign > 0 else cell["n"] - entry["n"]
+    return _entry(entry["p"], n, *[cell[f].bitwiseXOR(entry[f]) for f in ("x", "c", "at")])
+
+
+def _owned(entries: Column) -> Column:
+    """For each cell of a sketch the entries it has."""
+    bits = F.array(*[F.lit(1 << i) for i in range(CELLS)])
+    return F.transform(bits, lambda bit: F.filter(entries, lambda e: e["at"].bitwiseAND(bit) != 0))
 
 
 def _cells(entries: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: _summed(entries, i))
+    """A cell with a single entry is that entry."""
+    none = [F.lit(0).cast(kind) for kind in ("int", "int", "long", "long", "int")]
+    more = lambda own: F.aggregate(own, _entry(*none), lambda s, e: _merged(s, e, 1))
+    return F.transform(_owned(entries), lambda own: _if(F.size(own) == 1, F.get(own, F.lit(0)), more(own)))
 
 
 def sketch(digest_array: Column, seed: Column) -> Column:
     """CELLS structs (n, x, c)."""
-    entries = F.transform(digest_array, lambda d: _entry(d, F.lit(1), seed))
-    return _let(entries, _cells)
+    entries = F.transform(digest_array, lambda d: _entry(F.lit(0), F.lit(1), d, _check(d), _places(d, seed)))
+    return F.transform(_let(entries, _cells), lambda c: F.struct(c["n"], c["x"], c["c"]))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -125,58 +147,57 @@ def subtract(a: Column, b: Column) -> Column:
     ))
 
 
-#: Passes over the regions; each empties a region's pure cells. Three in a row without any are the end.
-PASSES = 3 * 6
+#: Rounds of peeling; one in which no cell is pure is the last.
+ROUNDS = 10
 
 
-def peel(cells: Column, seed: Column) -> Column:
-    """Struct (cells, plus, minus): what is left, and how many digests only the first or only the second has."""
+def peel(cells: Column, entry=None) -> Column:
+    """Struct (done, plus, minus): whether nothing is left, and how many digests only the first or only the second has.
+
+    ``entry`` makes a pure cell the entry it has, if it isn't already. Spark copies the state in full in every round, also
+    in those that are left when nothing more is to do, so that the last round leaves no cells in it.
+    """
 
     def step(state: Column, turn: Column) -> Column:
-        begin = F.pmod(turn, F.lit(3)) * REGION
-        pure = F.filter(
-            F.slice(state["cells"], begin + 1, F.lit(REGION)),
-            lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["x"])),
-        )
-        taken = F.transform(pure, lambda c: _entry(c["x"], c["n"], seed))
+        pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["x"])))
+        # A digest that is alone in several of its cells is taken once.
+        taken = F.array_distinct(F.transform(pure, entry) if entry else pure)
 
         def without(found: Column) -> Column:
-            taken_out = lambda c, e: F.struct(
-                (c["n"] - e["n"]).alias("n"), c["x"].bitwiseXOR(e["x"]).alias("x"), c["c"].bitwiseXOR(e["c"]).alias("c")
-            )
-            mine = lambda i: F.filter(found, lambda e: F.get(e["at"], F.shiftright(i, REGION_BITS)) == i)
-            left = F.transform(state["cells"], lambda c, i: F.aggregate(mine(i), c, taken_out))
             plus = F.size(F.filter(found, lambda e: e["n"] == 1))
-            none = F.size(found) == 0
-            return F.struct(
-                F.when(none, state["cells"]).otherwise(left).alias("cells"), (state["plus"] + plus).alias("plus"),
-                (state["minus"] + F.size(found) - plus).alias("minus"),
-                F.when(none, state["idle"] + 1).otherwise(0).alias("idle"),
+            last = F.struct(
+                F.slice(state["cells"], 1, 0).alias("cells"), state["plus"], state["minus"], F.lit(True).alias("over"),
+                (~F.exists(state["cells"], lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["c"] != 0))).alias("done"),
             )
+            more = lambda c, own: F.aggregate(own, c, lambda s, e: _merged(s, e, -1))
+            left = F.zip_with(state["cells"], _owned(found), lambda c, own: _if(F.size(own) == 0, c, _if(
+                F.size(own) == 1, _merged(c, F.get(own, F.lit(0)), -1), more(c, own)
+            )))
+            further = F.struct(
+                left.alias("cells"), (state["plus"] + plus).alias("plus"), (state["minus"] + F.size(found) - plus).alias("minus"),
+                F.lit(False).alias("over"), F.lit(False).alias("done"),
+            )
+            return _if(F.size(found) == 0, last, further)
 
-        return F.when(state["idle"] >= 3, state).otherwise(_let(taken, without))
-
-    start = F.struct(*[x.alias(n) for n, x in (("cells", cells), ("plus", F.lit(0)), ("minus", F.lit(0)), ("idle", F.lit(0)))])
-    return F.aggregate(F.sequence(F.lit(0), F.lit(PASSES - 1)), start, step)
-
+        return _if(state["over"], state, _let(taken, without))
 
-def _outcome(peeled: Column) -> Column:
-    """Struct (done, plus, minus)."""
-    left = F.exists(peeled["cells"], lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["c"] != 0))
-    return F.struct((~left).alias("done"), peeled["plus"].alias("plus"), peeled["minus"].alias("minus"))
+    start = {"cells": cells, "plus": F.lit(0), "minus": F.lit(0), "over": F.lit(False), "done": F.lit(False)}
+    peeled = F.aggregate(F.array(*map(F.lit, range(ROUNDS))), F.struct(*[x.alias(n) for n, x in start.items()]), step)
+    return _let(peeled, lambda p: F.struct(p["done"], p["plus"], p["minus"]))
 
 
-def _difference(a: Column, b: Column, seed: Column) -> Column:
-    """The difference from one sketch of each; they are subtracted while they are added up."""
-    signed = lambda digest_array, sign: F.transform(digest_array, lambda d: _entry(d, F.lit(sign), seed))
-    cells = _let(F.concat(signed(a, 1), signed(b, -1)), _cells)
-    return _let(peel(cells, seed), _outcome)
+def _difference(entries: Column) -> Column:
+    """The difference from one sketch of each side's entries; they are subtracted while they are added up."""
+    return peel(_cells(entries))
 
 
 def _dealt(a: Column, b: Column, parts: Column, seed: Column) -> Column:
     """The difference from ``parts`` sketches, each of the digests with one remainder."""
-    own = lambda digest_array, p: F.filter(digest_array, lambda d: F.pmod(F.xxhash64(d, seed), parts) == p)
-    each = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: _difference(own(a, p), own(b, p), seed))
+    entry = lambda d, n: _entry(F.pmod(F.xxhash64(d, seed), parts).cast("int"), F.lit(n), d, _check(d), _places(d, seed))
+    entries = F.concat(F.transform(a, lambda d: entry(d, 1)), F.transform(b, lambda d: entry(d, -1)))
+    own = lambda every, p: F.filter(every, lambda e: e["p"] == p)
+    hand = lambda every, p: _let(own(every, p), _difference)
+    each = _let(entries, lambda every: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: hand(every, p)))
     return _let(each, _added)
 
 
@@ -189,47 +210,45 @@ def _added(outcomes: Column) -> Column:
 
 
 def hands(a: Column, b: Column) -> Column:
-    """The digests of both in structs (a, b) of about LOAD digests with one remainder; remainders without any are left out.
+    """The digests of both as entries of sketches, about LOAD with one remainder; remainders without any are left out.
 
     They are hashed and sorted once, and cut where the remainder changes.
     """
     parts = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / F.lit(float(LOAD))).cast("int"))
-    mark = lambda d, of: F.struct(F.pmod(F.xxhash64(d, F.lit(1)), parts).cast("int").alias("p"), F.lit(of).alias("of"), d.alias("d"))
-    marks = F.sort_array(F.concat(F.transform(a, lambda d: mark(d, 0)), F.transform(b, lambda d: mark(d, 1))))
-    own = lambda hand, of: F.transform(F.filter(hand, lambda m: m["of"] == of), lambda m: m["d"])
+    mark = lambda d, n: _entry(F.pmod(F.xxhash64(d, F.lit(1)), parts).cast("int"), F.lit(n), d, _check(d), _places(d, F.lit(1)))
+    marks = F.sort_array(F.concat(F.transform(a, lambda d: mark(d, 1)), F.transform(b, lambda d: mark(d, -1))))
 
     def cut(every: Column) -> Column:
         first = lambda m, i: F.when((i == 0) | (F.get(every, i - 1)["p"] != m["p"]), i)
         starts = F.array_append(F.array_compact(F.transform(every, first)), F.size(every))
         return _let(starts, lambda at: F.transform(
-            F.slice(at, F.lit(1), F.size(at) - 1), lambda s, k: _let(
-                F.slice(every, s + 1, F.get(at, k + 1) - s), lambda hand: F.struct(own(hand, 0).alias("a"), own(hand, 1).alias("b"))
-            )
+            F.slice(at, F.lit(1), F.size(at) - 1), lambda s, k: F.slice(every, s + 1, F.get(at, k + 1) - s)
         ))
 
     return _let(marks, cut)
 
 
-def _solved(a: Column, b: Column, seed: Column) -> Column:
-    """The difference of a few digests: from one sketch, from more of them, or by comparing the digests."""
-    exact = F.struct(F.lit(True).alias("done"), F.size(F.array_except(a, b)).alias("plus"), F.size(F.array_except(b, a)).alias("minus"))
+def _solved(hand: Column) -> Column:
+    """The difference of a few entries: from one sketch, from more of them, or by comparing the digests."""
+    own = lambda n: F.transform(F.filter(hand, lambda e: e["n"] == n), lambda e: e["x"])
+    only = lambda n: F.size(F.array_except(own(n), own(-n)))
+    exact = F.struct(F.lit(True).alias("done"), only(1).alias("plus"), only(-1).alias("minus"))
 
     def retry(state: Column, attempt: Column) -> Column:
-        larger = F.when(attempt > ATTEMPTS, exact).otherwise(
-            _dealt(a, b, F.pow(F.lit(2), attempt - 1).cast("int"), attempt)
-        )
-        return F.when(state["done"], state).otherwise(larger)
+        larger = _dealt(own(1), own(-1), F.pow(F.lit(2), attempt - 1).cast("int"), attempt)
+        return _if(state["done"], state, _if(attempt > ATTEMPTS, exact, larger))
 
-    return F.aggregate(F.sequence(F.lit(2), F.lit(ATTEMPTS + 1)), _difference(a, b, seed), retry)
+    return F.aggregate(F.array(*map(F.lit, range(2, ATTEMPTS + 2))), _difference(hand), retry)
 
 
 def first_outcome(sketch_a: Column, sketch_b: Column) -> Column:
-    return _let(peel(subtract(sketch_a, sketch_b), F.lit(0)), _outcome)
+    cells = F.transform(subtract(sketch_a, sketch_b), lambda c: _entry(F.lit(0), c["n"], c["x"], c["c"], F.lit(0)))
+    return peel(cells, lambda c: _entry(c["p"], c["n"], c["x"], c["c"], _places(c["x"], F.lit(0))))
 
 
 def likeness(a: Column, first: Column, dealt: Column) -> Column:
     """Shared digests over all digests, from the fingerprints' sketches first, then from the ``hands``."""
-    larger = _let(F.transform(dealt, lambda h: _solved(h["a"], h["b"], F.lit(1))), _added)
+    larger = _let(F.transform(dealt, _solved), _added)
     every = lambda o: F.size(a) + o["minus"]
     return _let(F.when(first["done"], first).otherwise(larger), lambda o: F.when(every(o) == 0, 1.0).otherwise(
         (F.size(a) - o["plus"]).cast("double") / every(o)
@@ -286,9 +305,9 @@ def with_next(docs: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _constants(values: list, kind: str) -> Column:
-    """An array of constants as one literal, however many they are; None is NULL."""
+    """An array of constants as one literal, however many they are; None is NULL. It is worked out once, not for every row."""
     text = ",".join("" if v is None else str(v) for v in values)
-    return F.transform(F.split(F.lit(text), ","), lambda v: F.when(v != "", v).cast(kind))
+    return F.split(F.lit(text), ",").try_cast(f"array<{kind}>")
 
 
 def compare_versions(docs: DataFrame) -> DataFrame:

@@ -63,6 +63,39 @@ def test_sketches_alone_recover_the_difference(spark):
     assert all((r["o"]["plus"], r["o"]["minus"]) == (len(set(r["a"]) - set(r["b"])), len(set(r["b"]) - set(r["a"]))) for r in got)
 
 
+def test_peeling_gives_the_difference(spark):
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(200):
+        own, both = ([rng.getrandbits(62) for _ in range(rng.randint(0, n))] for n in (6, 30))
+        k = rng.randint(0, len(own))
+        pairs.append((own[:k] + both, both[::-1] + own[k:]))
+    df = spark.createDataFrame([([], [])] + pairs, "a array<long>, b array<long>")
+    s = lambda c: fingerprints.sketch(F.col(c), F.lit(0))
+    dealt = F.transform(fingerprints.hands(F.col("a"), F.col("b")), fingerprints._solved)
+    got = df.select("a", "b", fingerprints.first_outcome(s("a"), s("b")).alias("o"), fingerprints._added(dealt).alias("all"))
+    rows = got.collect()
+    sides = [(len(set(r["a"]) - set(r["b"])), len(set(r["b"]) - set(r["a"]))) for r in rows]
+    assert all((r["o"]["plus"], r["o"]["minus"]) == x for r, x in zip(rows, sides, strict=True) if r["o"]["done"])
+    assert sum(r["o"]["done"] for r in rows) > 180
+    assert all(r["all"]["done"] and (r["all"]["plus"], r["all"]["minus"]) == x for r, x in zip(rows, sides, strict=True))
+
+
+def test_constants_are_worked_out_once(spark):
+    df = spark.range(2).select(F.get(fingerprints._constants([None, 5, -7], "bigint"), F.col("id").cast("int")).alias("x"))
+    assert [r["x"] for r in df.collect()] == [None, 5]
+    assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_paragraphs_with_odd_ends(spark):
+    rng = random.Random(5)
+    bits = ["a", "b", ".", "!", "?", "。", "！", "？", " ", "  ", "\t", "\n", "é", "日", "Word ", " \n", ".\n", ". "]
+    texts = ["".join(rng.choices(bits, k=n)) for n in (0, 1, 2, 3, 8, 40, 90, 200, 700) for _ in range(30)]
+    texts += ["a" * 300 + " ", "a" * 300 + "  \n b", " " * 500, "x. " * 200, "x。 " * 200, "é" * 130 + " " + "b " * 300]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fingerprints.paragraphs(F.col("t")).alias("p")).collect()
+    assert all(set(r["p"]) == plain_paragraphs(r["t"]) for r in got)
+
+
 def test_next_of_odd_tables(documents):
     assert fingerprints.compare_versions(documents([])).count() == 0
     one = fingerprints.compare_versions(documents([(5, "a\nb")])).collect()
